@@ -25,5 +25,5 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 def clean_code(c):
     """A property code trimmed of white space, in upper case; null if nothing is left."""
-    x = F.upper(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", ""))
+    x = F.upper(F.regexp_replace(c, r"^[\s\x{A0}]+|[\s\x{A0}]+$", ""))
     return F.when(x != "", x)
