@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leaks, ledger, stripes, subsequences
+from . import leaks, ledger, mixture, pii, stripes, subsequences
 
 MIN_SHARE, MIN_COUNT = 0.02, 5
 RUN = 12
@@ -80,7 +80,23 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_items"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("items"), F.max("n_words").alias("longest_run"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p1_closed, p5_found, p5_pairs, p6_found, p6_report, p7_found, p7_report)}
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"), table(spark, d, "members")).select("doc_id", "kind", "found_text").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents"), table(spark, d, "members"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p1_closed, p5_found, p5_pairs, p6_found, p6_report, p7_found, p7_report, p8_mixture, p8_report, p9_found, p9_redacted)}
 
 _CLEAN = "upper(trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)))"
 _SEQS = f"""
