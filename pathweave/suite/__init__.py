@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("problems",)
+MODULES = ("graphs", "catalogue", "problems")
 
 
 def queries() -> dict:
