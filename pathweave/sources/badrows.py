@@ -2,8 +2,10 @@
 
 A block of records with the same header goes through the columnar CSV reader at once, and the domains are tested on
 whole columns. If anything in the block is not plainly right, the block is halved and each half is tried again; blocks
-of at most ``leaf`` records that fail are diagnosed record by record by a strict grammar. The fast path only accepts
-blocks of which every record is certainly valid (see ``_bulk``), so the result does not depend on block or leaf size.
+of at most ``leaf`` records that fail are diagnosed record by record by a strict grammar. The size of the next block
+follows the faults met: it doubles after a block that passed whole and halves after one that did not, so clean data go
+in large blocks and dirty data waste no attempts. The fast path only accepts blocks of which every record is certainly
+valid (see ``_bulk``), so the result does not depend on any of these sizes.
 
 Grammar and reasons: one line end (CR LF, LF or CR) at the end of a record is ignored. Reasons, the first that applies:
 ``quoting`` (the record cannot be split), ``column_count`` (null or blank text, null header, or another number of
@@ -36,6 +38,8 @@ DOMAINS = {
 DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 # The same for RE2, whose \s is ASCII only.
 RE2 = {k: v.replace(r"[^\s<>", r"[^\s\x{85}\x{A0}\p{Z}\x{1C}-\x{1F}\x{0B}<>").replace("$", r"\z").replace("^", r"\A", 1) for k, v in DOMAINS.items()}
+#: A double quote that is at neither end of a field.
+INNER = re.compile(r'[^,\n]"[^,\n]')
 FIELD = re.compile(r'"((?:[^"]|"")*)"|([^",\r\n]*)')
 
 
@@ -95,9 +99,9 @@ def _bulk(names: list[str], texts: list[str], domains: dict[str, str]) -> list[l
     stand only in pairs around whole fields, which the count of quotes against the values' lengths confirms.
     """
     lines = [strip_end(t) for t in texts]
-    if any("\n" in x or "\r" in x or not x.strip() for x in lines):
-        return None
     blob = "\n".join(lines)
+    if "\r" in blob or blob.count("\n") != len(lines) - 1 or INNER.search(blob) or not all(map(str.strip, lines)):
+        return None
     try:
         t = pacsv.read_csv(
             io.BytesIO(blob.encode()),
@@ -115,7 +119,7 @@ def _bulk(names: list[str], texts: list[str], domains: dict[str, str]) -> list[l
         if pc.any(pc.match_substring_regex(c, '[",\n\r]')).as_py():
             return None
         size += pc.sum(pc.utf8_length(c)).as_py() or 0
-    if quotes % 2 or size + quotes + len(lines) * len(names) - 1 != len(blob) or re.search(r'[^,\n]"[^,\n]', blob):
+    if quotes % 2 or size + quotes + len(lines) * len(names) - 1 != len(blob):
         return None
     for name, c in zip(names, t.columns):
         rule = domains.get(name)
@@ -131,15 +135,25 @@ def _bulk(names: list[str], texts: list[str], domains: dict[str, str]) -> list[l
     return [c.to_pylist() for c in t.columns]
 
 
-def parse_block(header: str, texts: list[str | None], leaf: int = 8, domains: dict[str, str] = DOMAINS) -> list[tuple[str | None, list[str] | None]]:
+#: Most records of a block.
+LARGEST = 4096
+
+
+def parse_block(header: str, texts: list[str | None], leaf: int = 32, domains: dict[str, str] = DOMAINS) -> list[tuple[str | None, list[str] | None]]:
     """(reason, fields) of each record of a block with one header."""
     names = [h.strip() for h in header.split(",")]
     out: list = [None] * len(texts)
-    stack = [(0, len(texts))]
-    while stack:
+    stack, at, size = [], 0, 8 * leaf
+    while stack or at < len(texts):
+        whole = not stack
+        if whole:
+            stack.append((at, min(at + size, len(texts))))
+            at += size
         a, b = stack.pop()
         part = texts[a:b]
         cols = None if any(x is None for x in part) else _bulk(names, part, domains)
+        if whole:
+            size = min(size * 2, LARGEST) if cols is not None else max(size // 2, leaf)
         if cols is not None:
             for k, row in enumerate(zip(*cols)):
                 out[a + k] = (None, list(row))
@@ -151,17 +165,16 @@ def parse_block(header: str, texts: list[str | None], leaf: int = 8, domains: di
     return out
 
 
-def load_records(df: DataFrame, header: str = "header", text: str = "texto", block: int = 4096, leaf: int = 8) -> DataFrame:
+def load_records(df: DataFrame, header: str = "header", text: str = "texto", leaf: int = 32) -> DataFrame:
     """``df`` with ``reason`` (null for good records) and ``fields`` (variable -> value, null for bad ones). No shuffle."""
     schema = T.StructType([*df.schema.fields, T.StructField("reason", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType()))])
     if {"reason", "fields"} & set(df.columns):
         raise ValueError("columns named reason or fields would clash; rename them first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_schema = None
         for whole in batches:
-            for start in range(0, whole.num_rows, block):
-                b = whole.slice(start, block)
+            for start in range(0, whole.num_rows, 4 * LARGEST):
+                b = whole.slice(start, 4 * LARGEST)
                 heads, texts = b.column(header).to_pylist(), b.column(text).to_pylist()
                 by: dict = {}
                 for k, h in enumerate(heads):
