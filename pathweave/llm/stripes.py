@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..sources.tables import clean_code
 
 #: Entries of all stripes a task keeps before it sends them on, and entries of one row sent.
@@ -61,6 +62,7 @@ def cooccurrence(recs: DataFrame) -> DataFrame:
     """(a, b, n_ab, n_a, n_b, n) of all pairs a < b that share a record."""
     sent = recs.mapInPandas(_stripes, "item string, who array<string>, many array<long>")
     merged = sent.select("item", F.explode(F.arrays_zip("who", "many")).alias("e")).groupBy("item", F.col("e.who").alias("who")).agg(F.sum("e.many").alias("m"))
+    merged = cut(merged)  # read three times below; a row per pair of items
     single = merged.where("item = who and item <> ''")
     total = merged.where("item = ''").select(F.col("m").alias("n"))
     pairs = merged.where("item <> who").select(F.col("item").alias("a"), F.col("who").alias("b"), F.col("m").alias("n_ab"))
