@@ -14,6 +14,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,10 +64,13 @@ def repeats(rows: DataFrame, batches: int = 4) -> DataFrame:
 
 def audit(rows: DataFrame, batches: int = 4) -> DataFrame:
     """One row: n_rows, n_null, n_new, n_repeat, n_wrong, wrong_rate; n_wrong compares with an independent distinct count."""
-    n = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count("key").alias("n_keyed"))
-    new = build_ledger(rows, batches).agg(F.count(F.lit(1)).alias("n_new"))
-    exact = rows.where("key is not null").select("key").distinct().agg(F.count(F.lit(1)).alias("n_exact"))
-    one = n.join(F.broadcast(new)).join(F.broadcast(exact))  # one row each
+    count = F.count(F.lit(1)).cast("long")
+    parts = [
+        rows.agg(count.alias("n_rows"), F.count("key").alias("n_keyed")),
+        build_ledger(rows, batches).agg(count.alias("n_new")),
+        rows.where("key is not null").select("key").distinct().agg(count.alias("n_exact")),
+    ]
+    one = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_keyed", "n_new", "n_exact")])
     wrong = F.abs(F.col("n_new") - F.col("n_exact"))
     return one.select("n_rows", (F.col("n_rows") - F.col("n_keyed")).alias("n_null"), "n_new", (F.col("n_keyed") - F.col("n_new")).alias("n_repeat"), wrong.alias("n_wrong"), F.coalesce(wrong / F.nullif("n_rows", F.lit(0)), F.lit(0.0)).alias("wrong_rate"))
 

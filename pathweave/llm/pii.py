@@ -2,7 +2,8 @@
 
 ``fit`` trains the tagger (``tagger.Tagger``) on spans labelled in a bounded sample of documents (``SAMPLE_ROWS``) by
 high-precision patterns and the roster of members; labelled spans are varied (other e-mail, telephone, number, address
-and name forms in the same sentence) so that the tagger learns contexts and shapes rather than values. ``find`` tags
+and name forms in the same sentence) so that the tagger learns contexts and shapes rather than values. The weights in
+``pii_weights.npz`` were trained so by ``train_pii``, and ``find`` uses them unless it is given another tagger. It tags
 every document whole; a span proposed is then snapped to the form of its kind next to it, or dropped if there is none.
 
 Defined results: null and empty texts hold nothing; texts of any length are read whole (in sections of ``SECTION``
@@ -12,12 +13,11 @@ are kept with that id.
 
 from __future__ import annotations
 
-import hashlib
-import pickle
 import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ from .tagger import Tagger
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
 #: Documents of the labelled sample, training steps, windows of a step and their length, hidden units: bounds of training.
-SAMPLE_ROWS, STEPS, BATCH, WINDOW, HIDDEN = 8000, 420, 64, 128, 40
+SAMPLE_ROWS, STEPS, BATCH, WINDOW, HIDDEN = 8000, 2400, 64, 128, 48
 SECTION = 500_000
 
 # Titles that stand before a name and are no part of it, and particles within family names.
@@ -44,7 +44,10 @@ FAMILY = rf"(?:{PARTICLES}\s+)?{CAPWORD}"
 FIRST_FAMILY = rf"(?:(?:van der|van den|van de|van|VAN DER|de|DE)\s+)?{CAPWORD}"
 TOWN = rf"[{UP}][\w'’]+(?:-[\w'’]+)*"
 ZIP = r"(?:(?:[A-Z]{1,2}[- ])?\d{3,6}\s+)?"
-EMAIL = re.compile(r"[\w.+%'-]*[\w+]\s?(?:@|\(at\)|\[at\]|\{at\}|<at>|(?<=\s)at(?=\s)|\(AT\)|\[AT\])\s?[\w-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\(DOT\)|\[DOT\]|(?<=\s)dot(?=\s))\s?[A-Za-z][\w-]*)+")
+EMAIL = re.compile(
+    r"[\w.+%'-]*[\w+]\s?(?:@|[(\[{<](?:at|AT|a|arobase)[)\]}>])\s?[\w-]+(?:\s?(?:\.|[(\[{](?:dot|DOT|point|Punkt)[)\]}]|(?<=\s)(?:dot|DOT)(?=\s))\s?[A-Za-z][\w-]*)+"
+    r"|[\w.+%-]*\w\s(?:at|AT)\s[\w-]+(?:\s(?:dot|DOT)\s[A-Za-z][\w-]*)+"
+)
 PHONE = re.compile(r"(?<![\w@])(?:\+|\()?\d[\d ().\-/–  ]{5,24}\d(?:,?\s?(?:ext|x|extension|poste|App|Durchwahl|DW|Nst)\.?\s?\d{1,5}(?!\w))?(?![\d])")
 IDNUM = re.compile(r"(?<![\w])(?:[A-Z]{1,3}[ -]?)?\d[\d. /-]{3,20}\d(?:[ -]?[A-Z](?![\w]))?(?![\w])")
 STREET_DE = rf"(?:(?:Alte[rsnm]?|Neue[rsnm]?|Ober[en]+|Unter[en]+|Große[rn]?|Kleine[rn]?|Lange[rn]?|Hohe[rn]?|Am|An der|Auf der|Auf dem|Zur|Zum|Im|Hinter der|Unter den)\s+){{0,2}}[{UP}][\w-]*(?:straße|strasse|str\.|weg|platz|ufer|gasse|allee|ring|damm|hof|markt|steig|pfad|wall|graben|kai|chaussee|berg|feld|brücke|promenade)\s\d+(?:\s?[A-Za-z](?!\w))?"
@@ -102,11 +105,12 @@ def label_spans(text: str, given: frozenset[str], family: frozenset[str], lang:
         if len(words) > 1 and words[0] not in given and not re.match(rf"{PARTICLES}\s|[{UP}]\.", m[1]):
             b = a + len(words[0])  # a family name followed by another word in capitals
         put(a, b, "name")
-    for m in re.finditer(rf"(?<![\w-])({FIRST_FAMILY}),\s+({CAPWORD})", text):
-        if m[2] in given:
+    if given:
+        known = "|".join(sorted(map(re.escape, given), key=len, reverse=True))
+        follows = rf"\s+(?:[{UP}]\.\s+)*{FAMILY}"
+        for m in re.finditer(rf"(?<![\w-])({FIRST_FAMILY}),\s+(?:{known})(?![\w-])(?!{follows})", text):
             put(m.start() + preposition(text, m.start(), lang, family), m.end(), "name")
-    for m in re.finditer(rf"(?<![\w-])({CAPWORD})\s+(?:[{UP}]\.\s+)*{FAMILY}", text):
-        if m[1] in given:
+        for m in re.finditer(rf"(?<![\w-])(?:{known}){follows}", text):
             put(m.start(), m.end(), "name")
     initial = f"[{UP.replace('M', '') if lang == 'fr' else UP}]"
     for m in re.finditer(rf"(?<![\w.])[{UP}]\.\s+(?:[{UP}]\.\s+)*{FAMILY}", text):
@@ -267,15 +271,9 @@ def training_windows(texts: list[str], given: frozenset[str], family: frozenset[
     return sym[ok], tags[ok], valid[ok]
 
 
-_FITTED: dict[str, Tagger] = {}
-
-
 def fit(texts: list[str], members: list[tuple[str | None, str | None]], steps: int = STEPS, hidden: int = HIDDEN, log=None) -> Tagger:
-    """A tagger trained on the labelled sample; the same sample in one process is trained once."""
+    """A tagger trained on the labelled sample."""
     texts = sorted(t for t in texts if t)
-    key = hashlib.sha256(pickle.dumps((texts, sorted(map(str, members)), steps, hidden))).hexdigest()
-    if key in _FITTED:
-        return _FITTED[key]
     given = frozenset(g for g, _ in members if g)
     family = frozenset(f.lower() for _, f in members if f)
     chars = "".join(sorted(c for c, n in Counter("".join(texts)).items() if n >= 20 and not c.isdigit()))
@@ -286,7 +284,6 @@ def fit(texts: list[str], members: list[tuple[str | None, str | None]], steps: i
         losses = tagger.train(batches)
         if log:
             log(losses)
-    _FITTED[key] = tagger
     return tagger
 
 
@@ -294,11 +291,14 @@ def fit(texts: list[str], members: list[tuple[str | None, str | None]], steps: i
 
 LEFT_TITLE = re.compile(rf"^(?:{TITLES}\s+)+")
 LEFT_INITIALS = re.compile(rf"(?<![\w.'’-])((?:[{UP}]\.\s+)+)$")
+LEFT_VAN = re.compile(r"(?<!\w)((?:van|VAN)\s+)$")
+SHOUTED = re.compile(rf"[{UP}]{{2,}}['’,.:]?\s*(?:[{UP}]\s+)?$")
+SHOUTED_ON = re.compile(rf"[,.:]?\s+(?:\d+\s+)?[{UP}]{{2,}}(?![a-zß-ÿ])")
 LAST_WORD = re.compile(r"(?<![\w'’-])([^\W\d_][\w'’-]*)\s+$")
 LEFT_PARTICLE = re.compile(r"(?<!\w)((?:van der|van den|van de|von der|VAN DER|VON DER)\s+)$")
 
 
-def snap(text: str, a: int, b: int, kind: str, lang: str, given: frozenset[str] = frozenset()) -> tuple[int, int] | None:
+def snap(text: str, a: int, b: int, kind: str, lang: str, given: frozenset[str] = frozenset(), places: frozenset[str] = frozenset()) -> tuple[int, int] | None:
     """The form of ``kind`` that the proposed span stands for, or None."""
     if kind != "name":
         lo = max(0, a - 60)
@@ -327,13 +327,13 @@ def snap(text: str, a: int, b: int, kind: str, lang: str, given: frozenset[str]
         if m is None:
             break
         a += m.end()
-    while a < b and not text[a].isalnum():
+    while a < b and not text[a].isalpha():
         a += 1
     while a < b and not (text[b - 1].isalnum() or text[b - 1] == "." and re.search(rf"(?:^|\s)[{UP}]\.$", text[a:b]) and "," in text[a:b]):
         b -= 1
     if text[a:b].endswith(("'s", "’s")):
         b -= 2
-    m = LEFT_PARTICLE.search(text[max(0, a - 12) : a])
+    m = LEFT_PARTICLE.search(text[max(0, a - 12) : a]) or (re.match(r"(?:der|den|de)\s", text[a:b], re.I) and LEFT_VAN.search(text[max(0, a - 8) : a]))
     if m:
         a -= len(m[1])
     m = LEFT_INITIALS.search(text[max(0, a - 16) : a])
@@ -347,7 +347,18 @@ def snap(text: str, a: int, b: int, kind: str, lang: str, given: frozenset[str]
         b = m.end() if m and not m[0].startswith(",") else b
     elif m := re.compile(rf",\s+({CAPWORD})").match(text, b):
         b = m.end() if m[1] in given and text[a:b].split()[0] not in given else b
-    if a >= b or not NAME.fullmatch(text, a, b) and not re.search(rf"[{UP}]\w", text[a:b]):
+    head, comma, tail = text[a:b].partition(",")
+    if comma and len(tail.split()) > 1:
+        a += len(head) + 1 + len(tail) - len(tail.lstrip())  # what stands before a whole name and a comma is no part of it
+    words = [(m.start() + a, m[0]) for m in re.finditer(r"[^\s,]+", text[a:b])]
+    at = next((k for k, (_, w) in enumerate(words) if w in given), 0)
+    if at and "," not in text[a:b] and not all(w.endswith(".") for _, w in words[:at]):
+        a = words[at][0]  # words in capitals before a given name
+    if a >= b or not re.search(rf"[{UP}]\w", text[a:b]):
+        return None
+    if text[a:b].isupper() and not any(w in given for _, w in words) and (SHOUTED.search(text[max(0, a - 24) : a]) or SHOUTED_ON.match(text[b : b + 24])):
+        return None  # a passage in capitals
+    if text[a:b] in places and not re.search(rf"{TITLES}\s+$", text[max(0, a - 12) : a]):
         return None
     if b - a < 3 or sum(c.isalpha() for c in text[a:b]) < 3:
         return None
@@ -364,7 +375,18 @@ def sections(text: str) -> list[tuple[int, str]]:
     return [*out, (at, text[at:])]
 
 
-def detect(tagger: Tagger, texts: list[str | None], given: frozenset[str] = frozenset()) -> list[list[tuple[int, int, str]]]:
+def _sentences(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """The spans; a name that runs over the end of a sentence is two."""
+    for a, b, kind in spans:
+        at = a
+        if kind == "name":
+            for m in re.finditer(r"(?<=\w\w)[.!?]\s+", text[a:b]):
+                yield at, a + m.start(), kind
+                at = a + m.end()
+        yield at, b, kind
+
+
+def detect(tagger: Tagger, texts: list[str | None], given: frozenset[str] = frozenset(), places: frozenset[str] = frozenset()) -> list[list[tuple[int, int, str]]]:
     """Checked spans of each text, in order and without overlap."""
     parts = [(k, at, s) for k, t in enumerate(texts) if t for at, s in sections(t)]
     out: list[list] = [[] for _ in texts]
@@ -374,8 +396,8 @@ def detect(tagger: Tagger, texts: list[str | None], given: frozenset[str] = froz
             continue
         lang = language(s[:20_000]) if any(x[2] == "name" for x in found) else "en"
         end = 0
-        for a, b, kind in found:
-            x = snap(s, a, b, kind, lang, given)
+        for a, b, kind in _sentences(s, found):
+            x = snap(s, a, b, kind, lang, given, places)
             if x and x[0] >= end:
                 out[k].append((at + x[0], at + x[1], kind))
                 end = x[1]
@@ -396,37 +418,48 @@ def sample(docs: DataFrame, doc_id: str, text: str, rows: int = SAMPLE_ROWS) ->
     return [r[0] for r in docs.join(F.broadcast(ids), doc_id, "left_semi").select(text).limit(rows).toLocalIterator() if r[0]]
 
 
-def _roster(members: DataFrame) -> list[tuple]:
-    """Names for labelling; at most 100,000 rows of the roster are used, which bounds what is collected."""
-    return [tuple(r) for r in members.select("given_name", "family_name").limit(100_000).collect()]
+def _known(members: DataFrame, col: str) -> frozenset[str]:
+    """Distinct values of a column of the roster, for the check of names; at most 100,000 are used, which bounds what is collected."""
+    if col not in members.columns:
+        return frozenset()
+    c = F.trim(F.col(col))
+    return frozenset(r[0] for r in members.select(c).where(c != "").distinct().limit(100_000).collect())
 
 
-def find(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", text: str = "text", steps: int = STEPS, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, kind, start, end, found_text) of every mention."""
-    tagger = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, doc_id, text, rows), _roster(members), steps))
-    src = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t <> ''")
+def pretrained() -> Tagger:
+    return Tagger.load(files(__package__).joinpath("pii_weights.npz").read_bytes())
+
+
+def _by_group(docs: DataFrame, members: DataFrame, doc_id: str, text: str, tagger: Tagger | None, make, schema: str) -> DataFrame:
+    sc = docs.sparkSession.sparkContext
+    model = sc.broadcast((tagger or pretrained(), _known(members, "given_name"), _known(members, "constituency")))
+    src = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tag, given, places = model.value
         for f in frames:
             for k in range(0, len(f), 500):
-                d, t = f["d"].iloc[k : k + 500].tolist(), f["t"].iloc[k : k + 500].tolist()
-                out = [(i, kind, a, b, x[a:b]) for i, x, spans in zip(d, t, detect(tagger.value, t)) for a, b, kind in spans]
-                yield pd.DataFrame(out, columns=[doc_id, "kind", "start", "end", "found_text"])
+                d = f["d"].iloc[k : k + 500].tolist()
+                t = [x if isinstance(x, str) else None for x in f["t"].iloc[k : k + 500]]
+                yield make(d, t, detect(tag, t, given, places))
+
+    return src.mapInPandas(run, f"`{doc_id}` {src.schema['d'].dataType.simpleString()}, {schema}")
+
+
+def find(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
+    """(doc_id, kind, start, end, found_text) of every mention."""
 
-    return src.mapInPandas(run, f"`{doc_id}` {src.schema['d'].dataType.simpleString()}, kind string, start int, end int, found_text string")
+    def make(d, t, found):
+        out = [(i, kind, a, b, x[a:b]) for i, x, spans in zip(d, t, found) for a, b, kind in spans]
+        return pd.DataFrame(out, columns=[doc_id, "kind", "start", "end", "found_text"])
 
+    return _by_group(docs, members, doc_id, text, tagger, make, "kind string, start int, end int, found_text string")
 
-def redacted(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", text: str = "text", steps: int = STEPS, rows: int = SAMPLE_ROWS) -> DataFrame:
+
+def redacted(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """(doc_id, text, n_replaced) with typed placeholders; null texts stay null."""
-    tagger = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, doc_id, text, rows), _roster(members), steps))
-    src = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for k in range(0, len(f), 500):
-                d, t = f["d"].iloc[k : k + 500].tolist(), f["t"].iloc[k : k + 500].tolist()
-                t = [x if isinstance(x, str) else None for x in t]
-                found = detect(tagger.value, t)
-                yield pd.DataFrame({doc_id: d, text: [x and redact(x, s) for x, s in zip(t, found)], "n_replaced": [len(s) for s in found]})
+    def make(d, t, found):
+        return pd.DataFrame({doc_id: d, text: [x and redact(x, s) for x, s in zip(t, found)], "n_replaced": [len(s) for s in found]})
 
-    return src.mapInPandas(run, f"`{doc_id}` {src.schema['d'].dataType.simpleString()}, `{text}` string, n_replaced int")
+    return _by_group(docs, members, doc_id, text, tagger, make, f"`{text}` string, n_replaced int")

@@ -64,10 +64,10 @@ def cooccurrence(recs: DataFrame) -> DataFrame:
     merged = sent.select("item", F.explode(F.arrays_zip("who", "many")).alias("e")).groupBy("item", F.col("e.who").alias("who")).agg(F.sum("e.many").alias("m"))
     merged = cut(merged)  # read three times below; a row per pair of items
     single = merged.where("item = who and item <> ''")
-    total = merged.where("item = ''").select(F.col("m").alias("n"))
+    total = merged.where("item = ''").agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     pairs = merged.where("item <> who").select(F.col("item").alias("a"), F.col("who").alias("b"), F.col("m").alias("n_ab"))
     out = pairs.join(single.select(F.col("item").alias("a"), F.col("m").alias("n_a")), "a").join(single.select(F.col("item").alias("b"), F.col("m").alias("n_b")), "b")
-    return out.join(F.broadcast(total))  # the total is one row
+    return out.withColumn("n", F.lit(total).cast("long"))
 
 
 def lift() -> Column:
