@@ -136,12 +136,20 @@ def _connected(patterns) -> list[tuple[str, str, str]]:
     return out
 
 
-def evaluate(bgp: Bgp, triples: DataFrame, literals: DataFrame | None = None) -> DataFrame:
-    """A row per match, a column per variable (without ``?``), in order of appearance. ``literals``: triples whose object is a literal."""
+def evaluate(bgp: Bgp, triples: DataFrame, literals: DataFrame | None = None, keep: list[str] | None = None, repeats: bool = False) -> DataFrame:
+    """A row per match, a column per variable (without ``?``), in order of appearance.
+
+    ``literals``: triples whose object is a literal. ``keep``: only these variables, as distinct rows; a variable is then
+    dropped, and repetitions with it, as soon as no later pattern needs it, so its bindings are never multiplied.
+    ``repeats``: the triples may be repeated; the result is made distinct instead of the (much larger) table.
+    """
     every = triples if literals is None else triples.unionByName(literals.select("s", "p", "o"))
+    order = _connected(bgp.patterns)
+    wanted = set(keep if keep is not None else bgp.variables) | {t for d in bgp.differ if all(map(is_var, d)) for t in d}
     out: DataFrame | None = None
-    for k, pattern in enumerate(_connected(bgp.patterns)):
-        scan, cols, here = every, [], {}
+    for k, pattern in enumerate(order):
+        scan, here = every, {}
+        later = wanted | {t for p in order[k + 1 :] for t in p}
         for pos, t in zip("spo", pattern):
             if not is_var(t):
                 scan = scan.where(F.col(pos) == t)
@@ -151,21 +159,27 @@ def evaluate(bgp: Bgp, triples: DataFrame, literals: DataFrame | None = None) ->
                 here[t] = pos
         if literals is not None and pattern[2] in bgp.entities:
             scan = scan.join(literals.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
-        cols = [F.col(pos).alias(t[1:]) for t, pos in here.items()]
-        scan = scan.select(*cols, F.lit(k).alias(f"__{k}")) if not cols else scan.select(*cols)
+        scan = scan.select(*[F.col(pos).alias(t[1:]) for t, pos in here.items()])
         for a, b in bgp.differ:  # terms of this scan alone, so that they reach it
             if a in here and not is_var(b):
                 scan = scan.where(F.col(a[1:]) != b)
+        bound = set() if out is None else {"?" + c for c in out.columns}
+        if keep is not None and set(here) - later - bound:
+            scan = scan.select(*[t[1:] for t in here if t in later | bound]).distinct()
         if out is None:
             out = scan
-        else:
-            shared = [c for c in out.columns if c in scan.columns]
-            if not shared:
-                raise ValueError("the pattern falls into parts that share no variable")
-            out = out.join(scan, shared)
+            continue
+        shared = [c for c in out.columns if c in scan.columns]
+        if not shared:
+            raise ValueError("the pattern falls into parts that share no variable")
+        out = out.join(scan, shared)
+        if keep is not None and {"?" + c for c in out.columns} - later:
+            out = out.select(*[c for c in out.columns if "?" + c in later]).distinct()
     assert out is not None
     both = [F.col(a[1:]) != F.col(b[1:]) for a, b in bgp.differ if is_var(a) and is_var(b)]
-    out = out.where(all_of(both)).select(*[v[1:] for v in bgp.variables])
+    out = out.where(all_of(both)).select(*[v[1:] for v in (bgp.variables if keep is None else keep)])
+    if keep is not None or repeats:
+        out = out.distinct()
     return out.orderBy(*out.columns).limit(bgp.limit) if bgp.limit else out
 
 
@@ -193,15 +207,15 @@ def as_paths(bgp: Bgp, rows: DataFrame) -> DataFrame:
     return rows.select(F.lit(bgp.distance).alias("distance"), F.lit(bgp.name).alias("template"), match.alias("match"))
 
 
-def relate(queries: list[Bgp], triples: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [as_paths(q, evaluate(q, triples)) for q in queries])
+def relate(queries: list[Bgp], triples: DataFrame, repeats: bool = False) -> DataFrame:
+    return reduce(DataFrame.unionByName, [as_paths(q, evaluate(q, triples, repeats=repeats)) for q in queries])
 
 
 def related_pairs(patterns: dict[str, Bgp], triples: DataFrame, first: str = "?e1", second: str = "?e2", limit: int | None = None) -> DataFrame:
     """(e1, e2, n_patterns, patterns): pairs by the number of patterns they match, the patterns joined by ``**``."""
     parts = []
     for name, b in patterns.items():
-        rows = evaluate(b, triples).select(F.col(first[1:]).alias("e1"), F.col(second[1:]).alias("e2")).distinct()
+        rows = evaluate(b, triples, keep=[first, second]).select(F.col(first[1:]).alias("e1"), F.col(second[1:]).alias("e2"))
         if limit:
             rows = rows.orderBy("e1", "e2").limit(limit)
         parts.append(rows.withColumn("pattern", F.lit(name)))

@@ -140,7 +140,7 @@ MIDDLE = {(1, 1, "in"): ("p0", "p1"), (1, 1, "out"): ("s0", "s1"), (1, 2, "in"):
 
 def _template(name: str, b: bgp.Bgp) -> None:
     def run(s: SparkSession, d: str) -> DataFrame:
-        return bgp.evaluate(b, graph.triples(s, d))
+        return bgp.evaluate(b, graph.edges(s, d), repeats=True)
 
     run.__name__ = name
     query(_sql_bgp(list(b.patterns), " AND ".join([f"{x} <> {y if y.startswith('?') else repr(y)}" for x, y in b.differ]) or "true"))(run)
@@ -174,18 +174,20 @@ def _sql_all() -> str:
 @query(_sql_all())
 def relfinder_all(s, d):
     """All templates between o1 and p0 in up to three edges."""
-    return bgp.relate(_ALL, graph.triples(s, d))
+    return bgp.relate(_ALL, graph.edges(s, d), repeats=True)
 
 
-SAME_NATION = bgp.Bgp((("?e1", "P1", "?n"), ("?e2", "P1", "?n"), ("?x", "P5", "?e2")))
-SUPPLIED = bgp.Bgp((("?o", "P3", "?e1"), ("?o", "P4", "?p"), ("?p", "P5", "?e2")))
+LOCATED = bgp.Bgp((("?n", "P2", "?e2"), ("?e1", "P1", "?n"), ("?o", "P3", "?e1")))
+SUPPLIED = bgp.Bgp((("?n", "P2", "?e2"), ("?s", "P1", "?n"), ("?p", "P5", "?s"), ("?o", "P4", "?p"), ("?o", "P3", "?e1")))
 
 
-@query(f"""WITH {TRIPLES}, m AS (SELECT DISTINCT a.s AS e1, b.s AS e2, 'same_nation' AS pattern FROM triples a, triples b, triples x WHERE a.p = 'P1' AND b.p = 'P1' AND a.o = b.o AND x.p = 'P5' AND x.o = b.s
-    UNION SELECT DISTINCT a.o, c.o, 'supplied' FROM triples a, triples b, triples c WHERE a.p = 'P3' AND b.p = 'P4' AND c.p = 'P5' AND a.s = b.s AND b.o = c.s)
+@query(f"""WITH {TRIPLES}, m AS (SELECT DISTINCT b.s AS e1, a.o AS e2, 'located' AS pattern FROM triples a, triples b, triples c WHERE a.p = 'P2' AND b.p = 'P1' AND b.o = a.s AND c.p = 'P3' AND c.o = b.s
+    UNION SELECT DISTINCT f.o, a.o, 'supplied' FROM triples a, triples b, (SELECT DISTINCT e.s, c.o FROM triples c, triples e WHERE c.p = 'P5' AND e.p = 'P4' AND e.o = c.s) g, triples f
+      WHERE a.p = 'P2' AND b.p = 'P1' AND b.o = a.s AND g.o = b.s AND f.p = 'P3' AND f.s = g.s)
     SELECT e1, e2, count(*) AS n_patterns, string_agg(pattern, '**' ORDER BY pattern) AS patterns FROM m GROUP BY 1, 2""")
 def related_pairs(s, d):
-    return bgp.related_pairs({"same_nation": SAME_NATION, "supplied": SUPPLIED}, graph.triples(s, d))
+    """Customers and regions: where they are, and where the suppliers of what they ordered are."""
+    return bgp.related_pairs({"located": LOCATED, "supplied": SUPPLIED}, graph.edges(s, d))
 
 
 @query(f"WITH {TRIPLES} SELECT count(*) AS n FROM triples a JOIN triples b ON a.p = 'P3' AND b.p = 'P4' AND a.s = b.s")
