@@ -36,25 +36,30 @@ def _edges(edges: DataFrame, cfg: SearchConfig) -> DataFrame:
         e = e.where(~F.col("p").isin(*cfg.ignored_properties))
     if cfg.ignored_nodes:
         e = e.where(~F.col("s").isin(*cfg.ignored_nodes) & ~F.col("o").isin(*cfg.ignored_nodes))
-    return with_inverse(e)
+    return e
 
 
-def expand(partial: DataFrame, n_rows: int, adj: DataFrame, side: str, cfg: SearchConfig, domain: DataFrame | None = None, first: bool = False) -> DataFrame:
+def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with an end among ``nodes`` (distinct, small): two probes per edge in one scan, before directions are unfolded."""
+    at = lambda c: F.broadcast(nodes.select(F.col("node").alias(c), F.lit(True).alias(f"__{c}")))
+    return edges.join(at("s"), "s", "left").join(at("o"), "o", "left").where("__s is not null or __o is not null").select("s", "p", "o")
+
+
+def expand(partial: DataFrame, n_rows: int, edges: DataFrame, side: str, cfg: SearchConfig, domain: DataFrame | None = None, first: bool = False) -> DataFrame:
     """One level: every partial path with every edge of its node that leads to a new node."""
     grow = partial.where(F.col("node") != F.col("stop"))
     tiny = n_rows <= BROADCAST_ROWS
-    step = adj
-    if domain is not None:
-        step = step.join(small(domain.select(F.col("node").alias("o"))), "o", "left_semi")
+    adj = with_inverse(touching(edges, grow.select("node").distinct()) if tiny else edges)
     if cfg.max_links is not None and not first:
-        hubs = degree(adj.join(F.broadcast(grow.select(F.col("node").alias("s")).distinct()), "s", "left_semi") if tiny else adj)
-        hubs = hubs.where(F.col("n") >= cfg.max_links).select("node")
+        hubs = degree(adj.distinct()).where(F.col("n") >= cfg.max_links).select("node")
         grow = grow.join(hubs, "node", "left_anti")
     if cfg.max_rows is not None:
         size = grow.groupBy("node").agg(F.count(F.lit(1)).alias("k")).join(degree(adj), "node").agg(F.sum(F.col("k") * F.col("n"))).first()[0] or 0
         if size > cfg.max_rows:
             raise ValueError(f"the next level would have up to {size} rows, more than {cfg.max_rows}")
-    e = step.select(F.col("s").alias("node"), "p", "o")
+    if domain is not None:
+        adj = adj.join(small(domain.select(F.col("node").alias("o"))), "o", "left_semi")
+    e = adj.select(F.col("s").alias("node"), "p", "o")
     joined = e.join(F.broadcast(grow), "node") if tiny else e.join(grow, "node")
     new = joined.where(~F.array_contains("nodes", F.col("o")))
     path = F.concat("path", F.array("p", "o")) if side == "L" else F.concat(F.array(F.col("o"), toggle(F.col("p"))), "path")
@@ -63,11 +68,11 @@ def expand(partial: DataFrame, n_rows: int, adj: DataFrame, side: str, cfg: Sear
 
 def one_side(pairs: DataFrame, edges: DataFrame, side: str, levels: int, cfg: SearchConfig, domain: DataFrame | None = None) -> DataFrame:
     """Partial paths of depth 0 to ``levels`` from the start (L) or to the end (R)."""
-    adj = _edges(edges, cfg)
+    edges = _edges(edges, cfg)
     level = _seed(pairs, "start", "end") if side == "L" else _seed(pairs, "end", "start")
     out, n = level, level.count() if levels else 0
     for k in range(levels):
-        level = expand(level, n, adj, side, cfg, domain, first=k == 0)
+        level = expand(level, n, edges, side, cfg, domain, first=k == 0)
         if k < levels - 1:
             level = cut(level)
             n = level.count()

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,11 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with checkpoint(): reliable files in the shared folder, lineage gone."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared folder and read it back: lineage is gone, executors may be lost, the
+    plan that made it runs once (an eager checkpoint would run its last stage twice) and its true size is known to Catalyst.
+    """
+    path = scratch(df.sparkSession, "cut")
+    _WRITTEN.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the tables that this process has written with ``cut``; frames built on them can no longer be read."""
+    while _WRITTEN:
+        drop_path(spark, _WRITTEN.pop())
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes up to which a side may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 8 << 20
 
 
+#: Schemas of tables already opened, by path: reading one from the footers costs a job each time.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[path] = df.schema
+    return df
 
 
 def plan_bytes(df: DataFrame) -> int:
