@@ -102,3 +102,13 @@ def hrefs(html: Column) -> Column:
 def wiki_title(html: Column) -> Column:
     """Title of the linked article: the last step of the address in the ``hreflang`` link, decoded."""
     return F.replace(url_decode(F.regexp_extract(html, r'<a [^>]*href="[^"]*/wiki/([^"]+)"[^>]*hreflang="en"', 1)), F.lit("_"), F.lit(" "))
+
+
+def comma_items(x: Column) -> Column:
+    """Non-empty items between commas."""
+    return F.filter(F.split(x, ","), lambda w: w != "")
+
+
+def key_head(x: Column) -> Column:
+    """The part of a pattern key up to its first ``}:``, the brace included; empty if there is none."""
+    return F.regexp_extract(x, r"^(.*?\})(?=:)", 1)

@@ -57,6 +57,16 @@ def adjacency(spark: SparkSession, d: str) -> DataFrame:
     return with_inverse(triples(spark, d))
 
 
+def save(tr: DataFrame, path: str) -> None:
+    """Writes triples as a table for repeated use: a folder per property, sorted by subject, so that a constant property
+    prunes folders and a constant subject prunes row groups."""
+    tr.repartition("p", F.pmod(F.xxhash64("s"), F.lit(64))).sortWithinPartitions("p", "s").write.partitionBy("p").mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("s string, o string, p string").parquet(path).select("s", "p", "o")
+
+
 def degree(adj: DataFrame) -> DataFrame:
     return adj.groupBy(F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -70,3 +70,20 @@ def meta_paths(paths: DataFrame, classes: DataFrame, default: str = "Thing") ->
     word = F.when(F.col("i") % 2 == 1, F.col("x")).otherwise(F.coalesce("class", F.lit(default)))
     seq = F.transform(F.array_sort(F.collect_list(F.struct("i", word.alias("w")))), lambda z: z["w"])
     return c.groupBy("pair_id", "path").agg(F.array_join(seq, " ").alias("meta"))
+
+
+def splits(paths: DataFrame, most: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(path, node, left_part, right_part): every inner node as a meeting of two parts of at most ``most`` edges."""
+    at = paths.select("path", *carry, F.posexplode("path").alias("i", "node")).where("i % 2 = 0 and i > 0 and i < size(path) - 1")
+    parts = at.select("path", "node", "i", *carry, F.expr("slice(path, 1, i + 1)").alias("left_part"), F.expr("slice(path, i + 1, size(path))").alias("right_part"))
+    return parts.where((F.size("left_part") <= 2 * most + 1) & (F.size("right_part") <= 2 * most + 1))
+
+
+def shared_classes(paths: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """(path, node, common): classes of nodes on both sides of a meeting node, without it, in order and joined by commas."""
+    meta = meta_paths(paths, classes).select("path", F.split("meta", " ").alias("m"))
+    s = splits(paths.join(meta, "path"), most, ("m",))
+    left = nodes(F.expr("slice(m, 1, i)"))
+    right = nodes(F.expr("slice(m, i + 3, size(m))"))
+    common = F.array_sort(F.array_distinct(F.array_intersect(left, right)))
+    return s.select("path", "node", F.array_join(common, ",").alias("common")).where("common <> ''")

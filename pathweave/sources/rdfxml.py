@@ -48,6 +48,32 @@ def parse_rdfxml(docs: DataFrame, entity: str, xml: str) -> DataFrame:
     return docs.select(F.col(entity).alias("e"), F.col(xml).alias("x")).mapInPandas(run, "entity string, p string, ntype int, value string")
 
 
+RESULT = "{http://www.w3.org/2005/sparql-results#}"
+
+
+def result_rows(xml: str | None) -> list[dict[str, str]]:
+    """Bindings by variable name of each result; nothing for null or malformed text."""
+    try:
+        root = ET.fromstring(xml) if xml else None
+    except ET.ParseError:
+        root = None
+    if root is None:
+        return []
+    return [{b.get("name"): "".join(b.itertext()).strip() for b in r.iter(RESULT + "binding")} for r in root.iter(RESULT + "result")]
+
+
+def sparql_results(docs: DataFrame, key: str, xml: str, variables: list[str]) -> DataFrame:
+    """(key, row_no, variables...): a row per result, null where a variable is not bound."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, n, *[r.get(v) for v in variables]) for k, x in zip(f["k"], f["x"]) for n, r in enumerate(result_rows(x), 1)]
+            yield pd.DataFrame(rows, columns=[key, "row_no", *variables])
+
+    schema = f"`{key}` string, row_no int, " + ", ".join(f"`{v}` string" for v in variables)
+    return docs.select(F.col(key).cast("string").alias("k"), F.col(xml).alias("x")).mapInPandas(run, schema)
+
+
 def expand_names(df: DataFrame, name: str, namespaces: DataFrame, out: str = "uri") -> DataFrame:
     """``prefix:name`` with its namespace; null where the prefix is unknown. ``namespaces``: prefix, uri."""
     ns = namespaces.select(F.col("prefix").alias("__prefix"), F.col("uri").alias("__uri"))

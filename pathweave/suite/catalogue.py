@@ -154,6 +154,13 @@ _template("relfinder_filter_cycles_1", bgp.Bgp.via_middle("o1", "o2", 2, 2, True
 _template("relfinder_filter_cycles_2", bgp.Bgp.via_middle("n0", "n1", 2, 2, False).filtered(cycles=2, ends=("n0", "n1")))
 _template("relfinder_filter_ignored", bgp.Bgp.direct("o1", "r0", 4).filtered(ignored_objects=("c0", "p0"), ignored_properties=("P3",), ends=("o1", "r0")))
 
+@query(_sql_bgp([("o1", "?pf1", "?of1"), ("?of1", "?pf2", "?of2"), ("?of2", "?pf3", "?of3"), ("?of3", "?pf4", "r0")]) + " ORDER BY ALL LIMIT 3")
+def relfinder_limit(s, d):
+    """A template with LIMIT, in the order of its columns."""
+    b = bgp.Bgp.direct("o1", "r0", 4)
+    return bgp.evaluate(bgp.Bgp(b.patterns, limit=3), graph.edges(s, d), repeats=True)
+
+
 _ALL = bgp.templates("o1", "p0", 3, cycles=1)
 
 
@@ -320,6 +327,17 @@ def csv_chunks(s, d):
     return recs.groupBy("query_id").agg((F.count(F.lit(1)) - 1).alias("n"))
 
 
+@query("SELECT 'q' || n_regionkey AS query, n_nationkey AS k, 'http://kb.example/n' || n_nationkey AS s, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS name FROM nation")
+def sparql_xml_rows(s, d):
+    """XML results bound by variable name; unbound variables are null."""
+    n = table(s, d, "nation")
+    k = F.col("n_nationkey").cast("string")
+    xml = F.concat(F.lit('<sparql xmlns="http://www.w3.org/2005/sparql-results#"><head><variable name="s"/><variable name="name"/></head><results><result><binding name="s"><uri>http://kb.example/n'), k, F.lit("</uri></binding>"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('<binding name="name"><literal>'), "n_name", F.lit("</literal></binding>"))).otherwise(""), F.lit("</result></results></sparql>"))
+    docs = n.select(F.concat(F.lit("q"), F.col("n_regionkey").cast("string"), F.lit(" "), k).alias("id"), xml.alias("x"))
+    rows = rdfxml.sparql_results(docs, "id", "x", ["s", "name"])
+    return rows.select(F.split_part("id", F.lit(" "), F.lit(1)).alias("query"), F.split_part("id", F.lit(" "), F.lit(2)).cast("int").alias("k"), "s", "name")
+
+
 @query()
 def html_table_extract(s, d):
     n = table(s, d, "nation")

@@ -248,19 +248,46 @@ def property_pairs(s, d):
     SELECT path, array_to_string(list_transform(range(1, len(x) + 1), lambda k: CASE WHEN k % 2 = 0 THEN x[k] ELSE coalesce(m[x[k]], 'Thing') END), ' ') AS meta
     FROM (SELECT path, string_split(path, ' ') AS x FROM paths), (SELECT map_from_entries(list((node, class))) AS m FROM cls)""")
 def meta_paths(s, d):
-    cls = table(s, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_mktsegment").alias("class"))
-    cls = cls.unionByName(table(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_type").alias("class")))
-    return paths.meta_paths(_flag(s, d), cls).select(paths.text(F.col("path")).alias("path"), "meta")
+    return paths.meta_paths(_flag(s, d), _classes(s, d)).select(paths.text(F.col("path")).alias("path"), "meta")
 
 
-@query(_FLAG + """, words AS (SELECT path, unnest(list_filter(range(1, len(x) + 1), lambda k: k % 2 = 1 AND k > 1 AND k < len(x))) AS k, x FROM (SELECT path, string_split(path, ' ') AS x FROM paths)),
-    m AS (SELECT path, x[k] AS node, x[1 : k] AS l, x[k :] AS r FROM words) SELECT node, array_to_string(l, ' ') AS left_part, array_to_string(r, ' ') AS right_part FROM m WHERE (len(l) + 1) // 2 <= 3 AND (len(r) + 1) // 2 <= 3""")
-def meta_path_common(s, d):
+_CLASSES = """, cls AS (SELECT 'c' || c_custkey AS node, c_mktsegment AS class FROM customer UNION ALL SELECT 'p' || p_partkey, p_type FROM part),
+x AS (SELECT path, string_split(path, ' ') AS w, list_transform(range(1, len(w) + 1), lambda k: CASE WHEN k % 2 = 0 THEN w[k] ELSE coalesce(m[w[k]], 'Thing') END) AS c
+  FROM (SELECT path, string_split(path, ' ') AS w FROM paths), (SELECT map_from_entries(list((node, class))) AS m FROM cls)),
+cutat AS (SELECT path, w, c, unnest(list_filter(range(1, len(w) + 1), lambda k: k % 2 = 1 AND k > 1 AND k < len(w))) AS k FROM x)"""
+
+
+def _classes(s, d) -> DataFrame:
+    cust = table(s, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_mktsegment").alias("class"))
+    return cust.unionByName(table(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_type").alias("class")))
+
+
+@query(_FLAG + _CLASSES + " SELECT w[k] AS node, array_to_string(w[1 : k], ' ') AS left_part, array_to_string(w[k :], ' ') AS right_part FROM cutat WHERE k <= 5 AND len(w) - k < 5")
+def path_splits(s, d):
     """Every inner node of a found path as a meeting of a left and a right part of at most two edges."""
-    p = _flag(s, d)
-    at = p.select("path", F.posexplode("path").alias("i", "node")).where("i % 2 = 0 and i > 0 and i < size(path) - 1")
-    parts = at.select("node", F.expr("slice(path, 1, i + 1)").alias("l"), F.expr("slice(path, i + 1, size(path))").alias("r"))
-    return parts.where("size(l) <= 5 and size(r) <= 5").select("node", paths.text(F.col("l")).alias("left_part"), paths.text(F.col("r")).alias("right_part"))
+    return paths.splits(_flag(s, d), 2).select("node", paths.text(F.col("left_part")).alias("left_part"), paths.text(F.col("right_part")).alias("right_part"))
+
+
+@query(_FLAG + _CLASSES + """, v AS (SELECT w[k] AS node, path, list_filter(c[1 : k - 1], lambda y, j: j % 2 = 1) AS l, list_filter(c[k + 1 :], lambda y, j: j % 2 = 0) AS r FROM cutat WHERE k <= 5 AND len(w) - k < 5)
+    SELECT node, path, array_to_string(list_sort(list_distinct(list_intersect(l, r))), ',') AS common FROM v WHERE len(list_intersect(l, r)) > 0""")
+def meta_path_common(s, d):
+    """Vertices that the meta-paths of the two parts share besides the meeting node."""
+    return paths.shared_classes(_flag(s, d), _classes(s, d), 2).select("node", paths.text(F.col("path")).alias("path"), "common")
+
+
+@query("""SELECT DISTINCT sequence, level, node, side FROM (SELECT sequence, level, node, upper(trim(side)) AS side FROM l_wobject_extend) WHERE sequence IS NOT NULL AND level IS NOT NULL AND side IN ('L', 'R')""")
+def frontier_insert(s, d):
+    """First-seen nodes of each level and side of the stored frontiers."""
+    f = table(s, d, "l_wobject_extend").select("sequence", "level", "node", F.upper(F.trim("side")).alias("side"))
+    return f.where("sequence is not null and level is not null and side in ('L', 'R')").dropDuplicates(["sequence", "level", "node", "side"])
+
+
+@query(_FLAG + ARROWS + " SELECT path, arg_max(o, pos) AS last_node, max(pos) AS n FROM arrows GROUP BY path")
+def serialised_paths(s, d):
+    """Arrows written as JSON and read back."""
+    p = _flag(s, d).withColumn("json", F.to_json(paths.arrows(F.col("path"))))
+    back = p.withColumn("back", F.from_json("json", "array<struct<s:string,p:string,o:string>>"))
+    return back.withColumn("path", paths.text(F.col("path"))).select("path", F.element_at("back", -1)["o"].alias("last_node"), F.size("back").alias("n"))
 
 
 # Cardinalities ------------------------------------------------------------------------------------------------------
