@@ -141,5 +141,9 @@ SQL = {
     "p6_found": f"SELECT origin, row_id FROM (SELECT *, min(row_id) OVER (PARTITION BY origin, sequence, k) AS f FROM ({_KEYS}) WHERE k IS NOT NULL) WHERE row_id > f",
     "p6_report": f"""SELECT origin, count(*) AS n_rows, count(*) - count(k) AS n_null, count(DISTINCT CASE WHEN k IS NOT NULL THEN sequence || '|' || k END) AS n_new,
         count(k) - count(DISTINCT CASE WHEN k IS NOT NULL THEN sequence || '|' || k END) AS n_repeat, 0::bigint AS n_wrong, 0.0::double AS wrong_rate FROM ({_KEYS}) GROUP BY 1""",
+    "p7_report": "WITH " + _RUNS.replace("dr AS (SELECT DISTINCT doc_id, ", "dr AS (SELECT doc_id, k, ") + """,
+        hit AS (SELECT DISTINCT doc_id, item_id, k FROM dr JOIN ir USING (r)), isl AS (SELECT doc_id, item_id, k - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k) AS g FROM hit),
+        run AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM isl GROUP BY doc_id, item_id, g)
+        SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items, max(n) AS longest_run FROM run GROUP BY 1""",
     "p7_found": "WITH " + _RUNS + " SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r)",
 }
