@@ -124,7 +124,7 @@ _WHITE = "'[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+'"
 _KEYS = " UNION ALL ".join(
     f"SELECT '{o}' AS origin, {i} AS row_id, sequence, nullif(trim(regexp_replace({c}, {_WHITE}, ' ', 'g')), '') AS k FROM {o}" for o, i, c in (("hobjects", "obj_id", "object"), ("hlist_paths", "path_id", "string_path"))
 )
-_WORDS = r"list_filter(regexp_split_to_array(lower(strip_accents(regexp_replace(text, '([\p{L}\p{N}])-[ \t]*\r?\n\s*([\p{L}\p{N}])', '\1\2', 'g'))), '[^\p{L}\p{N}\p{M}]+'), lambda x: x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(replace(lower(strip_accents(regexp_replace(text, '([\p{L}\p{N}])-[ \t]*\r?\n\s*([\p{L}\p{N}])', '\1\2', 'g'))), 'ß', 'ss'), '[^\p{L}\p{N}\p{M}]+'), lambda x: x <> '')"
 _RUNS = f"""
 d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 dr AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 11], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
