@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,20 +36,28 @@ def cut(df: DataFrame) -> DataFrame:
     plan that made it runs once (an eager checkpoint would run its last stage twice) and its true size is known to Catalyst.
     """
     path = scratch(df.sparkSession, "cut")
-    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean(spark: SparkSession) -> None:
-    """Removes the tables that this process has written with ``cut``; frames built on them can no longer be read."""
+    """Removes the tables that this process has written below the shared folder; frames built on them can no longer be read."""
     while _WRITTEN:
         drop_path(spark, _WRITTEN.pop())
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``clean`` removes it, and so does the end of the process where it is a plain file path."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+@atexit.register
+def _sweep() -> None:
+    for path in _WRITTEN:
+        if re.match(r"(file:)?/", path):
+            shutil.rmtree(re.sub(r"^file:/+", "/", path), ignore_errors=True)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
