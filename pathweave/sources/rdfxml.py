@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small
+
 RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
 LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 
@@ -79,4 +81,4 @@ def expand_names(df: DataFrame, name: str, namespaces: DataFrame, out: str = "ur
     ns = namespaces.select(F.col("prefix").alias("__prefix"), F.col("uri").alias("__uri"))
     keyed = df.withColumn("__prefix", F.substring_index(name, ":", 1))
     rest = F.expr(f"substring(`{name}`, instr(`{name}`, ':') + 1)")
-    return keyed.join(F.broadcast(ns) if ns.isLocal() else ns, "__prefix", "left").withColumn(out, F.concat("__uri", rest)).drop("__prefix", "__uri")
+    return keyed.join(small(ns), "__prefix", "left").withColumn(out, F.concat("__uri", rest)).drop("__prefix", "__uri")
