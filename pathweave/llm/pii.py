@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import plan_bytes
 from .tagger import Tagger
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
@@ -430,10 +431,19 @@ def pretrained() -> Tagger:
     return Tagger.load(files(__package__).joinpath("pii_weights.npz").read_bytes())
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for a costly step: four a core, but none of more than 16 MB (up to 100 TB in a million tasks) or less than 64 KB of input."""
+    size, usual = plan_bytes(df), 4 * df.sparkSession.sparkContext.defaultParallelism
+    if size > 1 << 60:  # not known
+        return usual
+    return max(1, min(-(-size // (64 << 10)), max(usual, size // (16 << 20)), 1_000_000))
+
+
 def _by_group(docs: DataFrame, members: DataFrame, doc_id: str, text: str, tagger: Tagger | None, make, schema: str) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     model = sc.broadcast((tagger or pretrained(), _known(members, "given_name"), _known(members, "constituency")))
     src = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
+    src = src.repartition(_tasks(src), "d")  # tagging costs far more than moving the texts; file splits would be too few or too long
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tag, given, places = model.value
