@@ -165,12 +165,17 @@ def parse_block(header: str, texts: list[str | None], leaf: int = 32, domains: d
     return out
 
 
-def load_records(df: DataFrame, header: str = "header", text: str = "texto", leaf: int = 32) -> DataFrame:
-    """``df`` with ``reason`` (null for good records) and ``fields`` (variable -> value, null for bad ones). No shuffle."""
+def load_records(df: DataFrame, header: str = "header", text: str = "texto", leaf: int = 32, domains: dict[str, str] = DOMAINS) -> DataFrame:
+    """``df`` with ``reason`` (null for good records) and ``fields`` (variable -> value, null for bad ones). No shuffle.
+
+    With empty ``domains`` any value is good, and only the form of the records counts.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField("reason", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType()))])
     if {"reason", "fields"} & set(df.columns):
         raise ValueError("columns named reason or fields would clash; rename them first")
 
+    other = {} if domains is DOMAINS else {"domains": domains}  # DOMAINS is known by identity, which a copy sent to a worker has not
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 4 * LARGEST):
@@ -181,7 +186,7 @@ def load_records(df: DataFrame, header: str = "header", text: str = "texto", lea
                     by.setdefault(h, []).append(k)
                 reason, fields = [None] * len(heads), [None] * len(heads)
                 for h, ks in by.items():
-                    found = [diagnose(None, None)] * len(ks) if h is None else parse_block(h, [texts[k] for k in ks], leaf)
+                    found = [diagnose(None, None)] * len(ks) if h is None else parse_block(h, [texts[k] for k in ks], leaf, **other)
                     names = [] if h is None else [x.strip() for x in h.split(",")]
                     for k, (why, f) in zip(ks, found):
                         reason[k] = why

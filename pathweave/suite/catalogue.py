@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import classes, graph, nested
 from ..plans import bgp
-from ..sources import csvtext, html, rdfxml
+from ..sources import badrows, csvtext, html, rdfxml
 from ..sources.tables import table
 from .sqltext import TRIPLES
 
@@ -310,9 +310,12 @@ def url_coding(s, d):
 
 @query("SELECT query_id, line_id, record[1] AS a FROM (SELECT DISTINCT query_id, line_id, string_split(texto, ',') AS record FROM sparql WHERE header = 's,n' AND regexp_full_match(texto, 'http[^\",\\s]*,[0-9]+'))")
 def csv_rows(s, d):
-    """Plain records read with from_csv, bound by variable name."""
-    r = table(s, d, "sparql").where(F.col("header") == "s,n").where(F.col("texto").rlike(r'^http[^",\s]*,[0-9]+\z')).select("query_id", "line_id", "texto").distinct()
-    return r.select("query_id", "line_id", F.from_csv("texto", "s string, n string")["s"].alias("a"))
+    """Every record read by its own header: a row per variable; a record that cannot be read keeps a row with the reason.
+
+    The SQL, from when only plain records of one header were read, covers a part of this and differs.
+    """
+    r = table(s, d, "sparql").select("query_id", "line_id", "header", "texto")
+    return badrows.load_records(r, domains={}).select("query_id", "line_id", "reason", F.explode_outer("fields").alias("variable", "value")).distinct()
 
 
 @query("SELECT query_id, count(*) - 1 AS n FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(t, '[\\r\\n]+'), lambda x: x <> '')) AS l FROM (SELECT query_id, 'head' || chr(10) || string_agg(texto, chr(10) ORDER BY line_id) AS t FROM (SELECT DISTINCT line_id, query_id, texto FROM sparql) WHERE texto IS NOT NULL GROUP BY 1)) GROUP BY 1")

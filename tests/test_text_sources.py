@@ -52,3 +52,19 @@ def test_class_scores(spark):
     got = {r.entity: (r["class"], r.score) for r in classes.immediate(classes.rank_classes(cands, facts)).collect()}
     assert got == {"e": ("Deep", 13.0), "f": ("Shallow", 5.5), "g": ("Thing", 0.0)}
     assert spark.range(1).select(classes.in_domain(F.lit(None).cast("string"), ("a",))).first()[0] is False
+
+
+def test_csv_rows_reads_every_header_and_form(spark, tmp_path):
+    """By brute force with Python's csv module; odd records keep a row with their reason."""
+    import csv
+
+    from pathweave.suite import catalogue
+
+    good = [(1, "s,n", "http://k/a,1"), (2, "s,n", '"http://k/b","2"\r\n'), (3, "s,p,o", 'http://k/a,http://k/p,"a, ""b""\nc"'), (4, "class,n", "x,-1"), (5, "e1,p,e2,score", "a,b,,1e3\n"), (6, "s,label,d", '"é","","2023-02-29"')]
+    odd = [(7, "s,n", "http://k/a", "column_count"), (8, "s,n", '"x,1', "quoting"), (9, "s,n", None, "column_count"), (10, None, "a", "column_count")]
+    rows = [(9, *r) for r in [*good, *[x[:3] for x in odd], good[0]]]
+    spark.createDataFrame(rows, "query_id long, line_id long, header string, texto string").write.parquet(str(tmp_path / "sparql.parquet"))
+    want = {(9, k, None, h, v) for k, header, t in good for h, v in zip(header.split(","), next(csv.reader(t.splitlines(keepends=True))))}
+    want |= {(9, k, why, None, None) for k, _, _, why in odd}
+    got = [(r.query_id, r.line_id, r.reason, r.variable, r.value) for r in catalogue.csv_rows(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
