@@ -395,7 +395,7 @@ def detect(tagger: Tagger, texts: list[str | None], given: frozenset[str] = froz
         found = tagger.spans(tags)
         if not found:
             continue
-        lang = language(s[:20_000]) if any(x[2] == "name" for x in found) else "en"
+        lang = language(texts[k]) if any(x[2] == "name" for x in found) else "en"
         end = 0
         for a, b, kind in _sentences(s, found):
             x = snap(s, a, b, kind, lang, given, places)

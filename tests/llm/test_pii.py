@@ -136,3 +136,27 @@ def test_frames(spark):
 @pytest.mark.parametrize("lang,text", [("fr", "le vote de la commission est clos"), ("de", "die Sitzung ist eröffnet und der Bericht"), ("en", "")])
 def test_language(lang, text):
     assert pii.language(text) == lang
+
+
+class Fixed:
+    """Stands in for the tagger: tags the places of given words."""
+
+    def __init__(self, word: str):
+        self.word = word
+
+    def tag(self, texts):
+        return texts
+
+    def spans(self, text):
+        a = text.find(self.word)
+        return [(a, a + len(self.word), "name")] if a >= 0 else []
+
+
+def test_language_is_that_of_the_whole_text():
+    french = "Je remercie M. Dupont de cette remarque sur le rapport. " + "Le vote de la commission est clos. " * 1500
+    english = "I thank M. Dupont for that remark. " + "The vote of the house is closed and the report is not. " * 1500
+    for begin, end, want in (("The vote of the house is on. " * 800, french, "Dupont"), ("Le vote de la commission est clos. " * 700, english, "M. Dupont")):
+        assert len(begin) > 20_000
+        text = begin + end
+        (a, b, _), = pii.detect(Fixed("M. Dupont"), [text])[0]
+        assert text[a:b] == want
