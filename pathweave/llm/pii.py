@@ -6,9 +6,8 @@ and name forms in the same sentence) so that the tagger learns contexts and shap
 ``pii_weights.npz`` were trained so by ``train_pii``, and ``find`` uses them unless it is given another tagger. It tags
 every document whole; a span proposed is then snapped to the form of its kind next to it, or dropped if there is none.
 
-Defined results: null and empty texts hold nothing; texts of any length are read whole (in sections of ``SECTION``
-characters cut at white space); repeated mentions give one row each in ``find`` and one in the query; rows with a null id
-are kept with that id.
+Defined results: null and empty texts hold nothing; texts of any length are tagged whole; repeated mentions give one
+row each in ``find`` and one in the query; rows with a null id are kept with that id.
 """
 
 from __future__ import annotations
@@ -367,6 +366,7 @@ def snap(text: str, a: int, b: int, kind: str, lang: str, given: frozenset[str]
 
 
 def sections(text: str) -> list[tuple[int, str]]:
+    """Parts of at most about ``SECTION`` characters, cut at white space. ``detect`` takes texts whole: a cut may split a mention."""
     out, at = [], 0
     while len(text) - at > SECTION:
         cut = max(text.rfind("\n", at + 1, at + SECTION), text.rfind(" ", at + SECTION - 2000, at + SECTION), at)
@@ -389,18 +389,17 @@ def _sentences(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[i
 
 def detect(tagger: Tagger, texts: list[str | None], given: frozenset[str] = frozenset(), places: frozenset[str] = frozenset()) -> list[list[tuple[int, int, str]]]:
     """Checked spans of each text, in order and without overlap."""
-    parts = [(k, at, s) for k, t in enumerate(texts) if t for at, s in sections(t)]
     out: list[list] = [[] for _ in texts]
-    for (k, at, s), tags in zip(parts, tagger.tag([p[2] for p in parts])):
+    for k, (t, tags) in enumerate(zip(texts, tagger.tag([t or "" for t in texts]))):
         found = tagger.spans(tags)
         if not found:
             continue
-        lang = language(texts[k]) if any(x[2] == "name" for x in found) else "en"
+        lang = language(t) if any(x[2] == "name" for x in found) else "en"
         end = 0
-        for a, b, kind in _sentences(s, found):
-            x = snap(s, a, b, kind, lang, given, places)
+        for a, b, kind in _sentences(t, found):
+            x = snap(t, a, b, kind, lang, given, places)
             if x and x[0] >= end:
-                out[k].append((at + x[0], at + x[1], kind))
+                out[k].append((*x, kind))
                 end = x[1]
     return out
 

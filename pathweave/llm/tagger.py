@@ -234,8 +234,8 @@ class Tagger:
                 cur[:a] = back[t, rows[:a], cur[:a]]
         return [out[:m, j] for j, m in enumerate(lens)]
 
-    def tag(self, texts: list[str], window: int = 256, overlap: int = 48, batch: int = 384, group: int = 400_000) -> list[np.ndarray]:
-        """Tags of whole texts of any length."""
+    def tag(self, texts: list[str], window: int = 256, overlap: int = 48, batch: int = 384, group: int = 400_000, long: int = 20_000) -> list[np.ndarray]:
+        """Tags of whole texts of any length; those of more than ``long`` characters one by one."""
         out: list = [None] * len(texts)
         order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
         part: list[int] = []
@@ -244,6 +244,9 @@ class Tagger:
             if not texts[k]:
                 out[k] = np.zeros(0, np.int8)
                 continue
+            if len(texts[k]) > long:
+                out[k] = self._tag_long(texts[k], window, overlap, batch)
+                continue
             part.append(k)
             size += len(texts[k])
             if size > group or len(part) * len(texts[part[0]]) > 2 * group:
@@ -253,6 +256,56 @@ class Tagger:
             self._tag(texts, part, out, window, overlap, batch)
         return out
 
+    def _tag_long(self, text: str, window: int, overlap: int, batch: int) -> np.ndarray:
+        """Tags of one text by the same windows and one path, with the emissions of a batch of windows in memory at a time.
+
+        Only the steps back are kept for the whole text. Scores are taken from the best one, or they would outgrow float32.
+        """
+        sym, step = self.encode(text), window - overlap
+        n = len(sym)
+        trt = np.ascontiguousarray((self.p["t"] + self.mask).T)
+        score = self.p["s"].copy()
+        score[2::2] = NEG
+        back, tags = np.zeros((n, self.k), np.int8), np.zeros(n, np.int8)
+        starts = range(0, max(1, n - overlap), step)
+        lo, total, weight = 0, np.zeros((0, self.k), np.float32), np.zeros((0, 1), np.float32)  # sums from lo on
+        for b in range(0, len(starts), batch):
+            mine = starts[b : b + batch]
+            more = min(mine[-1] + window, n) - lo - len(total)
+            total, weight = (np.concatenate([x, np.zeros((more, x.shape[1]), np.float32)]) for x in (total, weight))
+            rows = np.zeros((len(mine), min(window, n)), np.int16)
+            for r, a in enumerate(mine):
+                x = sym[a : a + window]
+                rows[r, : len(x)] = x
+            self._add(self.emissions(rows), [(a - lo, min(window, n - a), a > 0, a + window < n) for a in mine], [total] * len(mine), [weight] * len(mine), overlap)
+            done = (starts[b + batch] if b + batch < len(starts) else n) - lo
+            for t, e in enumerate(total[:done] / weight[:done], lo):
+                if t:
+                    s = score + trt
+                    back[t] = s.argmax(1)
+                    score = s.max(1)
+                score = score + e
+                score -= score.max()
+            lo, total, weight = lo + done, total[done:], weight[done:]
+        cur = int(score.argmax())
+        for t in range(n - 1, -1, -1):
+            tags[t] = cur
+            cur = back[t, cur]
+        return tags
+
+    @staticmethod
+    def _add(e, places, totals, weights, overlap) -> None:
+        """Adds the emissions of windows to the sums of their texts. ``places``: start, length, whether text goes before and after."""
+        ramp = np.arange(1, overlap + 1, dtype=np.float32)[:, None] / (overlap + 1)
+        for r, ((a, m, before, after), total, weight) in enumerate(zip(places, totals, weights)):
+            w = np.ones((m, 1), np.float32)
+            if before:
+                w[:overlap] = ramp[: min(overlap, m)]
+            if after:
+                w[-overlap:] = np.minimum(w[-overlap:], ramp[::-1])
+            total[a : a + m] += e[r, :m] * w
+            weight[a : a + m] += w
+
     def _tag(self, texts, part, out, window, overlap, batch) -> None:
         syms = [self.encode(texts[k]) for k in part]
         step = window - overlap
@@ -267,17 +320,8 @@ class Tagger:
             for r, (j, a) in enumerate(mine):
                 x = syms[j][a : a + window]
                 sym[r, : len(x)] = x
-            e = self.emissions(sym)
-            for r, (j, a) in enumerate(mine):
-                m = min(window, len(syms[j]) - a)
-                w = np.ones((m, 1), np.float32)
-                ramp = np.arange(1, overlap + 1, dtype=np.float32)[:, None] / (overlap + 1)
-                if a:
-                    w[:overlap] = ramp[: min(overlap, m)]
-                if a + window < len(syms[j]):
-                    w[-overlap:] = np.minimum(w[-overlap:], ramp[::-1])
-                total[j][a : a + m] += e[r, :m] * w
-                weight[j][a : a + m] += w
+            places = [(a, min(window, len(syms[j]) - a), a > 0, a + window < len(syms[j])) for j, a in mine]
+            self._add(self.emissions(sym), places, [total[j] for j, _ in mine], [weight[j] for j, _ in mine], overlap)
         for k, tags in zip(part, self.viterbi([t / w for t, w in zip(total, weight)])):
             out[k] = tags
 

@@ -160,3 +160,21 @@ def test_language_is_that_of_the_whole_text():
         text = begin + end
         (a, b, _), = pii.detect(Fixed("M. Dupont"), [text])[0]
         assert text[a:b] == want
+
+
+@pytest.mark.parametrize("mention,kind,want,cut", [("I thank Mrs Marit Quiverholt for that remark.", "name", "Marit Quiverholt", 18), ("The house at 12 Copper Row, 4410 Quillmoor has been empty.", "address", "12 Copper Row, 4410 Quillmoor", 28), ("Call +999 21 555 08 13, if you doubt me.", "phone", "+999 21 555 08 13", 13)])
+def test_mention_at_any_place_of_a_long_text(monkeypatch, mention, kind, want, cut):
+    monkeypatch.setattr(pii, "SECTION", 25_000)
+    filler = "The vote was 10 to 4. " * 1300
+    text = filler[:22] * ((25_000 - cut) // 22)
+    text += " " * (25_000 - cut - len(text)) + mention + " " + filler
+    found = [(k, text[a:b]) for a, b, k in pii.detect(pii.pretrained(), [text], frozenset(GIVEN))[0]]
+    assert (kind, want) in found and want not in pii.redact(text, pii.detect(pii.pretrained(), [text], frozenset(GIVEN))[0])
+
+
+def test_long_texts_are_tagged_as_short_ones():
+    t = pii.pretrained()
+    texts = [" ".join(c[0] for c in CASES) * n for n in (1, 3)] + ["a", "x" * 256]
+    for batch in (2, 5, 384):
+        for a, b in zip(t.tag(texts), t.tag(texts, batch=batch, long=0)):
+            assert a.tolist() == b.tolist()
