@@ -78,8 +78,10 @@ class Tagger:
     # forward pass ---------------------------------------------------------------------------------------------------
 
     def emissions(self, sym: np.ndarray) -> np.ndarray:
-        """(n, length, tags) of a batch of symbol rows (n, length)."""
+        """(n, length, tags) of a batch of symbol rows (n, length), padded with 0 at their ends; padding leaves no trace."""
         n, length = sym.shape
+        lens = (sym != 0).sum(1)
+        padded = length - lens.min()
         h = self.hidden
         x = self.p["x"].copy()
         u = self.p["u"].copy()
@@ -104,6 +106,8 @@ class Tagger:
             np.tanh(cell, out=tmp)
             state = hs[t]
             np.multiply(tmp, z[..., 2 * h : 3 * h], out=state)
+            if t < padded:  # backwards, a row begins at its own end
+                state[1, lens < length - t] = cell[1, lens < length - t] = 0
         wo = self.p["wo"]
         return (hs[:, 0] @ wo[:h] + hs[::-1, 1] @ wo[h:] + self.p["bo"]).transpose(1, 0, 2)
 

@@ -178,3 +178,15 @@ def test_long_texts_are_tagged_as_short_ones():
     for batch in (2, 5, 384):
         for a, b in zip(t.tag(texts), t.tag(texts, batch=batch, long=0)):
             assert a.tolist() == b.tolist()
+
+
+def test_neighbours_in_a_batch_do_not_matter():
+    t = pii.pretrained()
+    short, long = [c[0] for c in CASES], "The vote of the house was 10 to 4, and it is closed. " * 5
+    alone = [t.emissions(t.encode(x)[None])[0] for x in short]
+    rows = np.zeros((len(short) + 1, len(long)), np.int16)
+    for r, x in enumerate([*short, long]):
+        rows[r, : len(x)] = t.encode(x)
+    for x, a, b in zip(short, alone, t.emissions(rows)):
+        assert np.abs(a - b[: len(x)]).max() < 1e-2
+    assert [x.tolist() for x in t.tag([*short, long])[:-1]] == [t.tag([x])[0].tolist() for x in short]
