@@ -419,11 +419,11 @@ def sample(docs: DataFrame, doc_id: str, text: str, rows: int = SAMPLE_ROWS) ->
 
 
 def _known(members: DataFrame, col: str) -> frozenset[str]:
-    """Distinct values of a column of the roster, for the check of names; at most 100,000 are used, which bounds what is collected."""
+    """Distinct values of a column of the roster, for the check of names: all of them; Spark refuses to collect more than ``spark.driver.maxResultSize``."""
     if col not in members.columns:
         return frozenset()
     c = F.trim(F.col(col))
-    return frozenset(r[0] for r in members.select(c).where(c != "").distinct().limit(100_000).collect())
+    return frozenset(r[0] for r in members.select(c).where(c != "").distinct().collect())
 
 
 def pretrained() -> Tagger:

@@ -190,3 +190,8 @@ def test_neighbours_in_a_batch_do_not_matter():
     for x, a, b in zip(short, alone, t.emissions(rows)):
         assert np.abs(a - b[: len(x)]).max() < 1e-2
     assert [x.tolist() for x in t.tag([*short, long])[:-1]] == [t.tag([x])[0].tolist() for x in short]
+
+
+def test_every_name_of_a_large_roster_is_known(spark):
+    roster = spark.range(100_500).selectExpr("concat(' N', id) AS given_name")
+    assert pii._known(roster, "given_name") == {f"N{k}" for k in range(100_500)}
