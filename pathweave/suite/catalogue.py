@@ -304,8 +304,9 @@ def cached_description(s, d):
 
 @query("SELECT DISTINCT url, replace(replace(replace(url, ':', '%3A'), '/', '%2F'), '_', '%5F') AS encoded, url AS decoded FROM client6380 WHERE regexp_full_match(url, '[A-Za-z0-9:/_]*(\\.[a-z]+)?[A-Za-z0-9:/_]*') AND NOT contains(url, '.')  UNION SELECT DISTINCT url, replace(replace(replace(replace(url, ':', '%3A'), '/', '%2F'), '_', '%5F'), '.', '%2E'), url FROM client6380 WHERE contains(url, '.') AND regexp_full_match(url, '[A-Za-z0-9:/_.]*')")
 def url_coding(s, d):
-    u = table(s, d, "client6380").select("url").where(F.col("url").rlike("^[A-Za-z0-9:/_.]*$")).distinct()
-    return u.select("url", X.url_encode(F.col("url")).alias("encoded"), X.url_decode(X.url_encode(F.col("url"))).alias("decoded"))
+    """Every URL in form encoding, where ``+`` stands for a blank only, and decoded again."""
+    u = table(s, d, "client6380").select("url").where("url is not null").distinct().withColumn("encoded", X.url_encode(F.col("url")))
+    return u.withColumn("decoded", X.url_decode(F.replace("encoded", F.lit("+"), F.lit("%20"))))
 
 
 @query("SELECT query_id, line_id, record[1] AS a FROM (SELECT DISTINCT query_id, line_id, string_split(texto, ',') AS record FROM sparql WHERE header = 's,n' AND regexp_full_match(texto, 'http[^\",\\s]*,[0-9]+'))")

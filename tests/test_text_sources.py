@@ -68,3 +68,13 @@ def test_csv_rows_reads_every_header_and_form(spark, tmp_path):
     want |= {(9, k, why, None, None) for k, _, _, why in odd}
     got = [(r.query_id, r.line_id, r.reason, r.variable, r.value) for r in catalogue.csv_rows(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_url_coding_takes_every_url(spark, tmp_path):
+    """By brute force, a character at a time."""
+    from pathweave.suite import catalogue
+
+    urls = ["http://k/a_b.c", "http://k/a-b~*", "http://k/a b+c", "http://k/?q=%20&x[]=1#f", "http://k/é/\U0001f600", "", 'a"b,c']
+    spark.createDataFrame([(u,) for u in [*urls, urls[0], None]], "url string").write.parquet(str(tmp_path / "client6380.parquet"))
+    code = lambda c: c if c.isascii() and c.isalnum() else "+" if c == " " else "".join(f"%{b:02X}" for b in c.encode())
+    assert sorted(map(tuple, catalogue.url_coding(spark, str(tmp_path)).collect())) == sorted((u, "".join(map(code, u)), u) for u in urls)
