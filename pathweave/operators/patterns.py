@@ -85,13 +85,36 @@ def overlap(pairs: DataFrame, freq: DataFrame) -> DataFrame:
     at = positions(freq)
     a = at.select(F.col("pattern").alias("pattern_a"), F.col("size").alias("size_a"), "prop", F.col("pos").alias("pos_a"))
     b = at.select(F.col("pattern").alias("pattern_b"), F.col("size").alias("size_b"), "prop", F.col("pos").alias("pos_b"))
-    m = pairs.join(a, "pattern_a").join(b, ["pattern_b", "prop"])
+    return _joinable(pairs.join(a, "pattern_a").join(b, ["pattern_b", "prop"]))
+
+
+def _joinable(m: DataFrame) -> DataFrame:
     first_a, first_b = F.col("pos_a") == 1, F.col("pos_b") == 1
     last_a, last_b = F.col("pos_a") == F.col("size_a"), F.col("pos_b") == F.col("size_b")
     ends_a, ends_b = first_a | last_a, first_b | last_b
     return m.where((first_a & first_b) | (last_a & last_b) | (~ends_a & ~ends_b)).select("pattern_a", "pos_a", "pattern_b", "pos_b")
 
 
+def _two(freq: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Patterns of more than one property as a and as b, and the condition that a is the more frequent; equal ones in the order of their text."""
+    t = freq.where("size > 1")
+    a, b = (t.select(*(F.col(c).alias(f"{c}_{x}") for c in ("pattern", "size", "instances"))) for x in "ab")
+    return a, b, (F.col("instances_a") > F.col("instances_b")) | ((F.col("instances_a") == F.col("instances_b")) & (F.col("pattern_a") < F.col("pattern_b")))
+
+
+def all_pairs(freq: DataFrame) -> DataFrame:
+    """(pattern_a, pattern_b) of all patterns of more than one property, the more frequent first."""
+    a, b, before = _two(freq)
+    return a.join(b, before).select("pattern_a", "pattern_b")
+
+
+def all_overlap(freq: DataFrame) -> DataFrame:
+    """``overlap`` of ``all_pairs``, by an equi-join on the property; the pairs are not formed."""
+    a, b, before = _two(freq)
+    a, b = (t.select("*", F.posexplode(F.split(f"pattern_{x}", " ")).alias(f"k_{x}", f"prop_{x}")).withColumn(f"pos_{x}", F.col(f"k_{x}") + 1) for t, x in ((a, "a"), (b, "b")))
+    return _joinable(a.join(b, (F.col("prop_a") == F.col("prop_b")) & before))
+
+
 def entity_pairs(paths: DataFrame) -> DataFrame:
     """(pattern, start, end): the pairs of endpoints that show each pattern."""
     return with_pattern(paths).select("pattern", F.element_at("path", 1).alias("start"), F.element_at("path", -1).alias("end")).distinct()

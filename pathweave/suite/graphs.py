@@ -378,7 +378,7 @@ _PAGE = _RANKED + ", pp AS (SELECT a.pattern AS pattern_a, b.pattern AS pattern_
 
 @query(_PAGE + " SELECT pattern_a, pattern_b FROM pp")
 def pattern_pairs(s, d):
-    return patterns.page_pairs(patterns.ranked(patterns.frequency(_mined(s, d)), TOP))
+    return patterns.all_pairs(patterns.frequency(_mined(s, d)))
 
 
 @query(_MINED + PATTERNS + " SELECT pattern, size, prop, pos FROM (SELECT pattern, size, unnest(string_split(pattern, ' ')) AS prop, unnest(range(1, size + 1)) AS pos FROM freq)")
@@ -396,8 +396,7 @@ def pattern_tokens(s, d):
     SELECT pattern_a, a.pos AS pos_a, pattern_b, b.pos AS pos_b FROM pp JOIN ps a ON a.pattern = pattern_a JOIN ps b ON b.pattern = pattern_b AND a.prop = b.prop
     WHERE (a.pos = 1 AND b.pos = 1) OR (a.pos = a.size AND b.pos = b.size) OR (a.pos NOT IN (1, a.size) AND b.pos NOT IN (1, b.size))""")
 def pattern_overlap(s, d):
-    f = patterns.frequency(_mined(s, d))
-    return patterns.overlap(patterns.page_pairs(patterns.ranked(f, TOP)), f)
+    return patterns.all_overlap(patterns.frequency(_mined(s, d)))
 
 
 @query(_MINED + ARROWS + " SELECT pair_id, pos, count(DISTINCT o) AS n FROM arrows WHERE pos < len GROUP BY 1, 2")

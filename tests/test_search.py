@@ -67,3 +67,23 @@ def test_overlap(spark, a, b, want):
     f = spark.createDataFrame([(a, a.count(" ") + 1), (b, b.count(" ") + 1)], "pattern string, size int")
     pairs = spark.createDataFrame([(a, b)], "pattern_a string, pattern_b string")
     assert {(r.pos_a, r.pos_b) for r in patterns.overlap(pairs, f).collect()} == want
+
+
+def test_pairs_and_overlap_of_all_patterns(spark, monkeypatch):
+    """More patterns than a page of 50, by brute force; equal frequencies in the order of the text."""
+    from itertools import combinations
+
+    from pathweave.suite import graphs
+
+    freq = [(" ".join(f"P{(k * i) % 17}" for i in range(1, n + 1)), n, k % 5) for n in (1, 2, 3) for k in range(1, 31)]
+    freq = list({p: (p, n, c) for p, n, c in freq}.values())
+    monkeypatch.setattr(graphs, "_mined", lambda s, d: None)
+    monkeypatch.setattr(patterns, "frequency", lambda _: spark.createDataFrame(freq, "pattern string, size int, instances long"))
+    order = [p for p, n, c in sorted(freq, key=lambda x: (-x[2], x[0])) if n > 1]
+    pairs = set(combinations(order, 2))
+    got = [tuple(r) for r in graphs.pattern_pairs(spark, "").collect()]
+    assert len(order) > 30 and len(freq) > 50 and len(got) == len(pairs) and set(got) == pairs
+    end = lambda k, x: "both" if len(x) == 1 else "first" if k == 0 else "last" if k == len(x) - 1 else "inner"
+    want = {(a, i + 1, b, j + 1) for a, b in pairs for x, y in [(a.split(), b.split())] for i, p in enumerate(x) for j, q in enumerate(y) if p == q and end(i, x) == end(j, y)}
+    rows = [tuple(r) for r in graphs.pattern_overlap(spark, "").select("pattern_a", "pos_a", "pattern_b", "pos_b").collect()]
+    assert want and len(rows) == len(want) and set(rows) == want
