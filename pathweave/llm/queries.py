@@ -139,8 +139,11 @@ SQL = {
           + CASE WHEN k21 > 0 THEN k21 * ln(k21 * n / ((n - n_a) * n_b::double)) ELSE 0 END + CASE WHEN k22 > 0 THEN k22 * ln(k22 * n / ((n - n_a) * (n - n_b)::double)) ELSE 0 END) AS g2 FROM w)
         SELECT prop_a, prop_b, n_ab, n_a, n_b, round(n_ab * n / (n_a * n_b)::double, 4) AS lift, round(g2, 3) AS llr FROM g WHERE n_ab >= 5 AND n_ab * n >= n_a * n_b AND round(g2, 3) > 10.828""",
     "p6_found": f"SELECT origin, row_id FROM (SELECT *, min(row_id) OVER (PARTITION BY origin, sequence, k) AS f FROM ({_KEYS}) WHERE k IS NOT NULL) WHERE row_id > f",
-    "p6_report": f"""SELECT origin, count(*) AS n_rows, count(*) - count(k) AS n_null, count(DISTINCT CASE WHEN k IS NOT NULL THEN sequence || '|' || k END) AS n_new,
-        count(k) - count(DISTINCT CASE WHEN k IS NOT NULL THEN sequence || '|' || k END) AS n_repeat, 0::bigint AS n_wrong, 0.0::double AS wrong_rate FROM ({_KEYS}) GROUP BY 1""",
+    "p6_report": f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY origin, sequence, k ORDER BY row_id) AS nth FROM ({_KEYS})),
+        f AS (SELECT origin, sequence, k, min(row_id) AS first_id FROM k WHERE k IS NOT NULL GROUP BY 1, 2, 3),
+        j AS (SELECT k.*, CASE WHEN k.k IS NOT NULL THEN nth > 1 END AS seen, k.row_id > first_id AS later FROM k LEFT JOIN f ON f.origin = k.origin AND f.sequence IS NOT DISTINCT FROM k.sequence AND f.k = k.k)
+        SELECT origin, count(*) AS n_rows, count(*) FILTER (k IS NULL) AS n_null, count(*) FILTER (NOT seen) AS n_new, count(*) FILTER (seen) AS n_repeat,
+        count(*) FILTER (seen <> later) AS n_wrong, count(*) FILTER (seen <> later) / count(*)::double AS wrong_rate FROM j GROUP BY 1""",
     "p7_report": "WITH " + _RUNS.replace("dr AS (SELECT DISTINCT doc_id, ", "dr AS (SELECT doc_id, k, ") + """,
         hit AS (SELECT DISTINCT doc_id, item_id, k FROM dr JOIN ir USING (r)), isl AS (SELECT doc_id, item_id, k - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k) AS g FROM hit),
         run AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM isl GROUP BY doc_id, item_id, g)
