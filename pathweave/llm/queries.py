@@ -134,6 +134,12 @@ ir AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], ' ') AS r FROM (S
 SQL = {
     "p1_found": "WITH " + _SEQS.format("FROM p3 UNION ALL FROM p4 UNION ALL FROM p5") + " SELECT origin, pattern FROM n",
     "p1_supports": "WITH " + _SEQS.format("FROM p2 UNION ALL FROM p3 UNION ALL FROM p4 UNION ALL FROM p5") + " SELECT origin, pattern, support FROM n",
+    # a pattern is closed if none with one more property has its support; patterns of six are counted only to judge those of five, there are no longer ones
+    "p1_closed": "WITH " + _SEQS.replace("n AS (SELECT", "p6 AS (SELECT a.origin, a.id, a.p || ' ' || b.x AS p, b.pos AS pos FROM p5 a JOIN e b ON a.origin = b.origin AND a.id = b.id AND a.pos < b.pos),\nn AS (SELECT").format(
+        "SELECT origin, id, x AS p FROM e UNION ALL SELECT origin, id, p FROM p2 UNION ALL SELECT origin, id, p FROM p3 UNION ALL SELECT origin, id, p FROM p4 UNION ALL SELECT origin, id, p FROM p5 UNION ALL SELECT origin, id, p FROM p6")
+    + """, t AS (SELECT *, string_split(pattern, ' ') AS w FROM n), less AS (SELECT origin, support, w, unnest(range(1, len(w) + 1)) AS j FROM t),
+        part AS (SELECT DISTINCT origin, support, array_to_string(list_concat(w[1 : j - 1], w[j + 1 :]), ' ') AS pattern FROM less)
+        SELECT origin, pattern, support FROM n ANTI JOIN part USING (origin, pattern, support)""",
     "p5_found": "WITH " + _PAIRS + " SELECT prop_a, prop_b FROM w WHERE n_ab >= 5 AND n_ab * 500 >= n AND n_ab * n >= 3 * n_a * n_b",
     "p5_pairs": "WITH " + _PAIRS + """, g AS (SELECT *, 2 * (k11 * ln(k11 * n / (n_a * n_b::double)) + CASE WHEN k12 > 0 THEN k12 * ln(k12 * n / (n_a * (n - n_b)::double)) ELSE 0 END
           + CASE WHEN k21 > 0 THEN k21 * ln(k21 * n / ((n - n_a) * n_b::double)) ELSE 0 END + CASE WHEN k22 > 0 THEN k22 * ln(k22 * n / ((n - n_a) * (n - n_b)::double)) ELSE 0 END) AS g2 FROM w)

@@ -1,16 +1,20 @@
 """Closed frequent subsequences (gaps allowed) by prefix growth with bidirectional extension checks and backscan pruning.
 
-A pseudo-projection is a row (prefix, sequence, end of the prefix's first match); the sequence is never copied into
-suffixes. For each prefix and sequence the items of three kinds of stretches are counted, combined locally per task:
-``F`` after the first match (forward extensions), ``M`` the i-th maximum period and ``S`` the i-th semi-maximum period.
-A prefix is closed if no F item and no M item has its support; growth stops (backscan) if an S item has it. Supports of
-all frequent patterns follow from the closed ones: the support of a pattern is the largest among closed patterns that
-contain it (``recover``).
-
-Work is partitioned by first item and, so that no item's sequences meet in one task, by a salt of the sequence.
-Equal sequences are merged with a weight first. Items below the threshold are removed before mining; a pattern is
+Work is partitioned by first item: the sequences that hold an item go, once, to that item's partition, in parts of about
+``PART_ROWS`` so that no task gets all of a hot item's, and are packed there into blocks of one first item (a row each, of at
+most ``CELLS`` cells). The blocks stay as they are for all levels. A pseudo-projection is a pair of arrays within a
+block's task: the numbers of the sequences that hold the prefix and the ends of its matches; nothing is copied into
+suffixes and nothing of it is written or moved. For each prefix of a level the items of three kinds of stretches are
+counted over whole blocks at once: ``F`` after the first match (forward extensions), ``M`` the i-th maximum period and
+``S`` the i-th semi-maximum period; of M and S only items that no sequence of the block lacks are sent on, since only
+those can have the prefix's support. The sums over all parts decide: a prefix is closed if no F item and no M item has
+its support; growth stops (backscan) if an S item has it. Supports of all frequent patterns follow from the closed ones:
+the support of a pattern is the largest among closed patterns that contain it (``recover``).
+
+Equal sequences of a batch are merged with a weight. Items below the threshold are removed before mining; a pattern is
 frequent if at least ``min_share`` of its origin's sequences and at least ``min_count`` hold it. The table of frequent
-items is the only thing collected: it has at most (mean length / min_share) rows per origin.
+items is the only thing collected: it has at most (mean length / min_share) rows per origin. The prefixes of a level are
+joined to the blocks by first item, and broadcast only if the table of them is small.
 
 Defined results: null and blank items are skipped; sequences without items are not counted; an empty table gives no
 patterns; repeated items within a sequence are kept as steps; a sequence counts once per pattern.
@@ -19,21 +23,24 @@ patterns; repeated items within a sequence are kept as steps; a sequence counts
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from ..sources.tables import clean_code
+from ..sources.tables import clean_code, small
 
-#: Entries a task keeps before it sends its counts on.
-FLUSH = 500_000
+#: Entries a task keeps before it sends its counts on, sequences of a part, cells (sequences x length x items) of a block,
+#: prefixes of a level that are sent to a block together.
+FLUSH, PART_ROWS, CELLS, PREFIXES = 500_000, 250_000, 1 << 21, 2048
 
 
 def from_lists(df: DataFrame, id_col: str, list_col: str, origin: str) -> DataFrame:
@@ -52,116 +59,172 @@ def _once(df: DataFrame, origin: str) -> DataFrame:
     return df.where(F.size("seq") > 0).dropDuplicates(["id"]).select(F.lit(origin).alias("origin"), "seq")
 
 
-def periods(seq: list[int], prefix: list[int]) -> tuple[list[set], list[set]]:
-    """Items of the maximum and of the semi-maximum periods of ``prefix`` in ``seq``."""
-    first, p = [], -1
-    for e in prefix:
-        p = seq.index(e, p + 1)
-        first.append(p)
-    starts = [0] + [x + 1 for x in first[:-1]]
-
-    def backward(end: int) -> list[int]:
-        at = []
-        for e in reversed(prefix):
-            end -= 1
-            while seq[end] != e:
-                end -= 1
-            at.append(end)
-        return at[::-1]
-
-    last, semi = backward(len(seq)), backward(first[-1] + 1)
-    return [set(seq[a:b]) for a, b in zip(starts, last)], [set(seq[a:b]) for a, b in zip(starts, semi)]
-
-
-COUNTS = "origin string, prefix array<int>, sup long, kind string, i int, item int, n long"
-
-
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: Counter = Counter()
-
-    def rows() -> pd.DataFrame:
-        out = pd.DataFrame([(o, list(p), s, k, i, x, n) for (o, p, s, k, i, x), n in seen.items()], columns=["origin", "prefix", "sup", "kind", "i", "item", "n"])
-        seen.clear()
-        return out
-
-    for f in frames:
-        for o, p, s, q, w, end in zip(f["origin"], f["prefix"], f["sup"], f["seq"], f["w"], f["end"]):
-            p, q = tuple(int(x) for x in p), q.tolist()
-            seen[o, p, s, "P", 0, -1] += w
-            for x in set(q[end:]):
-                seen[o, p, s, "F", 0, x] += w
-            most, semi = periods(q, p)
-            for i, (a, b) in enumerate(zip(most, semi)):
-                for x in a:
-                    seen[o, p, s, "M", i, x] += w
-                for x in b:
-                    seen[o, p, s, "S", i, x] += w
-        if len(seen) > FLUSH:
-            yield rows()
-    yield rows()
-
-
-def closed_patterns(seqs: DataFrame, min_share: float, min_count: int, salts: int = 16) -> DataFrame:
+BLOCKS = "origin string, item int, flat binary, lens binary, w binary"
+COUNTS = "origin string, prefix string, kind string, i int, item int, n long"
+
+
+def pack(seqs: list[bytes], w: list[int]) -> tuple[bytes, bytes, bytes]:
+    """Sequences of 32-bit codes, their lengths and weights, one after the other."""
+    return b"".join(seqs), np.array([len(q) // 4 for q in seqs], "<i4").tobytes(), np.array(w, "<i8").tobytes()
+
+
+def block_counts(flat: bytes, lens: bytes, w: bytes, n_items: int, prefixes: list[tuple[int, ...]]) -> Iterator[tuple]:
+    """(prefix, kind, i, item, n) of the prefixes in one block: P the support, F all counts, M and S the items that no
+    sequence with the prefix lacks in its i-th (semi-)maximum period."""
+    codes, size, weight = np.frombuffer(flat, "<i4"), np.frombuffer(lens, "<i4"), np.frombuffer(w, "<i8")
+    n, most = len(size), int(size.max(initial=0))
+    seq = np.full((n, most), -1, np.int32)
+    seq[np.arange(most) < size[:, None]] = codes
+    kind = np.int16 if most < 1 << 15 else np.int32
+    # the next place of each item at or after a place, and its last place before one
+    ahead, back = np.empty((most + 1, n, n_items), kind), np.empty((most + 1, n, n_items), kind)
+    ahead[most], back[0] = most, -1
+    for p in range(most - 1, -1, -1):
+        ahead[p] = ahead[p + 1]
+        on = np.flatnonzero(seq[:, p] >= 0)
+        ahead[p, on, seq[on, p]] = p
+    for p in range(most):
+        back[p + 1] = back[p]
+        on = np.flatnonzero(seq[:, p] >= 0)
+        back[p + 1, on, seq[on, p]] = p
+
+    tree: dict = {}
+    for pre in prefixes:
+        at = tree
+        for x in pre:
+            at = at.setdefault(x, {})
+        at[None] = pre
+    stack = [(tree, np.arange(n), [])]
+    while stack:
+        node, who, first = stack.pop()
+        for x, below in node.items():
+            if x is not None:
+                to = ahead[first[-1] + 1 if first else 0, who, x]
+                on = to < most
+                if on.any():
+                    stack.append((below, who[on], [f[on] for f in first] + [to[on]]))
+                continue
+            pre, m = below, weight[who]
+            sup = int(m.sum())
+            yield pre, "P", 0, -1, sup
+            after = m @ (ahead[first[-1] + 1, who] < most)
+            for e in np.flatnonzero(after):
+                yield pre, "F", 0, int(e), int(after[e])
+            starts = [np.zeros(len(who), kind)] + [f + 1 for f in first[:-1]]
+            for name, end in (("M", np.full(len(who), most, kind)), ("S", first[-1] + 1)):
+                for i in range(len(pre) - 1, -1, -1):
+                    end = back[end, who, pre[i]]
+                    for e in np.flatnonzero((ahead[starts[i], who] < end[:, None]).all(0)):
+                        yield pre, name, i, int(e), sup
+
+
+def closed_patterns(seqs: DataFrame, min_share: float, min_count: int) -> DataFrame:
     """(origin, pattern array<string>, support) of all closed frequent patterns of ``seqs`` (origin, seq)."""
-    spark = seqs.sparkSession
+    spark, cells, flush = seqs.sparkSession, CELLS, FLUSH
     seqs = cut(seqs)
     totals = {r["origin"]: r["n"] for r in seqs.groupBy("origin").agg(F.count(F.lit(1)).alias("n")).collect()}
     least = {o: max(min_count, math.ceil(Fraction(str(min_share)) * n)) for o, n in totals.items()}
     schema = "origin string, pattern array<string>, support long"
-    if not least:
-        return spark.createDataFrame([], schema)
-    floor = F.element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), F.col("origin"))
     items = seqs.select("origin", F.explode(F.array_distinct("seq")).alias("item")).groupBy("origin", "item").agg(F.count(F.lit(1)).alias("n"))
-    names = sorted({(r["origin"], r["item"]) for r in items.where(F.col("n") >= floor).collect()})
-    number = spark.sparkContext.broadcast({k: i for i, k in enumerate(names)})
-    name = spark.sparkContext.broadcast([x for _, x in names])
+    floor = F.element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), F.col("origin")) if least else F.lit(0)
+    often: dict[str, list] = defaultdict(list)
+    for r in items.where(F.col("n") >= floor).orderBy("origin", "item").collect():
+        often[r["origin"]].append((r["item"], r["n"]))
+    if not often:
+        return spark.createDataFrame([], schema)
+    # by origin: item -> (code, parts of its partition)
+    number = spark.sparkContext.broadcast({o: {x: (k, -(-n // PART_ROWS)) for k, (x, n) in enumerate(xs)} for o, xs in often.items()})
+    name = spark.sparkContext.broadcast({o: [x for x, _ in xs] for o, xs in often.items()})
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = number.value.get
+        code = number.value
+        for f in frames:
+            seen = Counter((o, tuple(k for x in q if (k := code[o].get(x)))) for o, q in zip(f["origin"], f["seq"]) if o in code)
+            out = []
+            for (o, q), n in seen.items():
+                b = np.array([k for k, _ in q], "<i4").tobytes()
+                h = zlib.crc32(b)
+                out += [(o, k, h % parts, len(b), b, n) for k, parts in set(q)]
+            yield pd.DataFrame(out, columns=["origin", "item", "part", "size", "seq", "w"])
+
+    def blocks_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, at, seen, wide = number.value, None, Counter(), 0
+
+        def rows() -> list:
+            return [(*at, *pack(list(seen), list(seen.values())))] if seen else []
+
         for f in frames:
-            seen = Counter((o, tuple(k for x in q if (k := get((o, x))) is not None)) for o, q in zip(f["origin"], f["seq"]))
-            yield pd.DataFrame([(o, list(q), n) for (o, q), n in seen.items() if q], columns=["origin", "seq", "w"])
+            out = []
+            for o, item, size, q, w in zip(f["origin"], f["item"], f["size"], f["seq"], f["w"]):
+                wide = max(wide, size // 4 + 1)
+                if (o, item) != at or (len(seen) + 1) * wide * len(code[o]) > cells:
+                    out += rows()
+                    at, seen, wide = (o, item), Counter(), size // 4 + 1
+                seen[q] += w
+            yield pd.DataFrame(out, columns=["origin", "item", "flat", "lens", "w"])
+        yield pd.DataFrame(rows(), columns=["origin", "item", "flat", "lens", "w"])
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, seen = number.value, Counter()
+
+        def rows() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["origin", "prefix", "kind", "i", "item", "n"])
+            seen.clear()
+            return out
+
+        for f in frames:
+            for o, flat, lens, w, prefixes in zip(f["origin"], f["flat"], f["lens"], f["w"], f["prefixes"]):
+                for p, kind, i, e, n in block_counts(flat, lens, w, len(code[o]), [tuple(map(int, x.split())) for x in prefixes]):
+                    seen[o, " ".join(map(str, p)), kind, i, e] += n
+                if len(seen) > flush:
+                    yield rows()
+        yield rows()
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"origin": f["origin"], "pattern": [[name.value[k] for k in p] for p in f["prefix"]], "support": f["sup"]})
-
-    coded = seqs.mapInPandas(encode, "origin string, seq array<int>, w long").groupBy("origin", "seq").agg(F.sum("w").alias("w"))
-    one = coded.select("origin", "seq", "w", F.explode(F.array_distinct("seq")).alias("item"))
-    grouped = one.repartition(F.col("item"), F.pmod(F.xxhash64("seq"), F.lit(salts)))
-    sups = seqs.sparkSession.createDataFrame([(o, i) for i, (o, _) in enumerate(names)], "origin string, item int")
-    first = grouped.join(F.broadcast(sups), ["origin", "item"], "left_semi")
-    state = cut(first.select("origin", F.array("item").alias("prefix"), F.lit(0).cast("long").alias("sup"), "seq", "w", F.array_position("seq", F.col("item")).cast("int").alias("end")))
-    found: list[DataFrame] = []
-    while True:
-        counts = cut(state.mapInPandas(_count, COUNTS).groupBy("origin", "prefix", "kind", "i", "item").agg(F.sum("n").alias("n")))
-        own = counts.where("kind = 'P'").select("origin", "prefix", F.col("n").alias("sup"))
-        judged = counts.join(own, ["origin", "prefix"]).groupBy("origin", "prefix").agg(
-            F.max("sup").alias("sup"),
-            F.max(F.col("kind").isin("F", "M") & (F.col("n") == F.col("sup"))).alias("open"),
-            F.max((F.col("kind") == "S") & (F.col("n") == F.col("sup"))).alias("pruned"),
-        )
-        found.append(judged.where(~F.col("open")).select("origin", "prefix", "sup"))
-        grow = cut(counts.where((F.col("kind") == "F") & (F.col("n") >= floor)).join(judged.where(~F.col("pruned")).select("origin", "prefix"), ["origin", "prefix"]).select("origin", "prefix", "item"))
-        if grow.isEmpty():
-            break
-        rest = F.expr("slice(seq, end + 1, size(seq))")
-        step = state.withColumn("rest", rest).select("origin", "prefix", "sup", "seq", "w", "end", "rest", F.explode(F.array_distinct("rest")).alias("item"))
-        nxt = step.join(grow, ["origin", "prefix", "item"])
-        state = cut(nxt.select("origin", F.concat("prefix", F.array("item")).alias("prefix"), "sup", "seq", "w", (F.col("end") + F.array_position("rest", F.col("item"))).cast("int").alias("end")))
+            yield pd.DataFrame({"origin": f["origin"], "pattern": [[name.value[o][int(k)] for k in p.split()] for o, p in zip(f["origin"], f["prefix"])], "support": f["sup"]})
+
+    coded = seqs.mapInPandas(encode, "origin string, item int, part int, size int, seq binary, w long")
+    blocks = cut(coded.repartition("origin", "item", "part").sortWithinPartitions("origin", "item", "size").mapInPandas(blocks_of, BLOCKS))
+    level = spark.createDataFrame([(o, str(k)) for o, xs in often.items() for k in range(len(xs))], "origin string, prefix string")
+    n, found = sum(map(len, often.values())), []
+    while n:
+        first = F.split_part("prefix", F.lit(" "), F.lit(1)).cast("int")
+        groups = level.groupBy("origin", first.alias("item"), F.pmod(F.xxhash64("prefix"), F.lit(-(-n // PREFIXES))).alias("g")).agg(F.collect_list("prefix").alias("prefixes"))
+        counts = cut(blocks.join(small(groups), ["origin", "item"]).select("origin", "flat", "lens", "w", "prefixes").mapInPandas(count, COUNTS).groupBy("origin", "prefix", "kind", "i", "item").agg(F.sum("n").alias("n")))
+        top = lambda *kinds: F.coalesce(F.max(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
+        judged = counts.groupBy("origin", "prefix").agg(top("P").alias("sup"), top("F", "M").alias("wider"), top("S").alias("back"))
+        found.append(judged.where("wider < sup").select("origin", "prefix", "sup"))
+        grown = counts.where((F.col("kind") == "F") & (F.col("n") >= floor)).join(judged.where("back < sup").select("origin", "prefix"), ["origin", "prefix"], "left_semi")
+        level = cut(grown.select("origin", F.concat_ws(" ", "prefix", F.col("item").cast("string")).alias("prefix")))
+        n = level.count()
     return reduce(DataFrame.unionByName, found).mapInPandas(decode, schema)
 
 
 def recover(closed: DataFrame, shortest: int, longest: int) -> DataFrame:
-    """(origin, pattern, support) of every frequent pattern of those lengths, from the closed ones."""
+    """(origin, pattern, support) of every frequent pattern of those lengths, from the closed ones.
+
+    Parts of closed patterns are sent on as soon as ``FLUSH`` of them are held, so that a long pattern fills no task.
+    """
+
+    flush = FLUSH
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict = {}
+
+        def rows() -> pd.DataFrame:
+            out = pd.DataFrame([(o, " ".join(x), s) for (o, x), s in best.items()], columns=["origin", "pattern", "support"])
+            best.clear()
+            return out
+
         for f in frames:
-            best: dict = {}
             for o, p, s in zip(f["origin"], f["pattern"], f["support"]):
                 for n in range(shortest, min(longest, len(p)) + 1):
                     for sub in combinations(p, n):
-                        best[o, sub] = max(s, best.get((o, sub), 0))
-            yield pd.DataFrame([(o, " ".join(x), s) for (o, x), s in best.items()], columns=["origin", "pattern", "support"])
+                        if best.get((o, sub), 0) < s:
+                            best[o, sub] = s
+                            if len(best) >= flush:
+                                yield rows()
+        yield rows()
 
     return closed.mapInPandas(run, "origin string, pattern string, support long").groupBy("origin", "pattern").agg(F.max("support").alias("support"))
