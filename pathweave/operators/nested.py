@@ -9,6 +9,8 @@ Shapes: a list of one may be written without its list, a list or object may be w
 may be written as a list of objects that name their key, and an object may be written as an array of its fields in
 order. All are given the same labels. Defined results: null or malformed text gives no nodes (``malformed`` tells
 which); empty lists give none; absent fields are absent from ``fields``; fields that the spec does not name are kept.
+Nothing is dropped: elements of an array beyond its names, and the earlier values of a field that is written twice, are
+kept in the field ``extra`` (a JSON list); a map key written twice gives two entries, a list written twice is continued.
 Ordinals count every entry written, including nulls and entries that hold nothing.
 """
 
@@ -22,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 @dataclass(frozen=True)
 class Entries:
@@ -32,21 +36,51 @@ class Entries:
     children: dict[str, "Entries"] = field(default_factory=dict)
     #: Field names by position and number of elements, for objects written as arrays.
     arrays: dict[int, tuple[str, ...]] = field(default_factory=dict)
+    #: Whether a list whose first element is a scalar is one object of the list, not a list of values.
+    alone: bool = False
 
 
 #: The statement documents of an entity: property -> {name, ntype, list_statement: [{url, value, list: [...]}]}.
-QUALIFIERS = Entries("property.statement.qualifier", arrays={0: (), 1: ("property",), 2: ("property", "name"), 3: ("property", "name", "value"), 4: ("property", "name", "url", "value")})
-STATEMENTS = Entries("property.statement", children={"list": QUALIFIERS})
+QUALIFIERS = Entries("property.statement.qualifier", arrays={0: (), 1: ("property",), 2: ("property", "name"), 3: ("property", "name", "value"), 4: ("property", "name", "url", "value")}, alone=True)
+STATEMENTS = Entries("property.statement", children={"list": QUALIFIERS}, arrays={0: (), 1: ("url",), 2: ("url", "value"), 3: ("url", "value", "list")})
 STATEMENT_DOCUMENT = Entries("property", key="property", children={"list_statement": STATEMENTS})
 
 NODE_SCHEMA = "dewey string, parent string, path string, ordinal int, keys array<string>, fields map<string,string>"
 
 
+class Repeated(dict):
+    """An object with a field written more than once: the last values, and all ``pairs`` as written."""
+
+    pairs: list
+
+
+def _object(pairs: list) -> dict:
+    d = dict(pairs)
+    if len(d) < len(pairs):
+        d = Repeated(d)
+        d.pairs = pairs
+    return d
+
+
+def _pairs(d: dict) -> list:
+    return d.pairs if isinstance(d, Repeated) else list(d.items())
+
+
+def _child(d: dict, f: str):
+    """The entries under ``f``; of a field written more than once, those of all its values."""
+    if not isinstance(d, Repeated):
+        return _loaded(d.get(f))
+    values = [_loaded(v) for k, v in d.pairs if k == f and v is not None]
+    if len(values) < 2:
+        return values[0] if values else None
+    return [x for v in values for x in (v if isinstance(v, list) and not (v and not isinstance(_loaded(v[0]), (dict, list))) else [v])]
+
+
 def _loaded(x):
     """Text that holds a JSON list or object, parsed; anything else as it is."""
     if isinstance(x, str) and x.lstrip()[:1] in ("[", "{"):
         try:
-            return json.loads(x)
+            return json.loads(x, object_pairs_hook=_object)
         except ValueError:
             return x
     return x
@@ -61,7 +95,7 @@ def label(document: str | None, spec: Entries) -> list[tuple]:
     if document is None:
         return []
     try:
-        root = json.loads(document)
+        root = json.loads(document, object_pairs_hook=_object)
     except (ValueError, RecursionError):
         return []
     out: list[tuple] = []
@@ -72,22 +106,31 @@ def label(document: str | None, spec: Entries) -> list[tuple]:
             continue
         if isinstance(value, dict):
             if s.key and not (s.key in value and not isinstance(value[s.key], (dict, list))):
-                entries = [(k, v) for k, v in value.items()]
+                entries = _pairs(value)
             else:
                 entries = [(None, value)]
         elif isinstance(value, list):
             # an object written as an array stands alone if its elements are scalars and it has a known width
-            alone = s.arrays and value and not any(isinstance(_loaded(v), (dict, list)) or v is None for v in value[:1])
+            alone = s.alone and value and not any(isinstance(_loaded(v), (dict, list)) or v is None for v in value[:1])
             entries = [(None, value)] if alone else [(None, v) for v in value]
         else:
             continue  # a bare scalar where entries are expected holds no fields
         for n, (k, v) in enumerate(entries, 1):
             v = _loaded(v)
+            extra: list = []
             if isinstance(v, list):
-                names = s.arrays.get(len(v)) or (s.arrays and max(s.arrays.values(), key=len)) or ()
-                v = dict(zip(names, v)) if not (s.key and s.children) else {next(iter(s.children)): v}
+                if s.key and s.children:
+                    v = {next(iter(s.children)): v}
+                else:
+                    names = s.arrays.get(len(v)) or max(s.arrays.values(), key=len, default=())
+                    v, extra = dict(zip(names, v)), v[len(names) :]
             elif not isinstance(v, dict):
                 v = {} if v is None else {"value": v}
+            elif isinstance(v, Repeated):
+                left = dict(v)
+                for f, x in reversed(v.pairs):
+                    if f not in s.children and left.pop(f, None) is None:
+                        extra.insert(0, x)
             if s.key and k is None and not isinstance(v.get(s.key), (dict, list)):
                 k = v.get(s.key)
             mine = f"{at}.{n}" if at else str(n)
@@ -95,8 +138,10 @@ def label(document: str | None, spec: Entries) -> list[tuple]:
             scalars = {f: _text(x) for f, x in v.items() if f not in s.children}
             if s.key and k is not None:
                 scalars.setdefault(s.key, _text(k))
+            if extra:
+                scalars["extra"] = json.dumps(([scalars["extra"]] if "extra" in scalars else []) + extra, ensure_ascii=False)
             out.append((mine, at or None, s.path, n, list(here), scalars))
-            stack += [(_loaded(v.get(f)), c, mine, here) for f, c in s.children.items() if v.get(f) is not None]
+            stack += [(_child(v, f), c, mine, here) for f, c in s.children.items() if v.get(f) is not None or isinstance(v, Repeated)]
     return out
 
 
@@ -119,6 +164,16 @@ def node_table(nodes: DataFrame, path: str, columns: dict[str, str]) -> DataFram
     return nodes.where(F.col("path") == path).select(*keep, "dewey", F.col("parent").alias("parent_dewey"), "ordinal", *[F.col("fields")[f].alias(n) for n, f in columns.items()])
 
 
+def flat_tables(df: DataFrame, id_col: str, json_col: str, tables: dict[str, dict[str, str]], spec: Entries = STATEMENT_DOCUMENT) -> dict[str, DataFrame]:
+    """The table of each schema path of ``tables`` (path -> output name -> field name). Documents are parsed once: the nodes
+    are written in a folder per path, of which each table reads its own."""
+    path = scratch(df.sparkSession, "nodes")
+    nodes = dewey_nodes(df, id_col, json_col, spec)
+    nodes.write.partitionBy("path").parquet(path)
+    back = df.sparkSession.read.schema(nodes.schema).parquet(path)
+    return {p: node_table(back, p, columns) for p, columns in tables.items()}
+
+
 def malformed(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """Ids of the rows whose text is no JSON."""
 

@@ -46,3 +46,25 @@ def test_very_long_and_deep(spark):
     deep = "[" * 100_000
     out = flat(spark, [json.dumps(many), deep])
     assert len(out[0]) == 2000 and out[1] == []
+
+
+def test_statements_written_as_arrays(spark):
+    doc = {"P31": {"list_statement": [["Q5", "human"], ["Q6"], ["Q7", "x", [["P1", "n", "v"]]], {"url": "Q8"}]}}
+    got = flat(spark, [json.dumps(doc)])[0]
+    assert set(got) == {("p:P31/ps:P31", 1, 0, "Q5", "human"), ("p:P31/ps:P31", 2, 0, "Q6", None), ("p:P31/ps:P31", 3, 0, "Q7", "x"), ("p:P31/pq:P1", 3, 1, None, "v"), ("p:P31/ps:P31", 4, 0, "Q8", None)}
+
+
+def test_nothing_is_dropped():
+    nodes = n.label('{"P1": {"list_statement": [{"value": "a", "value": "b", "list": [["P2", "n", "u", "l", "fifth", 6]], "list": [["P3", "n", "x"]]}, ["Q1", "v", [], "more"]]}, "P1": {"name": "again", "list_statement": [{"value": "c"}]}}', n.STATEMENT_DOCUMENT)
+    by = {x[0]: x for x in nodes}
+    assert [by[k][5]["property"] for k in ("1", "2")] == ["P1", "P1"] and by["2"][5]["name"] == "again"
+    assert by["1.1"][5] == {"value": "b", "extra": '["a"]'} and by["2.1"][5] == {"value": "c"}
+    assert by["1.1.1"][5] == {"property": "P2", "name": "n", "url": "u", "value": "l", "extra": '["fifth", 6]'} and by["1.1.2"][5] == {"property": "P3", "name": "n", "value": "x"}
+    assert by["1.2"][5] == {"url": "Q1", "value": "v", "extra": '["more"]'}
+
+
+def test_tables_from_one_parse(spark):
+    df = spark.createDataFrame([(7, json.dumps(PLAIN), "x")], "record_id long, property string, path string")
+    t = n.flat_tables(df, "record_id", "property", {n.STATEMENTS.path: {"url": "url", "value": "value"}, n.QUALIFIERS.path: {"code": "property"}})
+    assert [(r.dewey, r.parent_dewey, r.url, r.value) for r in t[n.STATEMENTS.path].orderBy("dewey").collect()] == [("1.1", "1", "Q1", "v"), ("1.2", "1", None, "w")]
+    assert [r.code for r in t[n.QUALIFIERS.path].orderBy("dewey").collect()] == ["P2", "P3"]
