@@ -17,16 +17,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import input_chunks
+
 SLOT = "__slot"
 #: Names of merge functions, by column: partial states are merged with the same function.
 MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def tree_aggregate(df: DataFrame, keys: list[str], states: dict[str, tuple[Column, str]], fan_in: int = 16) -> DataFrame:
-    """``states``: output column -> (value of one row, ``sum``/``min``/``max``). One row per key."""
+def tree_aggregate(df: DataFrame, keys: list[str], states: dict[str, tuple[Column, str]], fan_in: int = 16, chunks: int = 0) -> DataFrame:
+    """``states``: output column -> (value of one row, ``sum``/``min``/``max``). One row per key.
+
+    ``chunks``: how many chunks the input has; 0: as its files' sizes let expect. No job runs to find out, and the result
+    does not depend on it: with more chunks than expected the last round gets that much more.
+    """
     if fan_in < 2:
         raise ValueError("fan_in must be at least 2")
-    chunks = max(1, df.rdd.getNumPartitions() if df.isStreaming is False else 1)
+    chunks = chunks or input_chunks(df)
     cur = df.select(*keys, *[v.alias(n) for n, (v, _) in states.items()], F.spark_partition_id().alias(SLOT))
     while True:
         chunks = -(-chunks // fan_in)
@@ -49,7 +55,7 @@ def key_profile(df: DataFrame, key: str, entity: str, fan_in: int = 16, drop_nul
     if drop_null:
         src = src.where(F.col("key").isNotNull())
     pairs = src.groupBy("key", "entity").agg(F.count(F.lit(1)).alias("n"))
-    return tree_aggregate(pairs, ["key"], {"n_rows": (F.col("n"), "sum"), "n_entities": (F.col("entity").isNotNull().cast("long"), "sum")}, fan_in)
+    return tree_aggregate(pairs, ["key"], {"n_rows": (F.col("n"), "sum"), "n_entities": (F.col("entity").isNotNull().cast("long"), "sum")}, fan_in, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def heavy_keys(fields: dict[str, Column | DataFrame], min_share: float, fan_in: int = 16) -> DataFrame:
@@ -63,6 +69,7 @@ def heavy_keys(fields: dict[str, Column | DataFrame], min_share: float, fan_in:
         counts = tree_aggregate(one.where(F.col(col).isNotNull()), [col], {"n_rows": (F.lit(1).cast("long"), "sum")}, fan_in)
         parts.append(counts.select(F.lit(label).alias("field"), F.col(col).cast("string").alias("key_value"), "n_rows"))
     counts = reduce(DataFrame.unionByName, parts)
-    totals = tree_aggregate(counts, ["field"], {"total": (F.col("n_rows"), "sum")}, fan_in)  # a row per field named
+    shuffled = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")) * len(parts)
+    totals = tree_aggregate(counts, ["field"], {"total": (F.col("n_rows"), "sum")}, fan_in, shuffled)  # a row per field named
     out = counts.join(F.broadcast(totals), "field").withColumn("share", F.col("n_rows") / F.col("total"))
     return out.where(F.col("n_rows") >= F.lit(min_share) * F.col("total")).select("field", "key_value", "n_rows", "share")

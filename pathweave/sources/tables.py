@@ -10,19 +10,33 @@ from pyspark.sql.types import StructType
 BROADCAST_BYTES = 8 << 20
 
 
-#: Schemas of tables already opened, by path: reading one from the footers costs a job each time.
-_SCHEMAS: dict[str, StructType] = {}
+#: Schemas of tables already opened, by path and time of change: reading one from the footers costs a job each time.
+_SCHEMAS: dict[tuple[str, int], StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
-    if path in _SCHEMAS:
-        return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    key = path, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+    if key in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[key]).parquet(path)
     df = spark.read.parquet(path)
-    _SCHEMAS[path] = df.schema
+    _SCHEMAS[key] = df.schema
     return df
 
 
+def input_chunks(df: DataFrame) -> int:
+    """About how many splits a scan of the files below ``df`` has, from their number and sizes; no job runs."""
+    spark = df.sparkSession
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if size > 1 << 60:  # not known
+        return cores
+    conf = spark._jsparkSession.sessionState().conf()
+    return max(cores, -(-(size + len(df.inputFiles()) * conf.filesOpenCostInBytes()) // conf.filesMaxPartitionBytes()))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's upper estimate of the size of ``df``; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

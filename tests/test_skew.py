@@ -18,7 +18,7 @@ def test_tree_equals_plain_grouping(spark):
 
 def test_no_reducer_gets_all_partials(spark):
     df = spark.range(0, 1000, 1, 64).select(F.lit(1).alias("key"), "id")
-    plan = skew.tree_aggregate(df, ["key"], {"n": (F.lit(1), "sum")}, fan_in=4)._jdf.queryExecution().optimizedPlan().toString()
+    plan = skew.tree_aggregate(df, ["key"], {"n": (F.lit(1), "sum")}, fan_in=4, chunks=64)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 3  # 64 chunks, 4 at a time
 
 
@@ -27,3 +27,25 @@ def test_heavy_keys(spark):
     got = {(r.field, r.key_value, r.n_rows) for r in skew.heavy_keys({"a": a, "empty": a.where("false")}, 0.03, 2).collect()}
     assert got == {("a", "1", 50), ("a", "2", 30)}
     assert skew.key_profile(a.withColumn("e", F.col("size")).where("false"), "size", "e").count() == 0
+
+
+def test_nothing_runs_while_planning(spark):
+    from pathweave import suite
+
+    spark.sparkContext.setJobGroup("planning", "")
+    try:
+        for name in ("p3_found", "p3_wobject_keys", "p3_client_keys"):
+            suite.queries()[name](spark, "/root/testdata/sf0.001")  # opens the tables: their schemas are known afterwards
+        spark.sparkContext.setJobGroup("planned", "")
+        for name in ("p3_found", "p3_wobject_keys", "p3_client_keys"):
+            suite.queries()[name](spark, "/root/testdata/sf0.001")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planned")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_any_number_of_expected_chunks(spark):
+    df = spark.range(0, 1000, 1, 40).select((F.col("id") % 7).alias("key"))
+    for chunks in (1, 5, 40, 5000):
+        got = skew.tree_aggregate(df, ["key"], {"n": (F.lit(1), "sum")}, fan_in=3, chunks=chunks)
+        assert {r.key: r.n for r in got.collect()} == Counter(k % 7 for k in range(1000))
