@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("graphs", "catalogue", "problems")
+MODULES = ("problems", "catalogue", "graphs")
 
 
 def queries() -> dict:

@@ -11,6 +11,7 @@ from ..operators import classes, graph, nested
 from ..plans import bgp
 from ..sources import badrows, csvtext, html, rdfxml
 from ..sources.tables import table
+from .problems import SPLIT
 from .sqltext import TRIPLES
 
 Q: dict = {}
@@ -115,22 +116,39 @@ def class_head(s, d):
 # Basic graph patterns -----------------------------------------------------------------------------------------------
 
 
-def _sql_bgp(patterns: list[tuple[str, str, str]], extra: str = "true", select: str | None = None) -> str:
-    """A chain of joins written out: positions of variables are compared where they meet again."""
-    at: dict[str, str] = {}
-    conds = []
-    for k, p in enumerate(patterns):
-        for c, t in zip("spo", p):
+def _sql_steps(patterns: list[tuple[str, str, str]], tag: str = "j") -> tuple[str, str]:
+    """Common table expressions that match the patterns one by one, each joined to the matches so far by what it shares
+    with them, from a constant outward; the name of the last one has a column per variable."""
+    todo, known, steps = list(patterns), [], []
+    while todo:
+        best = max(todo, key=lambda p: (sum(t in known for t in p), sum(not t.startswith("?") for t in (p[0], p[2]))))
+        todo.remove(best)
+        conds, new = [], []
+        for c, t in zip("spo", best):
             if not t.startswith("?"):
-                conds.append(f"t{k}.{c} = '{t}'")
-            elif t in at:
-                conds.append(f"t{k}.{c} = {at[t]}")
+                conds.append(f"t.{c} = '{t}'")
+            elif t in known:
+                conds.append(f"t.{c} = b.{t[1:]}")
+            elif t in [x for x, _ in new]:
+                conds.append(f"t.{c} = t.{dict(new)[t]}")
             else:
-                at[t] = f"t{k}.{c}"
-    for v in sorted(at, key=len, reverse=True):
-        extra = extra.replace(v, at[v])
-    cols = select or ", ".join(f"{c} AS {v[1:]}" for v, c in at.items())
-    return f"WITH {TRIPLES} SELECT {cols} FROM {', '.join(f'triples t{k}' for k in range(len(patterns)))} WHERE {' AND '.join(conds)} AND {extra}"
+                new.append((t, c))
+        cols = [f"b.{t[1:]}" for t in known] + [f"t.{c} AS {t[1:]}" for t, c in new]
+        k = len(steps)
+        source = f"{tag}{k - 1} b JOIN triples t ON {' AND '.join(conds)}" if k else f"triples t WHERE {' AND '.join(conds) or 'true'}"
+        steps.append(f"{tag}{k} AS MATERIALIZED (SELECT {', '.join(cols) or '1 AS one'} FROM {source})")
+        known += [t for t, _ in new]
+    return ", ".join(steps), f"{tag}{len(steps) - 1}"
+
+
+def _sql_differ(b: bgp.Bgp) -> str:
+    word = lambda t: t[1:] if t.startswith("?") else f"'{t}'"
+    return " AND ".join(f"{word(x)} <> {word(y)}" for x, y in b.differ) or "true"
+
+
+def _sql_bgp(b: bgp.Bgp) -> str:
+    steps, last = _sql_steps(list(b.patterns))
+    return f"WITH {TRIPLES}, {steps} SELECT {', '.join(v[1:] for v in b.variables)} FROM {last} WHERE {_sql_differ(b)}"
 
 
 #: Endpoints of each template, chosen so that there are matches at the smaller scales.
@@ -143,7 +161,7 @@ def _template(name: str, b: bgp.Bgp) -> None:
         return bgp.evaluate(b, graph.edges(s, d), repeats=True)
 
     run.__name__ = name
-    query(_sql_bgp(list(b.patterns), " AND ".join([f"{x} <> {y if y.startswith('?') else repr(y)}" for x, y in b.differ]) or "true"))(run)
+    query(_sql_bgp(b))(run)
 
 
 for _d, (_a, _b) in DIRECT.items():
@@ -154,33 +172,31 @@ _template("relfinder_filter_cycles_1", bgp.Bgp.via_middle("o1", "o2", 2, 2, True
 _template("relfinder_filter_cycles_2", bgp.Bgp.via_middle("n0", "n1", 2, 2, False).filtered(cycles=2, ends=("n0", "n1")))
 _template("relfinder_filter_ignored", bgp.Bgp.direct("o1", "r0", 4).filtered(ignored_objects=("c0", "p0"), ignored_properties=("P3",), ends=("o1", "r0")))
 
-@query(_sql_bgp([("o1", "?pf1", "?of1"), ("?of1", "?pf2", "?of2"), ("?of2", "?pf3", "?of3"), ("?of3", "?pf4", "r0")]) + " ORDER BY ALL LIMIT 3")
+
+@query(_sql_bgp(bgp.Bgp.direct("o1", "r0", 4)) + " ORDER BY ALL LIMIT 3")
 def relfinder_limit(s, d):
     """A template with LIMIT, in the order of its columns."""
     b = bgp.Bgp.direct("o1", "r0", 4)
     return bgp.evaluate(bgp.Bgp(b.patterns, limit=3), graph.edges(s, d), repeats=True)
 
 
-_ALL = bgp.templates("o1", "p0", 3, cycles=1)
+_ALL = bgp.templates("o1", "p0", 4, cycles=1)
 
 
 def _sql_all() -> str:
-    parts = []
-    for b in _ALL:
-        at = {}
-        for k, p in enumerate(b.patterns):
-            for c, t in zip("spo", p):
-                at.setdefault(t, f"t{k}.{c}")
-        word = lambda t, at=at: at[t] if t.startswith("?") else f"'{t}'"
+    steps, parts = [TRIPLES], []
+    for n, b in enumerate(_ALL):
+        mine, last = _sql_steps(list(b.patterns), f"j{n}_")
+        steps.append(mine)
+        word = lambda t: t[1:] if t.startswith("?") else f"'{t}'"
         match = " || ' . ' || ".join(" || ' ' || ".join(map(word, p)) for p in b.patterns)
-        q = _sql_bgp(list(b.patterns), " AND ".join([f"{x} <> {y if y.startswith('?') else repr(y)}" for x, y in b.differ]) or "true", f"{b.distance} AS distance, '{b.name}' AS template, {match} AS match")
-        parts.append(q.removeprefix(f"WITH {TRIPLES} "))
-    return f"WITH {TRIPLES} " + " UNION ALL ".join(parts)
+        parts.append(f"SELECT {b.distance} AS distance, '{b.name}' AS template, {match} AS match FROM {last} WHERE {_sql_differ(b)}")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(parts)
 
 
 @query(_sql_all())
 def relfinder_all(s, d):
-    """All templates between o1 and p0 in up to three edges."""
+    """All templates between o1 and p0 in up to four edges."""
     return bgp.relate(_ALL, graph.edges(s, d), repeats=True)
 
 
@@ -188,9 +204,9 @@ LOCATED = bgp.Bgp((("?n", "P2", "?e2"), ("?e1", "P1", "?n"), ("?o", "P3", "?e1")
 SUPPLIED = bgp.Bgp((("?n", "P2", "?e2"), ("?s", "P1", "?n"), ("?p", "P5", "?s"), ("?o", "P4", "?p"), ("?o", "P3", "?e1")))
 
 
-@query(f"""WITH {TRIPLES}, m AS (SELECT DISTINCT b.s AS e1, a.o AS e2, 'located' AS pattern FROM triples a, triples b, triples c WHERE a.p = 'P2' AND b.p = 'P1' AND b.o = a.s AND c.p = 'P3' AND c.o = b.s
-    UNION SELECT DISTINCT f.o, a.o, 'supplied' FROM triples a, triples b, (SELECT DISTINCT e.s, c.o FROM triples c, triples e WHERE c.p = 'P5' AND e.p = 'P4' AND e.o = c.s) g, triples f
-      WHERE a.p = 'P2' AND b.p = 'P1' AND b.o = a.s AND g.o = b.s AND f.p = 'P3' AND f.s = g.s)
+@query(f"""WITH {TRIPLES}, loc AS MATERIALIZED (SELECT b.s AS x, a.o AS r FROM triples a JOIN triples b ON b.o = a.s AND b.p = 'P1' WHERE a.p = 'P2'),
+    made AS MATERIALIZED (SELECT DISTINCT c.s AS part, r FROM triples c JOIN loc ON c.o = loc.x WHERE c.p = 'P5'), sold AS MATERIALIZED (SELECT DISTINCT e.s AS sale, r FROM triples e JOIN made ON e.o = made.part WHERE e.p = 'P4'),
+    m AS (SELECT DISTINCT loc.x AS e1, r AS e2, 'located' AS pattern FROM loc JOIN triples c ON c.o = loc.x AND c.p = 'P3' UNION ALL SELECT DISTINCT f.o, r, 'supplied' FROM sold JOIN triples f ON f.s = sold.sale AND f.p = 'P3')
     SELECT e1, e2, count(*) AS n_patterns, string_agg(pattern, '**' ORDER BY pattern) AS patterns FROM m GROUP BY 1, 2""")
 def related_pairs(s, d):
     """Customers and regions: where they are, and where the suppliers of what they ordered are."""
@@ -202,7 +218,7 @@ def bgp_count(s, d):
     return bgp.count(bgp.Bgp(tuple([("?o", "P3", "?c"), ("?o", "P4", "?p")])), graph.triples(s, d))
 
 
-@query(_sql_bgp([("?o", "P3", "?c"), ("?c", "P1", "n1")]))
+@query(_sql_bgp(bgp.Bgp((("?o", "P3", "?c"), ("?c", "P1", "n1")))))
 def bgp_text_query(s, d):
     """A query given as text, parsed and evaluated."""
     return bgp.evaluate(bgp.Bgp.parse("SELECT * WHERE { ?o <P3> ?c . ?c <P1> <n1> }"), graph.triples(s, d))
@@ -302,19 +318,18 @@ def cached_description(s, d):
     return c.select("code").distinct().join(known, "code", "left").select("code", F.coalesce("description", F.lit("No label defined")).alias("description"))
 
 
-@query("SELECT DISTINCT url, replace(replace(replace(url, ':', '%3A'), '/', '%2F'), '_', '%5F') AS encoded, url AS decoded FROM client6380 WHERE regexp_full_match(url, '[A-Za-z0-9:/_]*(\\.[a-z]+)?[A-Za-z0-9:/_]*') AND NOT contains(url, '.')  UNION SELECT DISTINCT url, replace(replace(replace(replace(url, ':', '%3A'), '/', '%2F'), '_', '%5F'), '.', '%2E'), url FROM client6380 WHERE contains(url, '.') AND regexp_full_match(url, '[A-Za-z0-9:/_.]*')")
+@query("SELECT DISTINCT url, array_to_string(list_transform(string_split(url, ''), lambda c: CASE WHEN regexp_full_match(c, '[A-Za-z0-9]') THEN c WHEN c = ' ' THEN '+' ELSE regexp_replace(hex(c), '(..)', '%\\1', 'g') END), '') AS encoded, url AS decoded FROM client6380 WHERE url IS NOT NULL")
 def url_coding(s, d):
     """Every URL in form encoding, where ``+`` stands for a blank only, and decoded again."""
     u = table(s, d, "client6380").select("url").where("url is not null").distinct().withColumn("encoded", X.url_encode(F.col("url")))
     return u.withColumn("decoded", X.url_decode(F.replace("encoded", F.lit("+"), F.lit("%20"))))
 
 
-@query("SELECT query_id, line_id, record[1] AS a FROM (SELECT DISTINCT query_id, line_id, string_split(texto, ',') AS record FROM sparql WHERE header = 's,n' AND regexp_full_match(texto, 'http[^\",\\s]*,[0-9]+'))")
+@query(f"""WITH {SPLIT}, q AS (SELECT DISTINCT query_id, line_id FROM sparql)
+    SELECT DISTINCT query_id, line_id, NULL::varchar AS reason, variable, value FROM e JOIN q USING (line_id)
+    UNION ALL SELECT query_id, line_id, CASE WHEN blank OR splits THEN 'column_count' ELSE 'quoting' END, NULL, NULL FROM u JOIN q USING (line_id) WHERE blank OR NOT splits OR len(names) <> len(vals)""")
 def csv_rows(s, d):
-    """Every record read by its own header: a row per variable; a record that cannot be read keeps a row with the reason.
-
-    The SQL, from when only plain records of one header were read, covers a part of this and differs.
-    """
+    """Every record read by its own header: a row per variable; a record that cannot be read keeps a row with the reason."""
     r = table(s, d, "sparql").select("query_id", "line_id", "header", "texto")
     return badrows.load_records(r, domains={}).select("query_id", "line_id", "reason", F.explode_outer("fields").alias("variable", "value")).distinct()
 

@@ -372,7 +372,7 @@ def pattern_compare(s, d):
     return patterns.compare_support(patterns.min_support(_mined(s, d)))
 
 
-_RANKED = _MINED + PATTERNS + f", rk AS (SELECT pattern, size, row_number() OVER (ORDER BY instances DESC, pattern) AS rank FROM freq QUALIFY rank <= {TOP})"
+_RANKED = _MINED + PATTERNS + ", rk AS (SELECT pattern, size, row_number() OVER (ORDER BY instances DESC, pattern) AS rank FROM freq)"
 _PAGE = _RANKED + ", pp AS (SELECT a.pattern AS pattern_a, b.pattern AS pattern_b FROM rk a JOIN rk b ON a.rank < b.rank WHERE a.size > 1 AND b.size > 1)"
 
 

@@ -62,7 +62,7 @@ def p4_good(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_properties, p2_statements, p2_qualifiers, p3_found, p3_wobject_keys, p3_client_keys, p4_found, p4_good)}
 
-_SPLIT = r"""
+SPLIT = r"""
 t AS (SELECT DISTINCT line_id, header, texto, CASE WHEN ends_with(texto, chr(13) || chr(10)) THEN left(texto, length(texto) - 2)
         WHEN right(texto, 1) IN (chr(13), chr(10)) THEN left(texto, length(texto) - 1) ELSE texto END AS r FROM sparql),
 u AS (SELECT *, coalesce(trim(texto, ' ' || chr(9) || chr(10) || chr(13)) = '', true) OR header IS NULL AS blank,
@@ -107,8 +107,8 @@ SQL = {
         SELECT field, key_value FROM (SELECT *, sum(n) OVER (PARTITION BY field) AS total FROM k) WHERE n >= 0.03 * total""",
     "p3_wobject_keys": "SELECT sequence, count(*) AS n_rows, count(DISTINCT node) AS n_nodes FROM l_wobject_extend WHERE sequence IS NOT NULL GROUP BY 1",
     "p3_client_keys": "SELECT size, count(*) AS n_rows, count(DISTINCT code) AS n_codes FROM client6380 WHERE size IS NOT NULL GROUP BY 1",
-    "p4_found": "WITH " + _SPLIT + """
+    "p4_found": "WITH " + SPLIT + """
         SELECT line_id, CASE WHEN blank THEN 'column_count' WHEN NOT splits THEN 'quoting' WHEN len(names) <> len(vals) THEN 'column_count' ELSE 'invalid_value' END AS reason
         FROM u WHERE blank OR NOT splits OR len(names) <> len(vals) OR line_id IN (SELECT line_id FROM bad)""",
-    "p4_good": "WITH " + _SPLIT + " SELECT DISTINCT line_id, variable, value FROM e WHERE line_id NOT IN (SELECT line_id FROM bad)",
+    "p4_good": "WITH " + SPLIT + " SELECT DISTINCT line_id, variable, value FROM e WHERE line_id NOT IN (SELECT line_id FROM bad)",
 }

@@ -1,11 +1,11 @@
 """Common table expressions of the SQL side. Searches are unidirectional walks there, unlike the engine's."""
 
-TRIPLES = """triples AS (
+TRIPLES = """triples AS MATERIALIZED (
   SELECT 'c' || c_custkey AS s, 'P1' AS p, 'n' || c_nationkey AS o FROM customer UNION SELECT 's' || s_suppkey, 'P1', 'n' || s_nationkey FROM supplier
   UNION SELECT 'n' || n_nationkey, 'P2', 'r' || n_regionkey FROM nation UNION SELECT 'o' || o_orderkey, 'P3', 'c' || o_custkey FROM orders
   UNION SELECT 'o' || l_orderkey, 'P4', 'p' || l_partkey FROM lineitem UNION SELECT 'p' || l_partkey, 'P5', 's' || l_suppkey FROM lineitem)"""
-ADJ = TRIPLES + ", adj AS (SELECT s, p, o FROM triples UNION ALL SELECT o, p || '@', s FROM triples)"
-DEGREE = ADJ + ", degree AS (SELECT s AS node, count(*) AS n FROM adj GROUP BY 1)"
+ADJ = TRIPLES + ", adj AS MATERIALIZED (SELECT s, p, o FROM triples UNION ALL SELECT o, p || '@', s FROM triples)"
+DEGREE = ADJ + ", degree AS MATERIALIZED (SELECT s AS node, count(*) AS n FROM adj GROUP BY 1)"
 
 
 def walk(name: str, start: str, length: int, end: str | None = None) -> str:
@@ -13,7 +13,7 @@ def walk(name: str, start: str, length: int, end: str | None = None) -> str:
     out = [f"{name}0 AS (SELECT '{start}' AS node, '{start}' AS path, ['{start}'] AS nodes, 0 AS len)"]
     stop = f" AND w.node <> '{end}'" if end else ""
     for k in range(1, length + 1):
-        out.append(f"{name}{k} AS (SELECT a.o AS node, w.path || ' ' || a.p || ' ' || a.o AS path, list_append(w.nodes, a.o) AS nodes, {k} AS len FROM {name}{k - 1} w JOIN adj a ON a.s = w.node WHERE NOT list_contains(w.nodes, a.o){stop})")
+        out.append(f"{name}{k} AS MATERIALIZED (SELECT a.o AS node, w.path || ' ' || a.p || ' ' || a.o AS path, list_append(w.nodes, a.o) AS nodes, {k} AS len FROM {name}{k - 1} w JOIN adj a ON a.s = w.node WHERE NOT list_contains(w.nodes, a.o){stop})")
     return ", ".join(out) + f", {name} AS (" + " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(length + 1)) + ")"
 
 
