@@ -30,6 +30,10 @@ class Bgp:
     name: str = ""
     distance: int = 0
     limit: int | None = None
+    #: variables of the result, none: all; ``counted``: only the number of matches; ``distinct``: each row once
+    select: tuple[str, ...] = ()
+    counted: bool = False
+    distinct: bool = False
 
     @property
     def variables(self) -> list[str]:
@@ -95,25 +99,131 @@ class Bgp:
 
     @staticmethod
     def parse(query: str) -> "Bgp":
-        """The subset that ``text`` writes: SELECT with triple patterns, one FILTER of inequalities, LIMIT."""
-        names = {p: u for p, u in re.findall(r"PREFIX\s+(\w*):\s*<([^>]*)>", query)}
-        m = re.search(r"\{(.*)\}", query, re.S)
-        if m is None:
-            raise ValueError("no group of triple patterns")
-        core, _, cond = m[1].partition("FILTER")
-
-        def term(t: str) -> str:
-            if t.startswith("<"):
-                return t[1:-1]
-            p, _, rest = t.partition(":")
-            return names[p] + rest if rest and p in names else t
-
-        pats = tuple(tuple(map(term, x.split())) for x in re.split(r"\s\.(?:\s|$)", core) if x.strip())
-        if any(len(p) != 3 for p in pats):
-            raise ValueError("a triple pattern has three terms")
-        differ = tuple((term(a), term(b)) for a, b in re.findall(r"([?<][^\s()]+)\s*!=\s*([?<\w][^\s()]*)", cond))
-        limit = re.search(r"LIMIT\s+(\d+)", query)
-        return Bgp(pats, differ, tuple(re.findall(r"!isLiteral\((\?\w+)\)", cond)), limit=int(limit[1]) if limit else None)
+        """The language that ``text`` writes: PREFIX, SELECT (``*``, ``count(*)`` or variables, DISTINCT or not), triple
+        patterns, one FILTER of ``!isLiteral(?x)`` and ``a != b`` joined by ``&&``, LIMIT. Anything else is an error."""
+        return _Parser(query).query()
+
+
+class _Parser:
+    """Recursive descent over the tokens of a query."""
+
+    TOKEN = re.compile(
+        r"""\s*(?:(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<var>[?$]\w+)|(?P<name>[A-Za-z_][\w-]*:(?:[\w/#%@-]|\.(?=[\w/#%@-]))*)|(?P<op>&&|!=|[!{}().*])|(?P<word>[A-Za-z]\w*)|(?P<int>\d+))"""
+    )
+
+    def __init__(self, text: str):
+        self.tokens: list[tuple[str, str]] = []
+        at, end = 0, len(text.rstrip())
+        while at < end:
+            m = self.TOKEN.match(text, at)
+            if m is None:
+                raise ValueError(f"not understood: {text[at : at + 30].strip()!r}")
+            self.tokens.append((m.lastgroup, m[m.lastgroup]))
+            at = m.end()
+        self.at, self.names = 0, {}
+
+    def peek(self) -> tuple[str, str]:
+        return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
+
+    def take(self, *wanted: str) -> str:
+        """The next token, which must be one of ``wanted`` (kinds of terms, or words and signs as they are written)."""
+        kind, x = self.peek()
+        if kind not in wanted and x not in wanted and x.upper() not in wanted:
+            raise ValueError(f"{' or '.join(wanted)} expected, found {x or 'the end'!r}")
+        self.at += 1
+        return x
+
+    def has(self, *words: str) -> bool:
+        ok = self.peek()[1].upper() in words
+        self.at += ok
+        return ok
+
+    def term(self) -> str:
+        kind, x = self.peek()
+        if kind == "word":
+            raise ValueError(f"a term expected, found {x!r}")
+        self.take("iri", "var", "name")
+        if kind == "iri":
+            return x[1:-1]
+        if kind == "var":
+            return "?" + x[1:]
+        prefix, _, rest = x.partition(":")
+        if prefix not in self.names:
+            raise ValueError(f"unknown prefix {prefix!r}")
+        return self.names[prefix] + rest
+
+    def query(self) -> Bgp:
+        while self.has("PREFIX"):
+            name = self.take("name")
+            if not name.endswith(":"):
+                raise ValueError(f"a prefix ends in a colon: {name!r}")
+            self.names[name[:-1]] = self.take("iri")[1:-1]
+        self.take("SELECT")
+        distinct, counted, select = self.has("DISTINCT"), self.has("COUNT"), []
+        if counted:
+            for x in "(*)":
+                self.take(x)
+        elif not self.has("*"):
+            select.append(self.term_var())
+            while self.peek()[0] == "var":
+                select.append(self.term_var())
+        self.has("WHERE")
+        self.take("{")
+        pats = []
+        while self.peek()[1] != "}" and self.peek()[1].upper() != "FILTER":
+            pats.append((self.term(), self.term(), self.term()))
+            if not self.has(".") and self.peek()[1] != "}" and self.peek()[1].upper() != "FILTER":
+                raise ValueError("a triple pattern has three terms")
+        if not pats:
+            raise ValueError("no triple patterns")
+        differ, entities = [], []
+        if self.has("FILTER"):
+            self.condition(differ, entities)
+            self.has(".")
+        self.take("}")
+        limit = int(self.take("int")) if self.has("LIMIT") else None
+        if self.peek()[0] != "end":
+            raise ValueError(f"not understood: {self.peek()[1]!r}")
+        known = {t for p in pats for t in p}
+        for v in [*select, *entities, *[t for d in differ for t in d if is_var(t)]]:
+            if v not in known:
+                raise ValueError(f"{v} is in no triple pattern")
+        return Bgp(tuple(pats), tuple(differ), tuple(entities), limit=limit, select=tuple(select), counted=counted, distinct=distinct)
+
+    def term_var(self) -> str:
+        return "?" + self.take("var")[1:]
+
+    def condition(self, differ: list, entities: list) -> None:
+        """``(c && c ...)``, where c is such a condition again, ``!isLiteral(?x)`` or ``a != b``."""
+        self.take("(")
+        while True:
+            if self.peek()[1] == "(":
+                self.condition(differ, entities)
+            elif self.has("!"):
+                self.take("ISLITERAL")
+                self.take("(")
+                entities.append(self.term_var())
+                self.take(")")
+            else:
+                a = self.term()
+                self.take("!=")
+                differ.append((a, self.term()))
+            if not self.has("&&"):
+                break
+        self.take(")")
+
+
+def answer(query: str, triples: DataFrame, literals: DataFrame | None = None) -> DataFrame:
+    """The result of a query given as text, over distinct ``triples``."""
+    b = Bgp.parse(query)
+    if b.counted:
+        return count(b, triples, literals)
+    if not b.select:
+        return evaluate(b, triples, literals)
+    if b.distinct:
+        return evaluate(b, triples, literals, keep=list(b.select))
+    out = evaluate(Bgp(b.patterns, b.differ, b.entities), triples, literals).select(*[v[1:] for v in b.select])
+    return out.orderBy(*out.columns).limit(b.limit) if b.limit else out
 
 
 def conjunction(terms: list[str], op: str = "&&") -> str:
@@ -183,9 +293,9 @@ def evaluate(bgp: Bgp, triples: DataFrame, literals: DataFrame | None = None, ke
     return out.orderBy(*out.columns).limit(bgp.limit) if bgp.limit else out
 
 
-def count(bgp: Bgp, triples: DataFrame) -> DataFrame:
+def count(bgp: Bgp, triples: DataFrame, literals: DataFrame | None = None) -> DataFrame:
     """One row: n, 0 if there is no match."""
-    return evaluate(bgp, triples).agg(F.count(F.lit(1)).alias("n"))
+    return evaluate(Bgp(bgp.patterns, bgp.differ, bgp.entities), triples, literals).agg(F.count(F.lit(1)).alias("n"))
 
 
 def templates(o1: str, o2: str, longest: int, limit: int | None = None, ignored_objects=(), ignored_properties=(), cycles: int = 0) -> list[Bgp]:

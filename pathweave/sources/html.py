@@ -146,22 +146,31 @@ class _Statements(HTMLParser):
                 break
 
     def handle_data(self, data):
-        x = data.strip()
-        if not x:
-            return
+        """Text comes in pieces, parted by tags within it; they are joined here and their white space tidied in ``close``."""
         if self._inside(self.TITLE):
-            self.title += x
+            self.title += data
         elif self._inside(self.DESCRIPTION):
-            self.description += x
+            self.description += data
         elif self._inside(self.GROUP_PROPERTY) and self.groups:
-            self.groups[-1]["name"] = self.groups[-1]["name"] or x
+            self.groups[-1]["name"] = (self.groups[-1]["name"] or "") + data
         elif self.groups and self.groups[-1]["list_statement"]:
             st = self.groups[-1]["list_statement"][-1]
             if self._inside(self.QUALIFIERS) and st["list"]:
-                q = st["list"][-1]
-                q[1 if self._inside(self.PROPERTY) else 3] = x
+                q, k = st["list"][-1], 1 if self._inside(self.PROPERTY) else 3
+                if k == 1 or self._inside(self.VALUE):
+                    q[k] = (q[k] or "") + data
             elif self._inside(self.MAIN) and self._inside(self.VALUE):
-                st["value"] = x
+                st["value"] = (st["value"] or "") + data
+
+    def close(self):
+        super().close()
+        tidy = lambda x: " ".join((x or "").split()) or None
+        self.title, self.description = tidy(self.title) or "", tidy(self.description) or ""
+        for g in self.groups:
+            g["name"] = tidy(g["name"])
+            for st in g["list_statement"]:
+                st["value"] = tidy(st["value"])
+                st["list"] = [[q[0], tidy(q[1]), q[2], tidy(q[3])] for q in st["list"]]
 
 
 def statement_document(html: str | None) -> tuple[str, str, dict]:

@@ -1,6 +1,6 @@
 import pytest
 
-from pathweave.plans.bgp import Bgp, conjunction, evaluate, templates
+from pathweave.plans.bgp import Bgp, answer, conjunction, evaluate, templates
 
 T = [("a", "p", "b"), ("b", "q", "c"), ("c", "p", "a"), ("a", "p", "c"), ("b", "p", "b")]
 
@@ -35,3 +35,32 @@ def test_evaluate(spark):
     lit = spark.createDataFrame([("a", "p", "text")], "s string, p string, o string")
     assert evaluate(Bgp((("a", "p", "?y"),), entities=("?y",)), t, lit).count() == 2
     assert evaluate(Bgp((("a", "p", "?y"),)), t, lit).count() == 3
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT * WHERE { ?a <p> ?b FILTER (?b = <x>) }",
+    "SELECT * WHERE { ?a <p> ?b FILTER (?a != <x> || ?b != <y>) }",
+    "SELECT * WHERE { ?a <p> ?b . ?b <q> }",
+    "SELECT * WHERE { ?a <p> ?b OPTIONAL { ?b <q> ?c } }",
+    "SELECT * WHERE { ?a <p> ?b } ORDER BY ?a",
+    "SELECT * WHERE { ?a <p> \"x\" }",
+    "SELECT * WHERE { ?a n:p ?b }",
+    "SELECT ?c WHERE { ?a <p> ?b }",
+    "SELECT * WHERE { ?a <p> ?b FILTER (?c != ?a) }",
+    "SELECT * WHERE { ?a <p> ?b FILTER (?a != ?b }",
+    "SELECT * WHERE { ?a <p>/<q> ?b }",
+    "SELECT * WHERE { }",
+    "ASK { ?a <p> ?b }",
+    "",
+])
+def test_what_is_not_understood_is_an_error(text):
+    with pytest.raises(ValueError):
+        Bgp.parse(text)
+
+
+def test_answers(spark):
+    t = spark.createDataFrame(T, "s string, p string, o string")
+    assert answer("PREFIX n: <> SELECT count(*) WHERE { ?x n:p ?y }", t).first().n == 4
+    assert {r.x for r in answer("select distinct ?x where { ?x <p> ?y . FILTER ((?y != <b>) && (?x != ?y)) }", t).collect()} == {"c", "a"}
+    assert [r.x for r in answer("SELECT ?x WHERE { ?x <p> ?y . } LIMIT 2", t).collect()] == ["a", "a"]
+    assert Bgp.parse("PREFIX k: <http://k/a.b#> SELECT * { ?x k:p.q ?y . ?y ?r k:z . }").patterns == (("?x", "http://k/a.b#p.q", "?y"), ("?y", "?r", "http://k/a.b#z"))

@@ -78,3 +78,12 @@ def test_url_coding_takes_every_url(spark, tmp_path):
     spark.createDataFrame([(u,) for u in [*urls, urls[0], None]], "url string").write.parquet(str(tmp_path / "client6380.parquet"))
     code = lambda c: c if c.isascii() and c.isalnum() else "+" if c == " " else "".join(f"%{b:02X}" for b in c.encode())
     assert sorted(map(tuple, catalogue.url_coding(spark, str(tmp_path)).collect())) == sorted((u, "".join(map(code, u)), u) for u in urls)
+
+
+def test_text_in_pieces():
+    block = lambda cls, x: f'<div class="wikibase-{cls}">{x}</div>'
+    value = block("statementview-mainsnak", block("snakview-value", "12 <b>July</b>\n 1990"))
+    quals = block("statementview-qualifiers", block("snakview-property", '<a href="/wiki/Property:P580">start <i>time</i></a>') + block("snakview-value", "<i>c.</i> 1740") + block("snakview-property", '<a href="/wiki/Property:P1">of</a>') + block("snakview-value", '<a href="/wiki/Q7">the <b>old</b> quay</a>'))
+    page = f'<h1><span class="wikibase-title-label">Old <i>Quay</i></span></h1><div class="wikibase-statementgroupview" id="P571">{block("statementgroupview-property", "<a>incep<wbr>tion</a>")}{block("statementview", value + quals)}</div>'
+    title, _, doc = html.statement_document(page)
+    assert title == "Old Quay" and doc == {"P571": {"name": "inception", "list_statement": [{"url": None, "value": "12 July 1990", "list": [["P580", "start time", "c. 1740"], ["P1", "of", "Q7", "the old quay"]]}]}}
