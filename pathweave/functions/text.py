@@ -111,4 +111,4 @@ def comma_items(x: Column) -> Column:
 
 def key_head(x: Column) -> Column:
     """The part of a pattern key up to its first ``}:``, the brace included; empty if there is none."""
-    return F.regexp_extract(x, r"^(.*?\})(?=:)", 1)
+    return F.regexp_extract(x, r"(?s)^(.*?\})(?=:)", 1)

@@ -115,6 +115,39 @@ def keep_entities(doc: DataFrame, ignored: DataFrame, kb: KnowledgeBase = DBPEDI
     return doc.where(F.col("value").startswith(kb.entity_prefix)).join(small(ignored), "value", "left_anti")
 
 
+def keep_items(doc: DataFrame, kb: KnowledgeBase) -> DataFrame:
+    """Values that are items of the knowledge base, by its pattern (``^Q`` for statement pages)."""
+    return doc.where(F.col("value").rlike(kb.item_pattern))
+
+
+def accept(terms: DataFrame, entries: DataFrame, ignored: DataFrame, kb: KnowledgeBase = DBPEDIA) -> DataFrame:
+    """``terms`` (url, is_property, ntype) with ``ok`` and ``code``: whether a property or entity takes part, and under which code.
+
+    A property is a URI, an entity one with the prefix of the knowledge base; neither may be in ``ignored`` (one column url).
+    The code is that of ``entries`` (url, code), marked as inverse by the property's ntype; null where not accepted.
+    """
+    out = ignored.select("url", F.lit(True).alias("__out")).distinct()
+    t = lookup(terms, "url", entries, "url", "code", "code").join(small(out), "url", "left")
+    start = F.when(F.col("is_property"), F.col("url").startswith("http")).otherwise(F.col("url").startswith(kb.entity_prefix))
+    ok = F.coalesce(start & F.col("__out").isNull() & F.col("code").isNotNull(), F.lit(False))
+    marked = F.when(F.col("is_property") & (F.col("ntype") > kb.inverse_above), F.concat("code", F.lit("@"))).otherwise(F.col("code"))
+    return t.select("url", "is_property", "ntype", ok.alias("ok"), F.when(ok, marked).alias("code"))
+
+
+def append_values(lists: DataFrame, new: DataFrame, chunk: int = 1024) -> DataFrame:
+    """(entity, p, chunk, values): the value lists of properties with the values of ``new`` (entity, p, value, seq) put at
+    their ends, in the order of ``seq``; a list is made where there is none. ``lists`` (entity, p, chunk, values) may be empty.
+
+    A list lies in chunks by ``seq`` (floor(seq / ``chunk``), so at most ``chunk`` values each if seq is unique), that a
+    property with very many values fills no row; appended chunks follow the last of the list.
+    """
+    last = lists.groupBy("entity", "p").agg(F.max("chunk").alias("last"))
+    add = new.groupBy("entity", "p", F.floor(F.col("seq") / chunk).alias("at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]).alias("values"))
+    base = add.groupBy("entity", "p").agg(F.min("at").alias("first"))
+    added = add.join(base, ["entity", "p"]).join(last, ["entity", "p"], "left")
+    return lists.select("entity", "p", "chunk", "values").unionByName(added.select("entity", "p", (F.col("at") - F.col("first") + F.coalesce(F.col("last") + 1, F.lit(0))).cast("long").alias("chunk"), "values"))
+
+
 def tag_inverse(doc: DataFrame, kb: KnowledgeBase = DBPEDIA) -> DataFrame:
     return doc.withColumn("p", F.when(F.col("ntype") > kb.inverse_above, F.concat("p", F.lit("@"))).otherwise(F.col("p")))
 

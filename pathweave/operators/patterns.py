@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import paths as P
 
 CODE = r"([A-Za-z]+[0-9]+@*)"
@@ -63,13 +64,24 @@ def ranked(freq: DataFrame, top: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("instances"), "pattern")))
 
 
-def page_pairs(top: DataFrame) -> DataFrame:
-    """(pattern_a, pattern_b) of a page of ranked patterns of more than one property, the more frequent first."""
-    t = top.where("size > 1").select("pattern", "rank")
-    lists = t.groupBy(F.lit(1).alias("g")).agg(F.array_sort(F.collect_list(F.struct("rank", "pattern"))).alias("ps"))  # a page, of bounded size
-    a = lists.select("ps", F.posexplode("ps").alias("i", "a"))
-    b = a.select("a", F.explode(F.expr("slice(ps, i + 2, size(ps))")).alias("b"))
-    return b.select(F.col("a.pattern").alias("pattern_a"), F.col("b.pattern").alias("pattern_b"))
+def pages(freq: DataFrame, percent: int = 10) -> DataFrame:
+    """(pattern, size, instances, rank, page): all patterns in the order of their frequency (equal ones by their text), in
+    pages of ``percent`` of the list, at least one pattern each; rank and page from 1.
+
+    The list is range-partitioned and numbered within its partitions; only the partitions' sizes meet in one place.
+    """
+    n = int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc("instances"), F.col("pattern")]
+    t = freq.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    t = cut(t.select("pattern", "size", "instances", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("k")))
+    sizes = sorted((r["part"], r["n"]) for r in t.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
+    base, rows = 0, []
+    for part, size in sizes:
+        rows.append((part, base))
+        base += size
+    page = max(1, (base + 1) * percent // 100)
+    out = t.join(F.broadcast(t.sparkSession.createDataFrame(rows, "part int, base long")), "part").withColumn("rank", F.col("base") + F.col("k") + 1)
+    return out.select("pattern", "size", "instances", "rank", (F.floor((F.col("rank") - 1) / page) + 1).alias("page"))
 
 
 def positions(freq: DataFrame) -> DataFrame:
@@ -120,9 +132,22 @@ def entity_pairs(paths: DataFrame) -> DataFrame:
     return with_pattern(paths).select("pattern", F.element_at("path", 1).alias("start"), F.element_at("path", -1).alias("end")).distinct()
 
 
-def complex_bindings(paths: DataFrame) -> DataFrame:
-    """(pair_id, pos, n): distinct bindings of the union of all patterns between the same endpoints, by position from the start."""
+def merged_pattern(paths: DataFrame) -> DataFrame:
+    """(pair_id, merged): the distinct patterns between a pair, in order, joined by `` | ``."""
+    return with_pattern(paths).groupBy("pair_id").agg(F.array_join(F.array_sort(F.collect_set("pattern")), " | ").alias("merged"))
+
+
+def complex_bindings(paths: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(pair_id, pos, n): distinct bindings of all patterns between the same endpoints together, by position from the start.
+
+    ``stored`` (merged, pos, node): bindings kept for merged patterns measured before; where the merged pattern of a pair is
+    known they stand for it, else the bindings of its paths are united.
+    """
     inner = F.expr("slice(nodes, 2, greatest(size(nodes) - 2, 0))")
     p = paths.withColumn("nodes", P.nodes(F.col("path")))
-    b = p.select("pair_id", F.posexplode(inner).alias("k", "node")).distinct()
-    return b.groupBy("pair_id", (F.col("k") + 1).alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    b = p.select("pair_id", F.posexplode(inner).alias("k", "node")).select("pair_id", (F.col("k") + 1).alias("pos"), "node")
+    if stored is not None:
+        merged = merged_pattern(paths)
+        known = merged.join(stored.select("merged").distinct(), "merged", "left_semi")
+        b = b.join(known, "pair_id", "left_anti").unionByName(known.join(stored, "merged").select("pair_id", "pos", "node"))
+    return b.distinct().groupBy("pair_id", "pos").agg(F.count(F.lit(1)).alias("n"))

@@ -45,9 +45,12 @@ def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(at("s"), "s", "left").join(at("o"), "o", "left").where("__s is not null or __o is not null").select("s", "p", "o")
 
 
-def expand(partial: DataFrame, n_rows: int, edges: DataFrame, side: str, cfg: SearchConfig, domain: DataFrame | None = None, first: bool = False) -> DataFrame:
-    """One level: every partial path with every edge of its node that leads to a new node."""
+def expand(partial: DataFrame, n_rows: int, edges: DataFrame, side: str, cfg: SearchConfig, domain: DataFrame | None = None, first: bool = False, classed: DataFrame | None = None) -> DataFrame:
+    """One level: every partial path with every edge of its node that leads to a new node. With ``classed`` (one column
+    node) both ends of the edge need a class."""
     grow = partial.where(F.col("node") != F.col("stop"))
+    if classed is not None:
+        grow = grow.join(small(classed.select("node").distinct()), "node", "left_semi")
     tiny = n_rows <= BROADCAST_ROWS
     adj = with_inverse(touching(edges, grow.select("node").distinct()) if tiny else edges)
     if cfg.max_links is not None and not first:
@@ -57,8 +60,9 @@ def expand(partial: DataFrame, n_rows: int, edges: DataFrame, side: str, cfg: Se
         size = grow.groupBy("node").agg(F.count(F.lit(1)).alias("k")).join(degree(adj), "node").agg(F.sum(F.col("k") * F.col("n"))).first()[0] or 0
         if size > cfg.max_rows:
             raise ValueError(f"the next level would have up to {size} rows, more than {cfg.max_rows}")
-    if domain is not None:
-        adj = adj.join(small(domain.select(F.col("node").alias("o"))), "o", "left_semi")
+    for gate in (domain, classed):
+        if gate is not None:
+            adj = adj.join(small(gate.select(F.col("node").alias("o")).distinct()), "o", "left_semi")
     e = adj.select(F.col("s").alias("node"), "p", "o")
     joined = e.join(F.broadcast(grow), "node") if tiny else e.join(grow, "node")
     new = joined.where(~F.array_contains("nodes", F.col("o")))
@@ -66,13 +70,13 @@ def expand(partial: DataFrame, n_rows: int, edges: DataFrame, side: str, cfg: Se
     return new.select("pair_id", F.col("o").alias("node"), path.alias("path"), F.concat("nodes", F.array("o")).alias("nodes"), (F.col("depth") + 1).alias("depth"), "stop").dropDuplicates(["pair_id", "path"])
 
 
-def one_side(pairs: DataFrame, edges: DataFrame, side: str, levels: int, cfg: SearchConfig, domain: DataFrame | None = None) -> DataFrame:
+def one_side(pairs: DataFrame, edges: DataFrame, side: str, levels: int, cfg: SearchConfig, domain: DataFrame | None = None, classed: DataFrame | None = None) -> DataFrame:
     """Partial paths of depth 0 to ``levels`` from the start (L) or to the end (R)."""
     edges = _edges(edges, cfg)
     level = _seed(pairs, "start", "end") if side == "L" else _seed(pairs, "end", "start")
     out, n = level, level.count() if levels else 0
     for k in range(levels):
-        level = expand(level, n, edges, side, cfg, domain, first=k == 0)
+        level = expand(level, n, edges, side, cfg, domain, first=k == 0, classed=classed)
         if k < levels - 1:
             level = cut(level)
             n = level.count()
@@ -80,10 +84,13 @@ def one_side(pairs: DataFrame, edges: DataFrame, side: str, levels: int, cfg: Se
     return out
 
 
-def find_paths(pairs: DataFrame, edges: DataFrame, cfg: SearchConfig = SearchConfig(), domain: DataFrame | None = None) -> DataFrame:
-    """(pair_id, path array, len) of all simple paths of 1 to ``cfg.length`` edges. ``pairs``: pair_id, start, end."""
-    left = one_side(pairs, edges, "L", cfg.left, cfg, domain)
-    right = one_side(pairs, edges, "R", cfg.right, cfg, domain)
+def find_paths(pairs: DataFrame, edges: DataFrame, cfg: SearchConfig = SearchConfig(), domain: DataFrame | None = None, classed: DataFrame | None = None) -> DataFrame:
+    """(pair_id, path array, len) of all simple paths of 1 to ``cfg.length`` edges. ``pairs``: pair_id, start, end.
+
+    ``domain``: nodes that may be entered; ``classed``: nodes that have a class, needed at both ends of every edge taken.
+    """
+    left = one_side(pairs, edges, "L", cfg.left, cfg, domain, classed)
+    right = one_side(pairs, edges, "R", cfg.right, cfg, domain, classed)
     r = right.select("pair_id", "node", F.col("path").alias("rpath"), F.col("nodes").alias("rnodes"), F.col("depth").alias("rdepth"))
     met = left.join(r, ["pair_id", "node"]).where((F.size(F.array_intersect("nodes", "rnodes")) == 1) & (F.col("depth") + F.col("rdepth")).between(1, cfg.length))
     return met.select("pair_id", F.expr("concat(path, slice(rpath, 2, size(rpath)))").alias("path"), (F.col("depth") + F.col("rdepth")).alias("len")).distinct()
@@ -94,6 +101,17 @@ def meet_nodes(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("pair_id", "node").join(right.select("pair_id", "node"), ["pair_id", "node"], "left_semi").distinct()
 
 
+def last_round(pairs: DataFrame, edges: DataFrame, cfg: SearchConfig = SearchConfig(), domain: DataFrame | None = None) -> DataFrame:
+    """(pair_id, node, round): meet nodes by the round that finds them first. Round 1: at the last level but not before it;
+    round 2: the whole last frontier of both sides is extended once more, and the sides meet at a node that they had not.
+
+    Paths through nodes of round 2 are longer than ``cfg.length``, so ``find_paths`` has no more paths for it.
+    """
+    deep = {side: one_side(pairs, edges, side, n + 1, cfg, domain) for side, n in (("L", cfg.left), ("R", cfg.right))}
+    met = [meet_nodes(*[deep[s].where(F.col("depth") <= n + k) for s, n in (("L", cfg.left), ("R", cfg.right))]) for k in (-1, 0, 1)]
+    return new_nodes(met[1], met[0]).withColumn("round", F.lit(1)).unionByName(new_nodes(met[2], met[1]).withColumn("round", F.lit(2)))
+
+
 def new_nodes(nodes: DataFrame, seen: DataFrame) -> DataFrame:
     return nodes.join(seen.select(nodes.columns), nodes.columns, "left_anti").distinct()
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import WIKIDATA
 from ..functions import text as X
 from ..operators import classes, graph, nested
 from ..plans import bgp
@@ -218,6 +219,18 @@ def bgp_count(s, d):
     return bgp.count(bgp.Bgp(tuple([("?o", "P3", "?c"), ("?o", "P4", "?p")])), graph.triples(s, d))
 
 
+@query(f"""WITH {TRIPLES}, m AS (SELECT DISTINCT 'Q' || c.s AS e1, 'Q' || a.o AS e2, 'P3/P1' AS pattern FROM triples c JOIN triples a ON a.s = c.o AND a.p = 'P1' WHERE c.p = 'P3'
+    UNION ALL SELECT * FROM (SELECT DISTINCT 'Q' || c.s AS e1, 'Q' || b.o AS e2, 'P3/P1/P2' AS pattern FROM triples c JOIN triples a ON a.s = c.o AND a.p = 'P1' JOIN triples b ON b.s = a.o AND b.p = 'P2' WHERE c.p = 'P3' ORDER BY 1, 2 LIMIT 500))
+    SELECT e1, e2, count(*) AS n_patterns, string_agg(pattern, '**' ORDER BY pattern) AS patterns FROM m GROUP BY 1, 2""")
+def related_pairs_items(s, d):
+    """Pairs of items (Q codes), from queries given as text; one of them with a LIMIT."""
+    e = graph.edges(s, d)
+    items = graph.keep_items(e.select("s", "p", F.concat(F.lit("Q"), "o").alias("value")), WIKIDATA).select(F.concat(F.lit("Q"), "s").alias("s"), "p", F.col("value").alias("o"))
+    near = bgp.Bgp.parse("SELECT ?e1 ?e2 WHERE { ?e1 <P3> ?c . ?c <P1> ?e2 }")
+    far = bgp.Bgp.parse("SELECT ?e1 ?e2 WHERE { ?e1 <P3> ?c . ?c <P1> ?n . ?n <P2> ?e2 } LIMIT 500")
+    return bgp.related_pairs({"P3/P1": near, "P3/P1/P2": far}, items)
+
+
 @query(_sql_bgp(bgp.Bgp((("?o", "P3", "?c"), ("?c", "P1", "n1")))))
 def bgp_text_query(s, d):
     """A query given as text, parsed and evaluated."""
@@ -247,6 +260,43 @@ def _pages(s, d) -> DataFrame:
     return n.select(F.concat(F.lit("http://kb.example/page/n"), F.col("n_nationkey").cast("string")).alias("page"), body.alias("html"))
 
 
+@query(r"""SELECT doc_id, regexp_extract(speaker, '([A-Za-z]+)', 1) AS word, trim(regexp_replace(speaker, '\s+', ' ', 'g')) AS tidy, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(agenda_item, '\s+'), lambda w: w <> ''))), '|') AS words FROM documents""")
+def words_of_documents(s, d):
+    """First word of the speaker, the speaker with single blanks, the distinct words of the agenda item."""
+    t = table(s, d, "documents")
+    return t.select("doc_id", X.first_word(F.col("speaker")).alias("word"), X.one_space(F.col("speaker")).alias("tidy"), F.array_join(F.array_sort(X.distinct_words(F.col("agenda_item"))), "|").alias("words"))
+
+
+@query("SELECT DISTINCT code, url, CASE WHEN starts_with(url, 'http://kb.example/resource/') THEN substr(url, 28) ELSE url END AS rest, array_to_string(list_filter(string_split(immediate_class, ','), lambda w: w <> ''), ';') AS items FROM client6380 WHERE code IS NOT NULL")
+def parts_of_entries(s, d):
+    """Addresses without their prefix, and the items of the stored ranking."""
+    c = table(s, d, "client6380").where("code is not null")
+    return c.select("code", "url", X.strip_prefix(F.col("url"), "http://kb.example/resource/").alias("rest"), F.array_join(X.comma_items(F.col("immediate_class")), ";").alias("items")).distinct()
+
+
+@query("SELECT DISTINCT node, regexp_extract(concat_ws('@', node, upper(trim(side))), '@([A-Z0-9_])$', 1) AS side, least(node, 'n0') || ',' || greatest(node, 'n0') AS key FROM l_wobject_extend WHERE node IS NOT NULL")
+def sides_and_keys(s, d):
+    """The side read back from ``node@side``; the key of two nodes that is the same in either order."""
+    f = table(s, d, "l_wobject_extend").where("node is not null")
+    at = F.concat_ws("@", "node", F.upper(F.trim("side")))
+    return f.select("node", X.side_suffix(at).alias("side"), X.unordered_key(F.col("node"), F.lit("n0")).alias("key")).distinct()
+
+
+@query("SELECT pattern_id, '{' || freq_pattern || '}' AS head FROM pattern_tool WHERE freq_pattern IS NOT NULL GROUP BY 1, 2")
+def key_heads(s, d):
+    """The part of a pattern's key before its size."""
+    t = table(s, d, "pattern_tool").where("freq_pattern is not null").select("pattern_id", F.concat(F.lit("{"), "freq_pattern", F.lit("}:"), F.coalesce(F.col("size").cast("string"), F.lit("{}:")))).distinct()
+    return t.select("pattern_id", X.key_head(F.col(t.columns[1])).alias("head")).distinct()
+
+
+@query("SELECT DISTINCT entity_name, entity_name AS title FROM client6380 WHERE entity_name IS NOT NULL")
+def article_titles(s, d):
+    """Titles read from the language links of pages made from the names of all entries."""
+    c = table(s, d, "client6380").where("entity_name is not null").select("entity_name").distinct()
+    page = F.concat(F.lit('<a class="x" href="https://en.example.org/wiki/'), F.replace(F.url_encode("entity_name"), F.lit("+"), F.lit("_")), F.lit('" hreflang="en">'))
+    return c.select("entity_name", X.wiki_title(page).alias("title"))
+
+
 @query("SELECT 'http://kb.example/page/n' || n_nationkey AS page, unnest(['/region/' || n_regionkey, '/suppliers/' || n_nationkey]) AS href FROM nation")
 def page_links(s, d):
     return html.links(_pages(s, d), "page", "html")
@@ -357,7 +407,7 @@ def sparql_xml_rows(s, d):
     return rows.select(F.split_part("id", F.lit(" "), F.lit(1)).alias("query"), F.split_part("id", F.lit(" "), F.lit(2)).cast("int").alias("k"), "s", "name")
 
 
-@query()
+@query("SELECT 'n' || n_nationkey AS entity, 'http://kb.example/P2' AS p, 1 AS ntype, unnest(['http://dbpedia.org/resource/r' || n_regionkey, n_name]) AS value FROM nation")
 def html_table_extract(s, d):
     n = table(s, d, "nation")
     page = F.concat(F.lit('<table><tr><td><a class="uri" href="http://kb.example/P2">region</a></td><td><ul><li><a class="uri" href="http://dbpedia.org/resource/r'), F.col("n_regionkey").cast("string"), F.lit('">r</a><li><span property="name" xml:lang="en">'), "n_name", F.lit("</span></ul></td></tr></table>"))
@@ -372,7 +422,7 @@ def rdfxml_triples(s, d):
     return rdfxml.parse_rdfxml(n.select(F.concat(F.lit("http://kb.example/n"), k).alias("entity"), xml.alias("x")), "entity", "x")
 
 
-@query()
+@query("SELECT 'Q' || n_nationkey AS entity, unnest(['p:P361/ps:P361', 'p:P361/pq:P580']) AS flat_prop, unnest(['Q9' || n_regionkey, NULL]) AS url, unnest(['region', '2001']) AS value FROM nation")
 def wikidata_page(s, d):
     n = table(s, d, "nation").select(F.concat(F.lit("Q"), F.col("n_nationkey").cast("string")).alias("e"), F.format_string(STATEMENT_PAGE, "n_name", F.col("n_regionkey").cast("string")).alias("h"))
     docs = html.parse_statement_pages(n, "e", "h")

@@ -119,6 +119,28 @@ def inverse_tag(s, d):
     return graph.tag_inverse(document(s, d)).select("entity", "p", "value")
 
 
+_TERMS = f"""terms AS (SELECT DISTINCT p AS url, true AS is_property, ntype FROM doc UNION SELECT value, false, ntype FROM doc), codes AS (SELECT url, 'u' || dense_rank() OVER (ORDER BY url) AS code FROM (SELECT DISTINCT url FROM terms WHERE starts_with(url, 'http'))),
+ok AS (SELECT terms.*, CASE WHEN is_property THEN starts_with(url, 'http') ELSE starts_with(url, '{RESOURCE}') END AND url NOT IN ('{PROPERTY}P2', '{RESOURCE}n0') AS ok FROM terms)"""
+
+
+@query(f"WITH {TRIPLES}, {DOC}, {_TERMS} SELECT url, is_property, ntype, ok, CASE WHEN ok THEN code || CASE WHEN is_property AND ntype > 2 THEN '@' ELSE '' END END AS code FROM ok LEFT JOIN codes USING (url)")
+def predicate_dispatch(s, d):
+    """Properties and entities of the documents: whether they take part, and their codes."""
+    doc = document(s, d)
+    terms = doc.select(F.col("p").alias("url"), F.lit(True).alias("is_property"), "ntype").unionByName(doc.select(F.col("value").alias("url"), F.lit(False).alias("is_property"), "ntype")).distinct()
+    codes = graph.dictionary(terms.where(F.col("url").startswith("http")), "url")
+    return graph.accept(terms, codes, s.createDataFrame([(PROPERTY + "P2",), (RESOURCE + "n0",)], "url string"))
+
+
+@query("""SELECT 'c' || o_custkey AS entity, 'P3@' AS p, (o_orderkey // 512 - first)::bigint AS chunk, array_to_string(list('o' || o_orderkey ORDER BY o_orderkey), ' ') AS list
+    FROM orders JOIN (SELECT o_custkey, min(o_orderkey // 512) AS first FROM orders GROUP BY 1) USING (o_custkey) GROUP BY o_custkey, o_orderkey // 512, first""")
+def append_to_property(s, d):
+    """Orders put at the end of their customers' lists."""
+    new = table(s, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("entity"), F.lit("P3@").alias("p"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("value"), F.col("o_orderkey").alias("seq"))
+    none = s.createDataFrame([], "entity string, p string, chunk long, values array<string>")
+    return graph.append_values(none, new, 512).select("entity", "p", "chunk", F.array_join("values", " ").alias("list"))
+
+
 @query(f"WITH {TRIPLES} SELECT s, p, o FROM triples WHERE p NOT IN ('P4', 'P5')")
 def ignore_anti(s, d):
     return graph.triples(s, d).join(F.broadcast(s.createDataFrame([("P4",), ("P5",)], "p string")), "p", "left_anti").select("s", "p", "o")
@@ -204,6 +226,36 @@ def capped_paths(s, d):
     return p.where("depth > 0").select(paths.text(F.col("path")).alias("path"), F.col("depth").alias("len"))
 
 
+#: nodes of the graph that may be entered, and that have a class: by their number
+GATES = """gate AS (SELECT DISTINCT x AS node, regexp_extract(x, '[0-9]+')::bigint AS k FROM (SELECT s AS x FROM triples UNION SELECT o FROM triples)),
+domain AS (SELECT node FROM gate WHERE k % 3 <> 1 OR node IN ('c0', 's1')), classed AS (SELECT node FROM gate WHERE k % 5 <> 2)"""
+
+
+def _gates(s, d) -> tuple[DataFrame, DataFrame]:
+    nodes = graph.edges(s, d).select(F.explode(F.array("s", "o")).alias("node")).distinct()
+    k = F.regexp_extract("node", "[0-9]+", 0).cast("long")
+    return nodes.where((k % 3 != 1) | F.col("node").isin("c0", "s1")), nodes.where(k % 5 != 2)
+
+
+@query(_FLAG + f", {GATES} SELECT path, len FROM paths, (SELECT list(node) AS ok FROM domain) WHERE len(list_filter(nodes[2 :], lambda x: NOT list_contains(ok, x))) = 0")
+def domain_paths(s, d):
+    """Paths that enter only nodes of the domain."""
+    return _text(search.find_paths(search.pairs_of(s, FLAG), _E(s, d), SearchConfig(length=4, max_links=None), domain=_gates(s, d)[0]))
+
+
+@query(_FLAG + f", {GATES} SELECT path, len FROM paths, (SELECT list(node) AS ok FROM classed) WHERE len(list_filter(nodes, lambda x: NOT list_contains(ok, x))) = 0")
+def classed_paths(s, d):
+    """Paths all of whose nodes have a class."""
+    return _text(search.find_paths(search.pairs_of(s, FLAG), _E(s, d), SearchConfig(length=4, max_links=None), classed=_gates(s, d)[1]))
+
+
+@query(f"""WITH {ADJ}, {walk('l', 'c0', 2, 's1')}, {walk('r', 's1', 2, 'c0')}, m0 AS (SELECT node FROM l WHERE len < 1 INTERSECT SELECT node FROM r WHERE len < 1), m1 AS (SELECT node FROM l WHERE len < 2 INTERSECT SELECT node FROM r WHERE len < 2),
+    m2 AS (SELECT node FROM l INTERSECT SELECT node FROM r) SELECT node, 1 AS round FROM m1 WHERE node NOT IN (SELECT node FROM m0) UNION ALL SELECT node, 2 FROM m2 WHERE node NOT IN (SELECT node FROM m1)""")
+def last_round(s, d):
+    """Meet nodes of the last level, and those of the extra round after it."""
+    return search.last_round(search.pairs_of(s, FLAG), _E(s, d), SearchConfig(length=2, max_links=None)).select("node", "round")
+
+
 # Views of paths -----------------------------------------------------------------------------------------------------
 
 
@@ -357,6 +409,17 @@ def patterns_ranked(s, d):
     return patterns.ranked(patterns.frequency(_mined(s, d)), TOP).select("pattern", "instances", "rank")
 
 
+_TOOL = """tool AS (SELECT array_to_string(regexp_extract_all(upper(freq_pattern), '[A-Z]+[0-9]+@*'), ' ') AS pattern, coalesce(max(instances), 0) AS instances FROM pattern_tool WHERE freq_pattern IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"WITH {_TOOL}, r AS (SELECT *, row_number() OVER (ORDER BY instances DESC, pattern) AS rank, count(*) OVER () AS n FROM tool WHERE pattern <> '') SELECT pattern, instances, rank, (rank - 1) // greatest(1, (n + 1) * 10 // 100) + 1 AS page FROM r")
+def pattern_pages(s, d):
+    """All stored patterns by frequency, in pages of a tenth of the list."""
+    t = table(s, d, "pattern_tool").where("freq_pattern is not null").select(F.array_join(patterns.tokens(F.upper("freq_pattern")), " ").alias("pattern"), "instances").where("pattern <> ''")
+    freq = t.groupBy("pattern").agg(F.coalesce(F.max("instances"), F.lit(0)).alias("instances")).withColumn("size", F.size(F.split("pattern", " ")))
+    return patterns.pages(freq).select("pattern", "instances", "rank", "page")
+
+
 @query(_MINED + PATTERNS + " SELECT pattern, pos, n FROM bcount")
 def pattern_bindings(s, d):
     return patterns.binding_counts(_mined(s, d))
@@ -404,6 +467,17 @@ def complex_bindings(s, d):
     return patterns.complex_bindings(_mined(s, d))
 
 
+@query(_MINED + ARROWS + """, mp AS (SELECT pair_id, string_agg(DISTINCT pat, ' | ' ORDER BY pat) AS merged FROM (SELECT pair_id, path, string_agg(p, ' ' ORDER BY pos) AS pat FROM arrows GROUP BY 1, 2) GROUP BY 1),
+    stored AS (SELECT merged, 1 AS pos, 'x' || k AS node FROM mp, range(0, 7) t(k) WHERE pair_id = 'c0-s1' UNION ALL SELECT merged, 2, 'y' FROM mp WHERE pair_id = 'c0-s1')
+    SELECT pair_id, pos, count(DISTINCT node) AS n FROM (SELECT pair_id, pos, o AS node FROM arrows JOIN mp USING (pair_id) WHERE pos < len AND merged NOT IN (SELECT merged FROM stored) UNION ALL SELECT pair_id, pos, node FROM mp JOIN stored USING (merged)) GROUP BY 1, 2""")
+def complex_stored(s, d):
+    """Bindings of merged patterns where one of them has been measured before."""
+    mined = _mined(s, d)
+    known = patterns.merged_pattern(mined).where("pair_id = 'c0-s1'").select("merged")
+    at = F.explode(F.array(*[F.struct(F.lit(1).alias("pos"), F.lit(f"x{k}").alias("node")) for k in range(7)], F.struct(F.lit(2).alias("pos"), F.lit("y").alias("node"))))
+    return patterns.complex_bindings(mined, known.select("merged", at.alias("e")).select("merged", "e.pos", "e.node"))
+
+
 @query(_MINED + PATTERNS + " SELECT DISTINCT pattern, nodes[1] AS start, nodes[-1] AS \"end\" FROM pats JOIN paths USING (pair_id, path)")
 def pattern_pairs_of_entities(s, d):
     return patterns.entity_pairs(_mined(s, d))
