@@ -12,6 +12,8 @@ from . import leaks, ledger, mixture, pii, stripes, subsequences
 
 MIN_SHARE, MIN_COUNT = 0.02, 5
 RUN = 12
+#: Levels of significance of the pairs found and of the pairs reported.
+FOUND_LEVEL, PAIRS_LEVEL = 0.05, 0.001
 
 
 def _sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -41,14 +43,19 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that are frequent, three times as frequent as by chance, and significantly so.
+
+    The conditions on counts make G2 at least 2 (n_ab ln 3 - 2/3 n_ab) >= 4.3, so the test at ``FOUND_LEVEL`` (3.84) holds
+    for each of them; ``p5_pairs`` tests pairs of any lift, where it decides.
+    """
     frequent = (F.col("n_ab") >= 5) & (F.col("n_ab") * 500 >= F.col("n")) & (F.col("n_ab") * F.col("n") >= 3 * F.col("n_a") * F.col("n_b"))
-    return _pairs(spark, d).where(frequent & (stripes.log_likelihood() > 0)).select(F.col("a").alias("prop_a"), F.col("b").alias("prop_b"))
+    return _pairs(spark, d).where(frequent & stripes.significant(FOUND_LEVEL)).select(F.col("a").alias("prop_a"), F.col("b").alias("prop_b"))
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs that stand together in five records and significantly (G2 at 0.001) more often than by chance."""
+    """Pairs that stand together in five records and significantly (at ``PAIRS_LEVEL``) more often than by chance."""
     g = F.round(stripes.log_likelihood(), 3)
-    return _pairs(spark, d).where("n_ab >= 5").select(F.col("a").alias("prop_a"), F.col("b").alias("prop_b"), "n_ab", "n_a", "n_b", F.round(stripes.lift(), 4).alias("lift"), g.alias("llr")).where("llr > 10.828")
+    return _pairs(spark, d).where((F.col("n_ab") >= 5) & stripes.significant(PAIRS_LEVEL)).select(F.col("a").alias("prop_a"), F.col("b").alias("prop_b"), "n_ab", "n_a", "n_b", F.round(stripes.lift(), 4).alias("lift"), g.alias("llr"))
 
 
 def _objects(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +150,7 @@ SQL = {
     "p5_found": "WITH " + _PAIRS + " SELECT prop_a, prop_b FROM w WHERE n_ab >= 5 AND n_ab * 500 >= n AND n_ab * n >= 3 * n_a * n_b",
     "p5_pairs": "WITH " + _PAIRS + """, g AS (SELECT *, 2 * (k11 * ln(k11 * n / (n_a * n_b::double)) + CASE WHEN k12 > 0 THEN k12 * ln(k12 * n / (n_a * (n - n_b)::double)) ELSE 0 END
           + CASE WHEN k21 > 0 THEN k21 * ln(k21 * n / ((n - n_a) * n_b::double)) ELSE 0 END + CASE WHEN k22 > 0 THEN k22 * ln(k22 * n / ((n - n_a) * (n - n_b)::double)) ELSE 0 END) AS g2 FROM w)
-        SELECT prop_a, prop_b, n_ab, n_a, n_b, round(n_ab * n / (n_a * n_b)::double, 4) AS lift, round(g2, 3) AS llr FROM g WHERE n_ab >= 5 AND n_ab * n >= n_a * n_b AND round(g2, 3) > 10.828""",
+        SELECT prop_a, prop_b, n_ab, n_a, n_b, round(n_ab * n / (n_a * n_b)::double, 4) AS lift, round(g2, 3) AS llr FROM g WHERE n_ab >= 5 AND n_ab * n >= n_a * n_b AND g2 > 10.827566170662733""",
     "p6_found": f"SELECT origin, row_id FROM (SELECT *, min(row_id) OVER (PARTITION BY origin, sequence, k) AS f FROM ({_KEYS}) WHERE k IS NOT NULL) WHERE row_id > f",
     "p6_report": f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY origin, sequence, k ORDER BY row_id) AS nth FROM ({_KEYS})),
         f AS (SELECT origin, sequence, k, min(row_id) AS first_id FROM k WHERE k IS NOT NULL GROUP BY 1, 2, 3),
