@@ -78,7 +78,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), run=RUN).select("doc_id", "item_id").distinct()
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "benchmark"), run=RUN)
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +87,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_items"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("items"), F.max("n_words").alias("longest_run"))
 
 
+def p7_too_short(spark: SparkSession, d: str) -> DataFrame:
+    """Items of fewer words than a run, which cannot be found."""
+    return leaks.too_short(table(spark, d, "benchmark"), run=RUN)
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
 
@@ -103,7 +108,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"), table(spark, d, "members"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p1_closed, p5_found, p5_pairs, p6_found, p6_report, p7_found, p7_report, p8_mixture, p8_report, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p1_closed, p5_found, p5_pairs, p6_found, p6_report, p7_found, p7_report, p7_too_short, p8_mixture, p8_report, p9_found, p9_redacted)}
 
 _CLEAN = "upper(trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)))"
 _SEQS = f"""
@@ -161,5 +166,6 @@ SQL = {
         hit AS (SELECT DISTINCT doc_id, item_id, k FROM dr JOIN ir USING (r)), isl AS (SELECT doc_id, item_id, k - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k) AS g FROM hit),
         run AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM isl GROUP BY doc_id, item_id, g)
         SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items, max(n) AS longest_run FROM run GROUP BY 1""",
+    "p7_too_short": f"SELECT DISTINCT item_id, len({_WORDS})::int AS n_words FROM benchmark WHERE len({_WORDS}) < 12",
     "p7_found": "WITH " + _RUNS + " SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r)",
 }

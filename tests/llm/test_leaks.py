@@ -21,10 +21,18 @@ def test_against_all_runs():
         w = doc.split()
         grams = {tuple(w[k : k + run]) for k in range(len(w) - run + 1)}
         want = {i for i, t in items if any(tuple(t.split()[k : k + run]) in grams for k in range(len(t.split()) - run + 1))}
-        found = leaks.WuManber(items, run).search(doc)
-        assert set(found) == want
-        for ends in found.values():
-            assert ends == sorted(set(ends))
+        slots, groups, own = {}, {}, {}
+        for i, t in items:
+            for b, s in leaks.shifts(t.split(), run).items():
+                slots[b] = min(s, slots.get(b, run))
+            for x in leaks.strings(t.split(), run):
+                own.setdefault(x, set()).add(i)
+                h = leaks.bit(x, 1 << 16)
+                groups[h >> 5] = groups.get(h >> 5, 0) | 1 << (h & 31)
+        found = list(leaks.WuManber(list(slots.items()), list(groups.items()), 1 << 16, run).windows(doc))
+        assert {i for _, x in found for i in own.get(x, ())} == want
+        ends = [at for at, x in found if x in own]
+        assert ends == [k + run for k in range(len(w) - run + 1) if " ".join(w[k : k + run]) in own]
 
 
 def test_frames(spark):
@@ -34,8 +42,23 @@ def test_frames(spark):
     )
     items = spark.createDataFrame([(9, ITEM), (9, ITEM), (8, ITEM + " end"), (7, "too short"), (6, None)], "item_id long, text string")
     want = {(1, 9), (1, 8), (5, 9), (5, 8), (6, 9), (6, 8)}
-    for size in (1 << 20, 40):
-        got = leaks.find_leaks(docs, items, block_bytes=size)
-        assert {(r.doc_id, r.item_id) for r in got.collect()} == want and got.count() == len(want)
+    got = leaks.find_leaks(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and got.count() == len(want)
+    assert {tuple(r) for r in leaks.leaked(docs, items).collect()} == want
+    assert {tuple(r) for r in leaks.too_short(items).collect()} == {(7, 2), (6, 0)}
     assert {r.n_words for r in leaks.find_leaks(docs, items).where("doc_id = 1").collect()} == {14}
     assert leaks.find_leaks(docs.where("false"), items).count() == 0 and leaks.find_leaks(docs, items.where("false")).count() == 0
+
+
+def test_one_scan_of_the_corpus_for_many_items(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "MOST_BITS", 1 << 16)  # as if there were far more items than bits
+    r = random.Random(8)
+    voc = [f"w{k}" for k in range(60)]
+    texts = [" ".join(r.choice(voc) for _ in range(40)) for _ in range(3000)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(k, "so " + " ".join(texts[k * 7].split()[5:18]) + " and " + texts[k * 7 + 1]) for k in range(30)], "doc_id long, text string")
+    want = {(k, i) for k in range(30) for i in (k * 7, k * 7 + 1)}
+    out = leaks.find_leaks(docs, items)
+    assert {(x.doc_id, x.item_id) for x in out.collect()} == want and {x.n_words for x in out.collect()} == {13, 40}
+    plan = leaks.leaked(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas scan") == 1
