@@ -59,10 +59,50 @@ def test_mix(spark):
         assert abs(got - want) < 0.01 and abs(by[s].reached_share - got) < 1e-9
         assert max(uses[x.doc_id] for x in rows if x.source == s) <= by[s].max_repeat and by[s].max_lag_blocks < 1
     assert by["none"].reached_share == 0 and by["none"].n_docs == 0
+    # the measured distance in tokens, by going through the mixture
+    order = sorted(rows, key=lambda x: (x.slot, x.block_start))
+    end = min(max(x.slot for x in rows if x.source == s) for s in ("big_one", "small"))
+    for s, w in (("big_one", 0.2 / 0.9), ("small", 0.7 / 0.9)):
+        own = every = worst = 0
+        for slot in sorted({x.slot for x in order if x.slot <= end}):
+            mine = [x for x in order if x.slot == slot]
+            assert len({x.source for x in mine}) == 1
+            every += sum(x.n_tokens for x in mine)
+            own += sum(x.n_tokens for x in mine if x.source == s)
+            worst = max(worst, abs(own - w * every))
+        assert abs(by[s].max_lag_tokens - worst) <= 0.1 and worst <= m.BLOCK + 2 * 60
     assert len({(x.doc_id, x.use_no) for x in rows}) == len(rows)
     assert m.mix(df.where("false"), target)[0].count() == 0
 
 
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(m, "BUCKET_ROWS", 7)
+    df = spark.createDataFrame([(k * 3, "ab"[k % 3 == 0], k % 5) for k in range(100)], "slot long, source string, m long")
+    for by in ([], ["source"]):
+        got = {r.slot: r.s for r in m.running(df, by, "slot", "m", "s").collect()}
+        sums: dict = {}
+        for r in sorted(df.collect()):
+            key = r.source if by else ""
+            sums[key] = sums.get(key, 0) + r.m
+            assert got[r.slot] == sums[key]
+
+
+def test_the_schedule_repeats_and_capped_sources_run_out(spark):
+    docs = spark.createDataFrame([(i, s, "word " * 50) for i, s in enumerate(["a"] * 2000 + ["b"] * 40 + ["c"] * 800)], "doc_id long, source string, text string")
+    target = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 2), ("c", 0.25, 2)], "source string, target_share double, max_repeat int")
+    mix, report = m.mix(docs, target, total=100_000)
+    by = {r.source: r for r in report.collect()}
+    assert by["b"].most_uses == 2 and by["b"].n_uses == 80 and by["a"].tokens_used > 45_000 and by["c"].tokens_used > 22_000
+    slots = {}
+    for r in mix.collect():
+        slots.setdefault(r.slot, set()).add(r.source)
+    assert all(len(x) == 1 for x in slots.values())
+    for s, w in (("a", 0.5), ("c", 0.25)):
+        mine = sorted(k for k, x in slots.items() if s in x)
+        for n, k in enumerate(mine, 1):
+            assert abs(n - w * (k + 1)) < 1 and abs(n - 1 - w * k) < 1
+
+
 def test_token_counts(spark):
     enc = m.encoder()
     text = "Die Aussprache ist geschlossen – l'été, 12.5 % <|endoftext|>"
