@@ -29,7 +29,6 @@ from .tagger import Tagger
 KINDS = ["email", "phone", "id_number", "address", "name"]
 #: Documents of the labelled sample, training steps, windows of a step and their length, hidden units: bounds of training.
 SAMPLE_ROWS, STEPS, BATCH, WINDOW, HIDDEN = 8000, 2400, 64, 128, 48
-SECTION = 500_000
 
 # Titles that stand before a name and are no part of it, and particles within family names.
 TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Mme|Mlle|Messrs|Frau|Herrn?|Madame|Monsieur|Sir|Lady|Lord|Dame)\b\.?"
@@ -49,7 +48,7 @@ EMAIL = re.compile(
     r"|[\w.+%-]*\w\s(?:at|AT)\s[\w-]+(?:\s(?:dot|DOT)\s[A-Za-z][\w-]*)+"
 )
 PHONE = re.compile(r"(?<![\w@])(?:\+|\()?\d[\d ().\-/–  ]{5,24}\d(?:,?\s?(?:ext|x|extension|poste|App|Durchwahl|DW|Nst)\.?\s?\d{1,5}(?!\w))?(?![\d])")
-IDNUM = re.compile(r"(?<![\w])(?:[A-Z]{1,3}[ -]?)?\d[\d. /-]{3,20}\d(?:[ -]?[A-Z](?![\w]))?(?![\w])")
+IDNUM = re.compile(r"(?<![\w])(?:[A-Z]{1,3}[ -]?)?\d[\d. /-]{3,20}\d(?:[ -]?[A-Z](?:[ -]?\d{1,4})?(?![\w]))?(?![\w])")
 STREET_DE = rf"(?:(?:Alte[rsnm]?|Neue[rsnm]?|Ober[en]+|Unter[en]+|Große[rn]?|Kleine[rn]?|Lange[rn]?|Hohe[rn]?|Am|An der|Auf der|Auf dem|Zur|Zum|Im|Hinter der|Unter den)\s+){{0,2}}[{UP}][\w-]*(?:straße|strasse|str\.|weg|platz|ufer|gasse|allee|ring|damm|hof|markt|steig|pfad|wall|graben|kai|chaussee|berg|feld|brücke|promenade)\s\d+(?:\s?[A-Za-z](?!\w))?"
 ADDRESS = re.compile(
     rf"(?:(?:P\.?\s?O\.?\s?Box|Post Office Box|Postfach|[Bb]o[iî]te postale|B\.?P\.?)\s*(?:n[o°]\s?)?\d+"
@@ -365,17 +364,6 @@ def snap(text: str, a: int, b: int, kind: str, lang: str, given: frozenset[str]
     return a, b
 
 
-def sections(text: str) -> list[tuple[int, str]]:
-    """Parts of at most about ``SECTION`` characters, cut at white space. ``detect`` takes texts whole: a cut may split a mention."""
-    out, at = [], 0
-    while len(text) - at > SECTION:
-        cut = max(text.rfind("\n", at + 1, at + SECTION), text.rfind(" ", at + SECTION - 2000, at + SECTION), at)
-        cut = at + SECTION if cut <= at else cut + 1
-        out.append((at, text[at:cut]))
-        at = cut
-    return [*out, (at, text[at:])]
-
-
 def _sentences(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
     """The spans; a name that runs over the end of a sentence is two."""
     for a, b, kind in spans:
@@ -442,15 +430,17 @@ def _by_group(docs: DataFrame, members: DataFrame, doc_id: str, text: str, tagge
     sc = docs.sparkSession.sparkContext
     model = sc.broadcast((tagger or pretrained(), _known(members, "given_name"), _known(members, "constituency")))
     src = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    src = src.repartition(_tasks(src), "d")  # tagging costs far more than moving the texts; file splits would be too few or too long
+    src = src.repartition(_tasks(src))  # in turn, whatever ids and texts are; tagging costs far more than moving the texts, and file splits would be too few or too long
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tag, given, places = model.value
         for f in frames:
-            for k in range(0, len(f), 500):
-                d = f["d"].iloc[k : k + 500].tolist()
-                t = [x if isinstance(x, str) else None for x in f["t"].iloc[k : k + 500]]
-                yield make(d, t, detect(tag, t, given, places))
+            for k in range(0, len(f), 2000):
+                d = f["d"].iloc[k : k + 2000].tolist()
+                t = [x if isinstance(x, str) else None for x in f["t"].iloc[k : k + 2000]]
+                each = list(dict.fromkeys(t))  # copies of a text are tagged once
+                found = dict(zip(each, detect(tag, each, given, places)))
+                yield make(d, t, [found[x] for x in t])
 
     return src.mapInPandas(run, f"`{doc_id}` {src.schema['d'].dataType.simpleString()}, {schema}")
 

@@ -10,8 +10,12 @@ from the window's edge, and one Viterbi path is decoded over the whole text.
 
 from __future__ import annotations
 
+import ctypes
+import glob
 import io
 import json
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 
@@ -20,6 +24,18 @@ NEG = -1e4
 CLASSES = 6
 
 
+@cache
+def one_thread() -> None:
+    """Keeps numpy's matrix products in this process to one thread: the products of a step are small, and threads that wait for
+    one another take several times the processor time. Does nothing where numpy has another library."""
+    for path in glob.glob(str(Path(np.__file__).parent.parent / "numpy.libs" / "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break
+
+
 def char_class(c: str) -> int:
     return 1 if c.isdigit() else 2 if c.isupper() else 3 if c.isalpha() else 4 if c.isspace() else 5
 
@@ -83,32 +99,34 @@ class Tagger:
         lens = (sym != 0).sum(1)
         padded = length - lens.min()
         h = self.hidden
-        x = self.p["x"].copy()
-        u = self.p["u"].copy()
-        x[..., : 3 * h] *= 0.5  # sigmoid(z) = (1 + tanh(z / 2)) / 2: one tanh for all gates
-        u[..., : 3 * h] *= 0.5
+        # Gates lie one after another, so that each is a whole block of memory. sigmoid(z) = (1 + tanh(z / 2)) / 2: one tanh
+        # for all; the halves of the gates are taken at the cell and, for the output gate, in the weights behind it.
+        x = np.ascontiguousarray(self.p["x"].reshape(2, -1, 4, h).transpose(0, 2, 1, 3))
+        u = np.ascontiguousarray(self.p["u"].reshape(2, h, 4, h).transpose(2, 0, 1, 3)) * np.float32(0.5)
+        x[:, :3] *= 0.5
+        u[:3] *= 0.5
         hs = np.empty((length, 2, n, h), np.float32)
         state, cell = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
-        z = np.empty((2, n, 4 * h), np.float32)
-        tmp = np.empty((2, n, h), np.float32)
-        st = np.ascontiguousarray(sym.T)
+        z = np.empty((4, 2, n, h), np.float32)
+        own, tmp = np.empty((4, n, h), np.float32), np.empty((2, n, h), np.float32)
+        st = np.ascontiguousarray(sym.T).astype(np.intp)
         for t in range(length):
-            np.matmul(state, u, out=z)
-            z[0] += x[0][st[t]]
-            z[1] += x[1][st[length - 1 - t]]
+            np.matmul(state[None], u, out=z)
+            for d, at in ((0, t), (1, length - 1 - t)):
+                np.take(x[d], st[at], axis=1, out=own, mode="clip")
+                np.add(z[:, d], own, out=z[:, d])
             np.tanh(z, out=z)
-            g = z[..., : 3 * h]
-            g += 1.0
-            g *= 0.5
-            cell *= z[..., h : 2 * h]
-            np.multiply(z[..., :h], z[..., 3 * h :], out=tmp)
-            cell += tmp
+            np.add(z[:3], 1.0, out=z[:3])
+            np.multiply(cell, z[1], out=cell)
+            np.multiply(z[0], z[3], out=tmp)
+            np.add(cell, tmp, out=cell)
+            np.multiply(cell, 0.5, out=cell)
             np.tanh(cell, out=tmp)
             state = hs[t]
-            np.multiply(tmp, z[..., 2 * h : 3 * h], out=state)
+            np.multiply(tmp, z[2], out=state)
             if t < padded:  # backwards, a row begins at its own end
                 state[1, lens < length - t] = cell[1, lens < length - t] = 0
-        wo = self.p["wo"]
+        wo = self.p["wo"] * np.float32(0.5)
         return (hs[:, 0] @ wo[:h] + hs[::-1, 1] @ wo[h:] + self.p["bo"]).transpose(1, 0, 2)
 
     # training -------------------------------------------------------------------------------------------------------
@@ -209,37 +227,42 @@ class Tagger:
     # decoding -------------------------------------------------------------------------------------------------------
 
     def viterbi(self, es: list[np.ndarray]) -> list[np.ndarray]:
-        """Best tags of texts given their emissions (length, tags), longest first."""
+        """Best tags of texts given their emissions (length, tags), longest first.
+
+        Going forward only the best scores are kept; going back the best step is found again for the one tag chosen.
+        """
         tr = self.p["t"] + self.mask
         start = self.p["s"].copy()
         start[2::2] = NEG  # a whole text does not begin inside a span
         n, k, length = len(es), self.k, len(es[0])
         lens = np.array([len(e) for e in es])
-        e = np.zeros((length, n, k), np.float32)
+        score = np.zeros((length, k, n), np.float32)  # emissions at first, then scores
         for j, x in enumerate(es):
-            e[: len(x), j] = x
-        back = np.zeros((length, n, k), np.int8)
-        score = start + e[0]
-        trt = np.ascontiguousarray(tr.T)
+            score[: len(x), :, j] = x
+        score[0] += start[:, None]
+        step = tr[:, :, None]
+        s = np.empty((k, k, n), np.float32)
+        best = np.empty((k, n), np.float32)
         active = np.searchsorted(-lens, -np.arange(length), side="left")  # texts longer than t
         for t in range(1, length):
             a = active[t]
-            s = score[:a, None, :] + trt
-            b = s.argmax(2)
-            back[t, :a] = b
-            score[:a] = np.take_along_axis(s, b[..., None], 2)[..., 0] + e[t, :a]
+            np.add(score[t - 1, :, None, :a], step, out=s[..., :a])
+            s[..., :a].max(0, out=best[:, :a])
+            score[t, :, :a] += best[:, :a]
         out = np.zeros((length, n), np.int8)
-        cur = score.argmax(1)
         rows = np.arange(n)
+        cur = score[lens - 1, :, rows].argmax(1)
+        into = np.ascontiguousarray(tr.T)
         for t in range(length - 1, -1, -1):
             a = active[t]
             out[t, :a] = cur[:a]
             if t:
-                cur[:a] = back[t, rows[:a], cur[:a]]
+                cur[:a] = (score[t - 1, :, :a] + into[cur[:a]].T).argmax(0)
         return [out[:m, j] for j, m in enumerate(lens)]
 
-    def tag(self, texts: list[str], window: int = 256, overlap: int = 48, batch: int = 384, group: int = 400_000, long: int = 20_000) -> list[np.ndarray]:
+    def tag(self, texts: list[str], window: int = 512, overlap: int = 48, batch: int = 128, group: int = 400_000, long: int = 20_000) -> list[np.ndarray]:
         """Tags of whole texts of any length; those of more than ``long`` characters one by one."""
+        one_thread()
         out: list = [None] * len(texts)
         order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
         part: list[int] = []

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from pathweave.llm import pii
@@ -118,9 +119,8 @@ def test_training_learns_held_out_spans():
 
 def test_very_long_text():
     text = "The vote was 10 to 4. " * 40_000 + "I thank Mrs Quiverholt for that remark."
-    parts = pii.sections(text)
-    assert len(parts) > 1 and "".join(s for _, s in parts) == text and all(text[a : a + len(s)] == s for a, s in parts)
-    assert pii.sections("") == [(0, "")]
+    spans = pii.detect(pii.pretrained(), [text, "", None])
+    assert [text[a:b] for a, b, _ in spans[0]] == ["Quiverholt"] and spans[1:] == [[], []]
 
 
 def test_frames(spark):
@@ -163,8 +163,7 @@ def test_language_is_that_of_the_whole_text():
 
 
 @pytest.mark.parametrize("mention,kind,want,cut", [("I thank Mrs Marit Quiverholt for that remark.", "name", "Marit Quiverholt", 18), ("The house at 12 Copper Row, 4410 Quillmoor has been empty.", "address", "12 Copper Row, 4410 Quillmoor", 28), ("Call +999 21 555 08 13, if you doubt me.", "phone", "+999 21 555 08 13", 13)])
-def test_mention_at_any_place_of_a_long_text(monkeypatch, mention, kind, want, cut):
-    monkeypatch.setattr(pii, "SECTION", 25_000)
+def test_mention_at_any_place_of_a_long_text(mention, kind, want, cut):
     filler = "The vote was 10 to 4. " * 1300
     text = filler[:22] * ((25_000 - cut) // 22)
     text += " " * (25_000 - cut - len(text)) + mention + " " + filler
@@ -195,3 +194,29 @@ def test_neighbours_in_a_batch_do_not_matter():
 def test_every_name_of_a_large_roster_is_known(spark):
     roster = spark.range(100_500).selectExpr("concat(' N', id) AS given_name")
     assert pii._known(roster, "given_name") == {f"N{k}" for k in range(100_500)}
+
+
+def planted(texts, roster, seed):
+    """Texts in which every labelled span has been replaced by another of its kind, and where these then stand."""
+    given, family, fake, out = frozenset(g for g, _ in roster if g), frozenset(f.lower() for _, f in roster if f), pii.Faker(seed), []
+    for t in texts:
+        lang, new, spans, at = pii.language(t), "", [], 0
+        for a, b, kind in pii.label_spans(t, given, family, lang):
+            x = fake.name(lang, t[a:b]) if kind == "name" else getattr(fake, kind)(lang)
+            new += t[at:a]
+            spans.append((len(new), len(new) + len(x), kind))
+            new, at = new + x, b
+        out.append((new + t[at:], spans))
+    return out
+
+
+def test_recall_of_planted_spans_by_kind():
+    docs = [x for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if x]
+    roster = [(m["given_name"], m["family_name"]) for m in pq.read_table("/root/testdata/sf0.01/members.parquet").to_pylist()]
+    cases = planted(docs, roster, 77)
+    found = pii.detect(pii.pretrained(), [t for t, _ in cases])
+    for kind in pii.KINDS:
+        want = [{s for s in spans if s[2] == kind} for _, spans in cases]
+        got = [{s for s in spans if s[2] == kind} for spans in found]
+        hit, n, m = (sum(map(len, x)) for x in ([a & b for a, b in zip(want, got)], want, got))
+        assert n >= 40 and hit >= 0.95 * n and hit >= 0.95 * m, (kind, n, m, hit)
