@@ -1,15 +1,16 @@
-"""CSV records with faults: bulk columnar parse of blocks, bisection of blocks that fail, strict diagnosis of the rest.
+"""CSV records with faults: bulk columnar parse of blocks, bisection of blocks that fail, strict diagnosis of bad records.
 
-A block of records with the same header goes through the columnar CSV reader at once, and the domains are tested on
-whole columns. If anything in the block is not plainly right, the block is halved and each half is tried again; blocks
-of at most ``leaf`` records that fail are diagnosed record by record by a strict grammar. The size of the next block
-follows the faults met: it doubles after a block that passed whole and halves after one that did not, so clean data go
-in large blocks and dirty data waste no attempts. The fast path only accepts blocks of which every record is certainly
-valid (see ``_bulk``), so the result does not depend on any of these sizes.
+The records of a batch with the same header are tried as one block, against one expression for a record of that header
+(its form, and the domains of its fields). A block that fails is halved and each half is tried again, down to single
+records, so what is left are the bad records, which a strict grammar diagnoses one by one; all others go through the
+columnar CSV reader at once. Days are tried as a whole column, too, and halved where they fail. A block is tried with its
+records joined by a character that no record of it holds, so no fault can hide in its neighbour, and the result does not
+depend on the sizes of blocks.
 
 Grammar and reasons: one line end (CR LF, LF or CR) at the end of a record is ignored. Reasons, the first that applies:
 ``quoting`` (the record cannot be split), ``column_count`` (null or blank text, null header, or another number of
-fields than the header names), ``invalid_value`` (a field is outside the domain of its variable). Good records have
+fields than the header names), ``invalid_value`` (a field is outside the domain of its variable). A text of blanks can be
+split; one that still holds a line end when its own is taken off cannot, even if it is blank besides. Good records have
 reason null and their fields as a map. An empty table gives an empty result; other columns are carried along.
 """
 
@@ -19,7 +20,9 @@ import datetime
 import io
 import re
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -36,10 +39,8 @@ DOMAINS = {
     "d": "date",
 }
 DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-# The same for RE2, whose \s is ASCII only.
-RE2 = {k: v.replace(r"[^\s<>", r"[^\s\x{85}\x{A0}\p{Z}\x{1C}-\x{1F}\x{0B}<>").replace("$", r"\z").replace("^", r"\A", 1) for k, v in DOMAINS.items()}
-#: A double quote that is at neither end of a field.
-INNER = re.compile(r'[^,\n]"[^,\n]')
+#: Stands between the records of a block; texts that hold it are diagnosed one by one.
+BETWEEN = "\0"
 FIELD = re.compile(r'"((?:[^"]|"")*)"|([^",\r\n]*)')
 
 
@@ -78,94 +79,108 @@ def valid(variable: str, value: str, domains: dict[str, str] = DOMAINS) -> bool:
 
 def diagnose(header: str | None, text: str | None, domains: dict[str, str] = DOMAINS) -> tuple[str | None, list[str] | None]:
     """(reason or None, fields or None) by the strict grammar."""
-    if text is None or header is None or not text.strip():
+    if text is None or header is None:
         return "column_count", None
     fields = split_record(strip_end(text))
     if fields is None:
         return "quoting", None
     names = [h.strip() for h in header.split(",")]
-    if len(fields) != len(names):
+    if len(fields) != len(names) or not text.strip():
         return "column_count", None
     if not all(valid(h, v, domains) for h, v in zip(names, fields)):
         return "invalid_value", None
     return None, fields
 
 
-def _bulk(names: list[str], texts: list[str], domains: dict[str, str]) -> list[list[str]] | None:
-    """Columns of the block if every record is certainly valid, else None.
+@cache
+def block_form(names: tuple[str, ...], domains: tuple[tuple[str, str], ...]) -> re.Pattern:
+    """Of a block of records, each of which is not blank and has the fields named, all in their domains but for the calendar."""
+    rules = dict(domains)
 
-    Certain means: no record holds an inner line end, the reader finds as many records as there are and all of the
-    right width, and no value holds a double quote or a comma. Then every comma in the text is a separator, and quotes
-    stand only in pairs around whole fields, which the count of quotes against the values' lengths confirms.
-    """
-    lines = [strip_end(t) for t in texts]
-    blob = "\n".join(lines)
-    if "\r" in blob or blob.count("\n") != len(lines) - 1 or INNER.search(blob) or not all(map(str.strip, lines)):
-        return None
-    try:
-        t = pacsv.read_csv(
-            io.BytesIO(blob.encode()),
-            read_options=pacsv.ReadOptions(column_names=[str(i) for i in range(len(names))], use_threads=False, block_size=max(len(blob) * 4 + 64, 1024)),
-            parse_options=pacsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
-            convert_options=pacsv.ConvertOptions(column_types={str(i): pa.string() for i in range(len(names))}, strings_can_be_null=False, quoted_strings_can_be_null=False),
-        )
-    except (pa.ArrowInvalid, UnicodeEncodeError):
-        return None
-    if t.num_rows != len(lines):
-        return None
-    quotes = blob.count('"')
-    size = 0
-    for c in t.columns:
-        if pc.any(pc.match_substring_regex(c, '[",\n\r]')).as_py():
-            return None
-        size += pc.sum(pc.utf8_length(c)).as_py() or 0
-    if quotes % 2 or size + quotes + len(lines) * len(names) - 1 != len(blob):
-        return None
-    for name, c in zip(names, t.columns):
-        rule = domains.get(name)
+    def one(name: str) -> str:
+        rule = rules.get(name)
+        if rule is None:
+            return f'(?>"(?:[^"{BETWEEN}]|"")*+"|[^",\\r\\n{BETWEEN}]*+)'
         if rule == "date":
-            if not pc.all(pc.match_substring_regex(c, DAY.replace("$", r"\z"))).as_py():
-                return None
-            try:
-                pc.cast(c, pa.date32())
-            except pa.ArrowInvalid:
-                return None
-        elif rule is not None and not pc.all(pc.match_substring_regex(c, RE2[name] if domains is DOMAINS else rule)).as_py():
-            return None
-    return [c.to_pylist() for c in t.columns]
+            value = bare = "(?!0000)" + DAY[1:-1]
+        else:
+            value, bare = rule[1:-1].replace("[^", f"[^{BETWEEN}"), rule[1:-1].replace("[^", f"[^{BETWEEN},")
+        return f'(?>"(?>{value})"|(?>{bare}))'
+
+    record = rf"(?=\s*+[^\s{BETWEEN}])" + ",".join(map(one, names))
+    return re.compile(f"(?:{record}{BETWEEN})*+{record}")
+
+
+def _days(column: pa.Array, a: int, b: int, bad: list[int]) -> None:
+    """Numbers of the values from a to b that are no days, found by halving."""
+    try:
+        pc.cast(column.slice(a, b - a), pa.date32())
+    except pa.ArrowInvalid:
+        if b - a == 1:
+            bad.append(a)
+        else:
+            _days(column, a, (a + b) // 2, bad)
+            _days(column, (a + b) // 2, b, bad)
+
+
+def read_block(names: list[str], texts: list[str | None], domains: dict[str, str] = DOMAINS) -> tuple[list[int], list[pa.Array]]:
+    """(numbers of the good records, their columns)."""
+    form = block_form(tuple(names), tuple(domains.items()))
+    whole = [k for k, x in enumerate(texts) if x is not None and BETWEEN not in x]
+    lines = [strip_end(texts[k]) for k in whole]
+    good: list[int] = []
+    stack = [(0, len(whole))] if whole else []
+    while stack:
+        a, b = stack.pop()
+        if form.fullmatch(BETWEEN.join(lines[a:b])):
+            good += range(a, b)
+        elif b - a > 1:
+            stack += [((a + b) // 2, b), (a, (a + b) // 2)]
+    if not good:
+        return [], []
+    try:
+        blob = "\n".join([lines[k] for k in good]).encode()
+    except UnicodeEncodeError:
+        return [], []
+    t = pacsv.read_csv(
+        io.BytesIO(blob),
+        read_options=pacsv.ReadOptions(column_names=[str(i) for i in range(len(names))], use_threads=False, block_size=len(blob) + 1024),
+        parse_options=pacsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
+        convert_options=pacsv.ConvertOptions(column_types={str(i): pa.string() for i in range(len(names))}, strings_can_be_null=False, quoted_strings_can_be_null=False),
+    )
+    if t.num_rows != len(good):
+        raise RuntimeError("the columnar reader and the form of records disagree")
+    columns = [c.combine_chunks() for c in t.columns]
+    bad: list[int] = []
+    for name, c in zip(names, columns):
+        if domains.get(name) == "date":
+            _days(c, 0, len(c), bad)
+    if bad:
+        keep = sorted(set(range(len(good))) - set(bad))
+        good, columns = [good[k] for k in keep], [c.take(pa.array(keep, pa.int64())) for c in columns]
+    return [whole[k] for k in good], columns
+
+
+def parse_block(header: str, texts: list[str | None], domains: dict[str, str] = DOMAINS) -> list[tuple[str | None, list[str] | None]]:
+    """(reason, fields) of each record of a block with one header."""
+    good, columns = read_block([h.strip() for h in header.split(",")], texts, domains)
+    rows = dict(zip(good, map(list, zip(*[c.to_pylist() for c in columns]))))
+    return [(None, rows[k]) if k in rows else diagnose(header, x, domains) for k, x in enumerate(texts)]
 
 
 #: Most records of a block.
-LARGEST = 4096
+LARGEST = 16_384
 
 
-def parse_block(header: str, texts: list[str | None], leaf: int = 32, domains: dict[str, str] = DOMAINS) -> list[tuple[str | None, list[str] | None]]:
-    """(reason, fields) of each record of a block with one header."""
-    names = [h.strip() for h in header.split(",")]
-    out: list = [None] * len(texts)
-    stack, at, size = [], 0, 8 * leaf
-    while stack or at < len(texts):
-        whole = not stack
-        if whole:
-            stack.append((at, min(at + size, len(texts))))
-            at += size
-        a, b = stack.pop()
-        part = texts[a:b]
-        cols = None if any(x is None for x in part) else _bulk(names, part, domains)
-        if whole:
-            size = min(size * 2, LARGEST) if cols is not None else max(size // 2, leaf)
-        if cols is not None:
-            for k, row in enumerate(zip(*cols)):
-                out[a + k] = (None, list(row))
-        elif b - a <= leaf:
-            out[a:b] = [diagnose(header, x, domains) for x in part]
-        else:
-            m = (a + b) // 2
-            stack += [(m, b), (a, m)]
-    return out
+def _maps(names: list[str], columns: list[pa.Array]) -> pa.Array:
+    """The records of these columns as maps."""
+    n, k = len(columns[0]), len(names)
+    items = pa.concat_arrays(columns).take(pa.array((np.arange(n)[:, None] + np.arange(k) * n).ravel()))
+    keys = pa.array(names, pa.string()).take(pa.array(np.tile(np.arange(k), n)))
+    return pa.MapArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), keys, items)
 
 
-def load_records(df: DataFrame, header: str = "header", text: str = "texto", leaf: int = 32, domains: dict[str, str] = DOMAINS) -> DataFrame:
+def load_records(df: DataFrame, header: str = "header", text: str = "texto", domains: dict[str, str] = DOMAINS) -> DataFrame:
     """``df`` with ``reason`` (null for good records) and ``fields`` (variable -> value, null for bad ones). No shuffle.
 
     With empty ``domains`` any value is good, and only the form of the records counts.
@@ -174,23 +189,32 @@ def load_records(df: DataFrame, header: str = "header", text: str = "texto", lea
     if {"reason", "fields"} & set(df.columns):
         raise ValueError("columns named reason or fields would clash; rename them first")
 
-    other = {} if domains is DOMAINS else {"domains": domains}  # DOMAINS is known by identity, which a copy sent to a worker has not
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 4 * LARGEST):
-                b = whole.slice(start, 4 * LARGEST)
+        for every in batches:
+            for start in range(0, every.num_rows, LARGEST):
+                b = every.slice(start, LARGEST)
                 heads, texts = b.column(header).to_pylist(), b.column(text).to_pylist()
                 by: dict = {}
                 for k, h in enumerate(heads):
                     by.setdefault(h, []).append(k)
-                reason, fields = [None] * len(heads), [None] * len(heads)
+                reason, place, maps, size = [None] * len(heads), [None] * len(heads), [pa.array([], pa.map_(pa.string(), pa.string()))], 0
                 for h, ks in by.items():
-                    found = [diagnose(None, None)] * len(ks) if h is None else parse_block(h, [texts[k] for k in ks], leaf, **other)
                     names = [] if h is None else [x.strip() for x in h.split(",")]
-                    for k, (why, f) in zip(ks, found):
-                        reason[k] = why
-                        fields[k] = None if f is None else list(zip(names, f))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(reason, pa.string()), pa.array(fields, pa.map_(pa.string(), pa.string()))], names=[*b.schema.names, "reason", "fields"])
+                    good, columns = read_block(names, [texts[k] for k in ks], domains) if names else ([], [])
+                    for n, g in enumerate(good, size):
+                        place[ks[g]] = n
+                    if good:
+                        maps.append(_maps(names, columns))
+                        size += len(good)
+                    for k in ks:
+                        if place[k] is None:
+                            why, fields = diagnose(h, texts[k], domains)
+                            reason[k] = why
+                            if why is None:  # good, but not for the reader (such as a text with a null character)
+                                place[k] = size
+                                maps.append(_maps(names, [pa.array([f], pa.string()) for f in fields]))
+                                size += 1
+                fields = pa.concat_arrays(maps).take(pa.array(place, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(reason, pa.string()), fields], names=[*b.schema.names, "reason", "fields"])
 
     return df.mapInArrow(run, schema)
