@@ -20,7 +20,9 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,12 +152,22 @@ def dewey_nodes(df: DataFrame, id_col: str, json_col: str, spec: Entries = STATE
     src = df.select(F.col(id_col), F.col(json_col).alias("__json"))
     kind = src.schema[0].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, *node) for i, text in zip(f[id_col], f["__json"]) for node in label(text, spec)]
-            yield pd.DataFrame(rows, columns=[id_col, "dewey", "parent", "path", "ordinal", "keys", "fields"])
-
-    return src.mapInPandas(run, f"`{id_col}` {kind}, {NODE_SCHEMA}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 1000):
+                part = b.slice(start, 1000)
+                row, nodes = [], []
+                for k, text in enumerate(part.column(1).to_pylist()):
+                    found = label(text, spec)
+                    nodes += found
+                    row += [k] * len(found)
+                dewey, parent, path, ordinal, keys, fields = zip(*nodes) if nodes else ((),) * 6
+                ends = np.cumsum([0, *map(len, fields)])
+                maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array([f for x in fields for f in x], pa.string()), pa.array([v for x in fields for v in x.values()], pa.string()))
+                arrays = [part.column(0).take(pa.array(row, pa.int64())), pa.array(dewey, pa.string()), pa.array(parent, pa.string()), pa.array(path, pa.string()), pa.array(ordinal, pa.int32()), pa.array(keys, pa.list_(pa.string())), maps]
+                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "dewey", "parent", "path", "ordinal", "keys", "fields"])
+
+    return src.mapInArrow(run, f"`{id_col}` {kind}, {NODE_SCHEMA}")
 
 
 def node_table(nodes: DataFrame, path: str, columns: dict[str, str]) -> DataFrame:
