@@ -1,3 +1,3 @@
-"""pathweave: entity relatedness search and path-pattern mining on Spark DataFrames."""
+"""pathweave: search for paths between entities and mining of path patterns on Spark DataFrames."""
 
 __version__ = "0.1.0"

@@ -6,14 +6,15 @@ the same relation with repetitions, for operators that remove duplicates from th
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DBPEDIA, KnowledgeBase
-from ..session import cut
-from ..sources.tables import small, table
+from ..session import bucketed, cut, exists, scratch
+from ..sources.tables import changed, small, table
 
 
 def _code(prefix: str, col: str) -> Column:
@@ -57,14 +58,48 @@ def adjacency(spark: SparkSession, d: str) -> DataFrame:
     return with_inverse(triples(spark, d))
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A graph on disk: its distinct triples twice, in a folder per property, sorted by subject and by object, so that a
+    constant property prunes folders, and constant subjects or objects prune files and row groups."""
+
+    by_subject: DataFrame
+    by_object: DataFrame
+
+    def where(self, cond: Column) -> "Stored":
+        return Stored(self.by_subject.where(cond), self.by_object.where(cond))
+
+    def around(self, nodes: list[str]) -> DataFrame:
+        """Edges from each of a few nodes, in both directions."""
+        out = self.by_subject.where(F.col("s").isin(nodes)).select("s", "p", "o")
+        back = self.by_object.where(F.col("o").isin(nodes))
+        return out.unionByName(back.select(F.col("o").alias("s"), toggle(F.col("p")).alias("p"), F.col("s").alias("o")))
+
+
 def save(tr: DataFrame, path: str) -> None:
-    """Writes triples as a table for repeated use: a folder per property, sorted by subject, so that a constant property
-    prunes folders and a constant subject prunes row groups."""
-    tr.repartition("p", F.pmod(F.xxhash64("s"), F.lit(64))).sortWithinPartitions("p", "s").write.partitionBy("p").mode("overwrite").parquet(path)
+    """Writes distinct triples as a ``Stored`` graph. Ranges go by all three columns, so that a hub lies in many files."""
+    for name, order in (("subject", ("p", "s", "o")), ("object", ("p", "o", "s"))):
+        tr.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("p").mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> Stored:
+    one = lambda name: spark.read.schema("s string, o string, p string").parquet(f"{path}/{name}").select("s", "p", "o")
+    return Stored(one("subject"), one("object"))
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("s string, o string, p string").parquet(path).select("s", "p", "o")
+#: Stored graphs of this process, by folder and the times of change of its tables.
+_STORED: dict[tuple, str] = {}
+TABLES = ("customer", "supplier", "nation", "orders", "lineitem")
+
+
+def stored(spark: SparkSession, d: str) -> Stored:
+    """The graph of the warehouse tables, written to the shared folder the first time it is asked for."""
+    key = (spark.sparkContext.applicationId, d, *[changed(spark, f"{d}/{name}.parquet") for name in TABLES])
+    if key not in _STORED or not exists(spark, _STORED[key]):
+        path = scratch(spark, "graph")
+        save(cut(triples(spark, d)), path)
+        _STORED[key] = path
+    return load(spark, _STORED[key])
 
 
 def degree(adj: DataFrame) -> DataFrame:
@@ -166,14 +201,25 @@ def keep_first(df: DataFrame, key: str, value: str, order: str, default: str) ->
 # Ranking ------------------------------------------------------------------------------------------------------------
 
 
+#: Links of a node that go to one task.
+HUB_LINKS = 500_000
+
+
 def pagerank(tr: DataFrame, iterations: int = 3, damping: float = 0.85) -> DataFrame:
-    """(node, score) after a fixed number of rounds from 1.0 for every node; scores of nodes without successors are not spread."""
-    out_deg = tr.groupBy("s").agg(F.count(F.lit(1)).alias("d"))
-    links = cut(tr.join(out_deg, "s").select("s", "o", "d"))
-    nodes = cut(links.select(F.explode(F.array("s", "o")).alias("node")).distinct())
+    """(node, score) after a fixed number of rounds from 1.0 for every node; scores of nodes without successors are not spread.
+
+    The links are put in buckets by subject once, those of a hub in several (by a salt), and are not moved again; a round
+    moves the scores of the nodes and the gains, which are added up where they arise before.
+    """
+    out_deg = tr.groupBy("s").agg(F.count(F.lit(1)).alias("d")).withColumn("salts", F.ceil(F.col("d") / HUB_LINKS).cast("int"))
+    out_deg = cut(out_deg)
+    links = bucketed(tr.join(out_deg, "s").select("s", F.pmod(F.xxhash64("o"), F.col("salts")).cast("int").alias("salt"), "o", "d"), "s", "salt")
+    every = links.select(F.explode(F.array("s", "o")).alias("node")).distinct()
+    nodes = bucketed(every.join(out_deg.select(F.col("s").alias("node"), "salts"), "node", "left"), "node")
     ranks = nodes.withColumn("score", F.lit(1.0))
     for _ in range(iterations):
-        gain = links.join(ranks, F.col("s") == F.col("node")).groupBy(F.col("o").alias("node")).agg(F.sum(F.col("score") / F.col("d")).alias("g"))
-        ranks = nodes.join(gain, "node", "left").select("node", (F.lit(1 - damping) + damping * F.coalesce("g", F.lit(0.0))).alias("score"))
+        given = ranks.where("salts is not null").select(F.col("node").alias("s"), "score", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        gain = links.join(given, ["s", "salt"]).groupBy(F.col("o").alias("node")).agg(F.sum(F.col("score") / F.col("d")).alias("g"))
+        ranks = nodes.join(gain, "node", "left").select("node", "salts", (F.lit(1 - damping) + damping * F.coalesce("g", F.lit(0.0))).alias("score"))
         ranks = cut(ranks)
-    return ranks
+    return ranks.select("node", "score")

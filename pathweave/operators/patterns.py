@@ -42,6 +42,7 @@ def binding_counts(paths: DataFrame) -> DataFrame:
 
 def min_support(paths: DataFrame) -> DataFrame:
     """(pattern, size, instances, min_support): the least number of distinct bindings of an inner position; 1 for single edges."""
+    paths = cut(paths)  # read twice
     least = binding_counts(paths).groupBy("pattern").agg(F.min("n").alias("m"))
     return frequency(paths).join(least, "pattern", "left").select("pattern", "size", "instances", F.when(F.col("size") == 1, F.lit(1)).otherwise(F.col("m")).cast("long").alias("min_support"))
 

@@ -4,7 +4,8 @@ All pairs are searched at once. A partial path is a row (pair_id, node, path, no
 codes ``node prop node ...``, ``nodes`` its nodes. The left side grows ceil(L/2) levels from the start, the right side
 floor(L/2) from the end (its paths already point to the end); both include depth 0, so every simple path of at most L
 edges has a node where the halves meet. Neither side grows past the opposite endpoint. A level is one join with the
-edges; the frontier is broadcast if it is counted to be small, and duplicates (repeated edges) go after the join.
+edges (a table, or a stored graph, where a frontier of a few nodes reads only the files that hold them); the frontier is
+broadcast if it is counted to be small, and duplicates (repeated edges) go after the join.
 
 Defined results: a path never repeats a node; a pair whose ends are equal has no path; nulls in pairs or edges match
 nothing; equal paths are given once.
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from ..config import SearchConfig
 from ..session import cut
 from ..sources.tables import small
-from .graph import degree, toggle, with_inverse
+from .graph import Stored, degree, toggle, with_inverse
 
+#: Nodes of a frontier that are looked up in a stored graph as constants, so that files and row groups are pruned.
+FEW = 10
 #: Rows of a frontier that may be broadcast: about 100 bytes of nodes each.
 BROADCAST_ROWS = 50_000
 
@@ -30,7 +33,7 @@ def _seed(pairs: DataFrame, at: str, stop: str) -> DataFrame:
     return pairs.select("pair_id", F.col(at).alias("node"), F.array(at).alias("path"), F.array(at).alias("nodes"), F.lit(0).alias("depth"), F.col(stop).alias("stop")).where("node is not null and stop is not null")
 
 
-def _edges(edges: DataFrame, cfg: SearchConfig) -> DataFrame:
+def _edges(edges: DataFrame | Stored, cfg: SearchConfig) -> DataFrame | Stored:
     e = edges
     if cfg.ignored_properties:
         e = e.where(~F.col("p").isin(*cfg.ignored_properties))
@@ -45,14 +48,18 @@ def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(at("s"), "s", "left").join(at("o"), "o", "left").where("__s is not null or __o is not null").select("s", "p", "o")
 
 
-def expand(partial: DataFrame, n_rows: int, edges: DataFrame, side: str, cfg: SearchConfig, domain: DataFrame | None = None, first: bool = False, classed: DataFrame | None = None) -> DataFrame:
+def expand(partial: DataFrame, n_rows: int, edges: DataFrame | Stored, side: str, cfg: SearchConfig, domain: DataFrame | None = None, first: bool = False, classed: DataFrame | None = None) -> DataFrame:
     """One level: every partial path with every edge of its node that leads to a new node. With ``classed`` (one column
     node) both ends of the edge need a class."""
     grow = partial.where(F.col("node") != F.col("stop"))
     if classed is not None:
         grow = grow.join(small(classed.select("node").distinct()), "node", "left_semi")
     tiny = n_rows <= BROADCAST_ROWS
-    adj = with_inverse(touching(edges, grow.select("node").distinct()) if tiny else edges)
+    if isinstance(edges, Stored) and n_rows <= FEW:
+        adj = edges.around([r["node"] for r in grow.select("node").distinct().collect()])  # at most FEW
+    else:
+        plain = edges.by_subject if isinstance(edges, Stored) else edges
+        adj = with_inverse(touching(plain, grow.select("node").distinct()) if tiny else plain)
     if cfg.max_links is not None and not first:
         hubs = degree(adj.distinct()).where(F.col("n") >= cfg.max_links).select("node")
         grow = grow.join(hubs, "node", "left_anti")
@@ -70,7 +77,7 @@ def expand(partial: DataFrame, n_rows: int, edges: DataFrame, side: str, cfg: Se
     return new.select("pair_id", F.col("o").alias("node"), path.alias("path"), F.concat("nodes", F.array("o")).alias("nodes"), (F.col("depth") + 1).alias("depth"), "stop").dropDuplicates(["pair_id", "path"])
 
 
-def one_side(pairs: DataFrame, edges: DataFrame, side: str, levels: int, cfg: SearchConfig, domain: DataFrame | None = None, classed: DataFrame | None = None) -> DataFrame:
+def one_side(pairs: DataFrame, edges: DataFrame | Stored, side: str, levels: int, cfg: SearchConfig, domain: DataFrame | None = None, classed: DataFrame | None = None) -> DataFrame:
     """Partial paths of depth 0 to ``levels`` from the start (L) or to the end (R)."""
     edges = _edges(edges, cfg)
     level = _seed(pairs, "start", "end") if side == "L" else _seed(pairs, "end", "start")
@@ -84,7 +91,7 @@ def one_side(pairs: DataFrame, edges: DataFrame, side: str, levels: int, cfg: Se
     return out
 
 
-def find_paths(pairs: DataFrame, edges: DataFrame, cfg: SearchConfig = SearchConfig(), domain: DataFrame | None = None, classed: DataFrame | None = None) -> DataFrame:
+def find_paths(pairs: DataFrame, edges: DataFrame | Stored, cfg: SearchConfig = SearchConfig(), domain: DataFrame | None = None, classed: DataFrame | None = None) -> DataFrame:
     """(pair_id, path array, len) of all simple paths of 1 to ``cfg.length`` edges. ``pairs``: pair_id, start, end.
 
     ``domain``: nodes that may be entered; ``classed``: nodes that have a class, needed at both ends of every edge taken.
@@ -101,7 +108,7 @@ def meet_nodes(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("pair_id", "node").join(right.select("pair_id", "node"), ["pair_id", "node"], "left_semi").distinct()
 
 
-def last_round(pairs: DataFrame, edges: DataFrame, cfg: SearchConfig = SearchConfig(), domain: DataFrame | None = None) -> DataFrame:
+def last_round(pairs: DataFrame, edges: DataFrame | Stored, cfg: SearchConfig = SearchConfig(), domain: DataFrame | None = None) -> DataFrame:
     """(pair_id, node, round): meet nodes by the round that finds them first. Round 1: at the last level but not before it;
     round 2: the whole last frontier of both sides is extended once more, and the sides meet at a node that they had not.
 

@@ -7,13 +7,16 @@ FILTER terms are predicates on the joined columns. Catalyst orders and places th
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NAMESPACES
+from ..operators.graph import Stored
+from ..session import cut
+from ..sources.tables import small
 
 
 def is_var(term: str) -> bool:
@@ -34,6 +37,8 @@ class Bgp:
     select: tuple[str, ...] = ()
     counted: bool = False
     distinct: bool = False
+    #: of a template: its ends, the edges from each to where they meet, and whether the arrows run on, meet or part there
+    shape: tuple[str, str, int, int, str] | None = None
 
     @property
     def variables(self) -> list[str]:
@@ -53,7 +58,7 @@ class Bgp:
     def direct(o1: str, o2: str, d: int) -> "Bgp":
         """o1 -> ... -> o2 in ``d`` edges."""
         terms = [o1, *[f"?of{i}" for i in range(1, d)], o2]
-        return Bgp(tuple((terms[i], f"?pf{i + 1}", terms[i + 1]) for i in range(d)), name=f"direct_{d}", distance=d)
+        return Bgp(tuple((terms[i], f"?pf{i + 1}", terms[i + 1]) for i in range(d)), name=f"direct_{d}", distance=d, shape=(o1, o2, -(-d // 2), d // 2, "on"))
 
     @staticmethod
     def via_middle(first: str, second: str, a: int, b: int, inward: bool) -> "Bgp":
@@ -64,7 +69,7 @@ class Bgp:
             steps = [(terms[i], f"?p{tag}{i + 1}", terms[i + 1]) for i in range(n)]
             return steps if inward else [(o, p, s) for s, p, o in steps]
 
-        return Bgp(tuple(chain(first, "f", a) + chain(second, "s", b)), name=f"middle_{a}_{b}_{'in' if inward else 'out'}", distance=a + b)
+        return Bgp(tuple(chain(first, "f", a) + chain(second, "s", b)), name=f"middle_{a}_{b}_{'in' if inward else 'out'}", distance=a + b, shape=(first, second, a, b, "meet" if inward else "part"))
 
     def filtered(self, ignored_objects=(), ignored_properties=(), cycles: int = 0, ends: tuple[str, str] | None = None) -> "Bgp":
         """FILTER terms: objects are no literals; ignored terms are excluded; cycles 1: no endpoint inside; 2: no object twice, too."""
@@ -75,7 +80,7 @@ class Bgp:
                 differ += [(v, x) for x in ends]
             if cycles > 1:
                 differ += [(v, w) for w in self.objects if w != v]
-        return Bgp(self.patterns, tuple(differ), tuple(self.objects), self.name, self.distance, self.limit)
+        return replace(self, differ=tuple(differ), entities=tuple(self.objects))
 
     # text -----------------------------------------------------------------------------------------------------------
 
@@ -246,19 +251,26 @@ def _connected(patterns) -> list[tuple[str, str, str]]:
     return out
 
 
-def evaluate(bgp: Bgp, triples: DataFrame, literals: DataFrame | None = None, keep: list[str] | None = None, repeats: bool = False) -> DataFrame:
+def evaluate(bgp: Bgp, triples: DataFrame | Stored, literals: DataFrame | None = None, keep: list[str] | None = None, repeats: bool = False) -> DataFrame:
     """A row per match, a column per variable (without ``?``), in order of appearance.
 
     ``literals``: triples whose object is a literal. ``keep``: only these variables, as distinct rows; a variable is then
     dropped, and repetitions with it, as soon as no later pattern needs it, so its bindings are never multiplied.
-    ``repeats``: the triples may be repeated; the result is made distinct instead of the (much larger) table.
+    ``repeats``: the triples may be repeated; the result is made distinct instead of the (much larger) table. Of a stored
+    graph a pattern with a constant object reads the triples sorted by object, any other those sorted by subject.
     """
-    every = triples if literals is None else triples.unionByName(literals.select("s", "p", "o"))
+
+    def every(pattern: tuple[str, str, str]) -> DataFrame:
+        t = triples
+        if isinstance(t, Stored):
+            t = t.by_object if is_var(pattern[0]) and not is_var(pattern[2]) else t.by_subject
+        return t if literals is None else t.unionByName(literals.select("s", "p", "o"))
+
     order = _connected(bgp.patterns)
     wanted = set(keep if keep is not None else bgp.variables) | {t for d in bgp.differ if all(map(is_var, d)) for t in d}
     out: DataFrame | None = None
     for k, pattern in enumerate(order):
-        scan, here = every, {}
+        scan, here = every(pattern), {}
         later = wanted | {t for p in order[k + 1 :] for t in p}
         for pos, t in zip("spo", pattern):
             if not is_var(t):
@@ -303,11 +315,11 @@ def templates(o1: str, o2: str, longest: int, limit: int | None = None, ignored_
     out = []
     for d in range(1, longest + 1):
         found = [Bgp.direct(o1, o2, d), Bgp.direct(o2, o1, d)]
-        found[1] = Bgp(found[1].patterns, name=f"direct_{d}_back", distance=d)
+        found[1] = replace(found[1], name=f"direct_{d}_back")
         for a in range(1, d):
             found += [Bgp.via_middle(o1, o2, a, d - a, inward) for inward in (True, False)]
         out += [x.filtered(ignored_objects, ignored_properties, cycles, (o1, o2)) for x in found]
-    return [Bgp(x.patterns, x.differ, x.entities, x.name, x.distance, limit) for x in out]
+    return [replace(x, limit=limit) for x in out]
 
 
 def as_paths(bgp: Bgp, rows: DataFrame) -> DataFrame:
@@ -317,17 +329,65 @@ def as_paths(bgp: Bgp, rows: DataFrame) -> DataFrame:
     return rows.select(F.lit(bgp.distance).alias("distance"), F.lit(bgp.name).alias("template"), match.alias("match"))
 
 
-def relate(queries: list[Bgp], triples: DataFrame, repeats: bool = False) -> DataFrame:
-    return reduce(DataFrame.unionByName, [as_paths(q, evaluate(q, triples, repeats=repeats)) for q in queries])
+def chains(ends: list[str], longest: dict[str, int], triples: DataFrame | Stored, stop: set[str]) -> dict[tuple[str, int], DataFrame]:
+    """(direction, k) -> (end, p1, n1 ... pk, nk): walks of k edges that go out from an end (``out``) or into it (``in``), each
+    length made from the one before by one join and written once. Nodes in ``stop`` are not passed through."""
+    t = triples if isinstance(triples, Stored) else Stored(triples, triples)
+    made = {}
+    for way, table, a, b in (("out", t.by_subject, "s", "o"), ("in", t.by_object, "o", "s")):
+        for k in range(1, longest.get(way, 0) + 1):
+            if k == 1:
+                new = table.where(F.col(a).isin(ends)).select(F.col(a).alias("end"), F.col("p").alias("p1"), F.col(b).alias("n1"))
+            else:
+                last = made[way, k - 1]
+                if stop:
+                    last = last.where(~F.col(f"n{k - 1}").isin(*stop))
+                new = table.select(F.col(a).alias(f"n{k - 1}"), F.col("p").alias(f"p{k}"), F.col(b).alias(f"n{k}")).join(small(last), f"n{k - 1}")
+            made[way, k] = cut(new.select("end", *[f"{c}{i}" for i in range(1, k + 1) for c in "pn"]).distinct())
+    return made
+
+
+def relate(queries: list[Bgp], triples: DataFrame | Stored) -> DataFrame:
+    """(distance, template, match) of templates (``templates``): all of them are put together from the same walks, two of
+    which meet in each match, so the graph is read once per direction and length and not once per pattern."""
+    ends = sorted({e for q in queries for e in q.shape[:2]})
+    longest: dict[str, int] = {}
+    for q in queries:
+        *_, a, b, how = q.shape
+        for way, n in (("out" if how != "part" else "in", a), ("out" if how == "meet" else "in", b)):
+            longest[way] = max(longest.get(way, 0), n)
+    barred = [{y for x, y in q.differ if x == v and not is_var(y)} for q in queries for v in q.objects]
+    walks = chains(ends, longest, triples, set.intersection(*barred) if barred else set())
+    out = []
+    for q in queries:
+        first, second, a, b, how = q.shape
+        left = walks["out" if how != "part" else "in", a].where(F.col("end") == first).drop("end")
+        name = {f"p{k}": f"pf{k}" for k in range(1, a + 1)} | {f"n{k}": f"of{k}" for k in range(1, a)} | {f"n{a}": "middle" if how != "on" else f"of{a}"}
+        rows = left.select(*[F.col(c).alias(n) for c, n in name.items()])
+        if b == 0:
+            rows = rows.where(F.col(f"of{a}") == second)
+        else:
+            right = walks["out" if how == "meet" else "in", b].where(F.col("end") == second).drop("end")
+            d = a + b
+            if how == "on":
+                name = {f"p{k}": f"pf{d - k + 1}" for k in range(1, b + 1)} | {f"n{k}": f"of{d - k}" for k in range(1, b + 1)}
+            else:
+                name = {f"p{k}": f"ps{k}" for k in range(1, b + 1)} | {f"n{k}": f"os{k}" for k in range(1, b)} | {f"n{b}": "middle"}
+            rows = rows.join(right.select(*[F.col(c).alias(n) for c, n in name.items()]), "middle" if how != "on" else f"of{a}")
+        for x, y in q.differ:
+            rows = rows.where(F.col(x[1:]) != (F.col(y[1:]) if is_var(y) else F.lit(y)))
+        rows = rows.select(*[v[1:] for v in q.variables])
+        out.append(as_paths(q, rows.orderBy(*rows.columns).limit(q.limit) if q.limit else rows))
+    return reduce(DataFrame.unionByName, out)
 
 
-def related_pairs(patterns: dict[str, Bgp], triples: DataFrame, first: str = "?e1", second: str = "?e2", limit: int | None = None) -> DataFrame:
+def related_pairs(patterns: dict[str, Bgp], triples: DataFrame | Stored, first: str = "?e1", second: str = "?e2", limit: int | None = None) -> DataFrame:
     """(e1, e2, n_patterns, patterns): pairs by the number of patterns they match, the patterns joined by ``**``."""
     parts = []
     for name, b in patterns.items():
-        rows = evaluate(b, triples, keep=[first, second]).select(F.col(first[1:]).alias("e1"), F.col(second[1:]).alias("e2"))
-        if limit:
-            rows = rows.orderBy("e1", "e2").limit(limit)
+        rows = evaluate(replace(b, limit=None), triples, keep=[first, second]).select(F.col(first[1:]).alias("e1"), F.col(second[1:]).alias("e2"))
+        if limit or b.limit:
+            rows = rows.orderBy("e1", "e2").limit(limit or b.limit)
         parts.append(rows.withColumn("pattern", F.lit(name)))
     every = reduce(DataFrame.unionByName, parts)
     return every.groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n_patterns"), F.array_join(F.array_sort(F.collect_list("pattern")), "**").alias("patterns"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _WRITTEN: list[str] = []
+_TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,8 +41,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *by: str) -> DataFrame:
+    """``cut`` into buckets by hash of ``by``, sorted within: joins and groupings on these columns read it without moving it.
+    There are as many buckets as shuffle partitions."""
+    spark = df.sparkSession
+    n, name, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"pathweave_{uuid.uuid4().hex}", scratch(spark, "buckets")
+    df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).format("parquet").option("path", path).saveAsTable(name)
+    _TABLES.append(name)
+    return spark.table(name)
+
+
 def clean(spark: SparkSession) -> None:
     """Removes the tables that this process has written below the shared folder; frames built on them can no longer be read."""
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _WRITTEN:
         drop_path(spark, _WRITTEN.pop())
 
@@ -60,6 +73,11 @@ def _sweep() -> None:
             shutil.rmtree(re.sub(r"^file:/+", "/", path), ignore_errors=True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -14,10 +14,15 @@ BROADCAST_BYTES = 8 << 20
 _SCHEMAS: dict[tuple[str, int], StructType] = {}
 
 
+def changed(spark: SparkSession, path: str) -> int:
+    """When the file or folder was last changed."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    key = path, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+    key = path, changed(spark, path)
     if key in _SCHEMAS:
         return spark.read.schema(_SCHEMAS[key]).parquet(path)
     df = spark.read.parquet(path)
@@ -47,7 +52,10 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
+#: The white space that is trimmed from codes.
+WHITE = " \t\n\x0b\x0c\r\xa0"
+
+
 def clean_code(c):
     """A property code trimmed of white space, in upper case; null if nothing is left."""
-    x = F.upper(F.regexp_replace(c, r"^[\s\x{A0}]+|[\s\x{A0}]+$", ""))
-    return F.when(x != "", x)
+    return F.nullif(F.upper(F.btrim(c, F.lit(WHITE))), F.lit(""))

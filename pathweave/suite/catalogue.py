@@ -159,7 +159,7 @@ MIDDLE = {(1, 1, "in"): ("p0", "p1"), (1, 1, "out"): ("s0", "s1"), (1, 2, "in"):
 
 def _template(name: str, b: bgp.Bgp) -> None:
     def run(s: SparkSession, d: str) -> DataFrame:
-        return bgp.evaluate(b, graph.edges(s, d), repeats=True)
+        return bgp.evaluate(b, graph.stored(s, d))
 
     run.__name__ = name
     query(_sql_bgp(b))(run)
@@ -178,7 +178,7 @@ _template("relfinder_filter_ignored", bgp.Bgp.direct("o1", "r0", 4).filtered(ign
 def relfinder_limit(s, d):
     """A template with LIMIT, in the order of its columns."""
     b = bgp.Bgp.direct("o1", "r0", 4)
-    return bgp.evaluate(bgp.Bgp(b.patterns, limit=3), graph.edges(s, d), repeats=True)
+    return bgp.evaluate(bgp.Bgp(b.patterns, limit=3), graph.stored(s, d))
 
 
 _ALL = bgp.templates("o1", "p0", 4, cycles=1)
@@ -198,7 +198,7 @@ def _sql_all() -> str:
 @query(_sql_all())
 def relfinder_all(s, d):
     """All templates between o1 and p0 in up to four edges."""
-    return bgp.relate(_ALL, graph.edges(s, d), repeats=True)
+    return bgp.relate(_ALL, graph.stored(s, d))
 
 
 LOCATED = bgp.Bgp((("?n", "P2", "?e2"), ("?e1", "P1", "?n"), ("?o", "P3", "?e1")))
@@ -211,12 +211,12 @@ SUPPLIED = bgp.Bgp((("?n", "P2", "?e2"), ("?s", "P1", "?n"), ("?p", "P5", "?s"),
     SELECT e1, e2, count(*) AS n_patterns, string_agg(pattern, '**' ORDER BY pattern) AS patterns FROM m GROUP BY 1, 2""")
 def related_pairs(s, d):
     """Customers and regions: where they are, and where the suppliers of what they ordered are."""
-    return bgp.related_pairs({"located": LOCATED, "supplied": SUPPLIED}, graph.edges(s, d))
+    return bgp.related_pairs({"located": LOCATED, "supplied": SUPPLIED}, graph.stored(s, d))
 
 
 @query(f"WITH {TRIPLES} SELECT count(*) AS n FROM triples a JOIN triples b ON a.p = 'P3' AND b.p = 'P4' AND a.s = b.s")
 def bgp_count(s, d):
-    return bgp.count(bgp.Bgp(tuple([("?o", "P3", "?c"), ("?o", "P4", "?p")])), graph.triples(s, d))
+    return bgp.count(bgp.Bgp(tuple([("?o", "P3", "?c"), ("?o", "P4", "?p")])), graph.stored(s, d))
 
 
 @query(f"""WITH {TRIPLES}, m AS (SELECT DISTINCT 'Q' || c.s AS e1, 'Q' || a.o AS e2, 'P3/P1' AS pattern FROM triples c JOIN triples a ON a.s = c.o AND a.p = 'P1' WHERE c.p = 'P3'
@@ -224,7 +224,7 @@ def bgp_count(s, d):
     SELECT e1, e2, count(*) AS n_patterns, string_agg(pattern, '**' ORDER BY pattern) AS patterns FROM m GROUP BY 1, 2""")
 def related_pairs_items(s, d):
     """Pairs of items (Q codes), from queries given as text; one of them with a LIMIT."""
-    e = graph.edges(s, d)
+    e = graph.stored(s, d).by_subject
     items = graph.keep_items(e.select("s", "p", F.concat(F.lit("Q"), "o").alias("value")), WIKIDATA).select(F.concat(F.lit("Q"), "s").alias("s"), "p", F.col("value").alias("o"))
     near = bgp.Bgp.parse("SELECT ?e1 ?e2 WHERE { ?e1 <P3> ?c . ?c <P1> ?e2 }")
     far = bgp.Bgp.parse("SELECT ?e1 ?e2 WHERE { ?e1 <P3> ?c . ?c <P1> ?n . ?n <P2> ?e2 } LIMIT 500")
@@ -234,7 +234,7 @@ def related_pairs_items(s, d):
 @query(_sql_bgp(bgp.Bgp((("?o", "P3", "?c"), ("?c", "P1", "n1")))))
 def bgp_text_query(s, d):
     """A query given as text, parsed and evaluated."""
-    return bgp.evaluate(bgp.Bgp.parse("SELECT * WHERE { ?o <P3> ?c . ?c <P1> <n1> }"), graph.triples(s, d))
+    return bgp.evaluate(bgp.Bgp.parse("SELECT * WHERE { ?o <P3> ?c . ?c <P1> <n1> }"), graph.stored(s, d))
 
 
 @query("SELECT DISTINCT url, CASE WHEN regexp_matches(url, '^(rdf|skos):') THEN url WHEN starts_with(url, 'http://www.w3.org/2004/02/skos/core#') THEN 'skos:' || substr(url, 37) ELSE '<' || url || '>' END AS short FROM (SELECT url FROM client6380 UNION ALL SELECT 'http://www.w3.org/2004/02/skos/core#' || code FROM client6380) WHERE url IS NOT NULL")
@@ -377,7 +377,7 @@ def url_coding(s, d):
 
 @query(f"""WITH {SPLIT}, q AS (SELECT DISTINCT query_id, line_id FROM sparql)
     SELECT DISTINCT query_id, line_id, NULL::varchar AS reason, variable, value FROM e JOIN q USING (line_id)
-    UNION ALL SELECT query_id, line_id, CASE WHEN blank OR splits THEN 'column_count' ELSE 'quoting' END, NULL, NULL FROM u JOIN q USING (line_id) WHERE blank OR NOT splits OR len(names) <> len(vals)""")
+    UNION ALL SELECT query_id, line_id, CASE WHEN texto IS NULL OR header IS NULL OR splits THEN 'column_count' ELSE 'quoting' END, NULL, NULL FROM u JOIN q USING (line_id) WHERE blank OR NOT splits OR len(names) <> len(vals)""")
 def csv_rows(s, d):
     """Every record read by its own header: a row per variable; a record that cannot be read keeps a row with the reason."""
     r = table(s, d, "sparql").select("query_id", "line_id", "header", "texto")

@@ -18,7 +18,7 @@ MAX_LINKS = 50
 TOP = 50
 RESOURCE, PROPERTY = "http://dbpedia.org/resource/", "http://kb.example/property/"
 
-_E = graph.edges
+_E = graph.stored
 
 
 def _flag(s: SparkSession, d: str) -> DataFrame:
@@ -80,12 +80,12 @@ def adjacency(s, d):
 
 @query(f"WITH {DEGREE} SELECT node, n FROM degree")
 def degree(s, d):
-    return graph.degree(graph.adjacency(s, d))
+    return graph.degree(graph.with_inverse(graph.stored(s, d).by_subject))
 
 
 @query(f"WITH {DEGREE} SELECT node, n FROM degree WHERE n > 0 AND n < {MAX_LINKS}")
 def degree_cap(s, d):
-    return graph.cap_degree(graph.degree(graph.adjacency(s, d)), MAX_LINKS)
+    return graph.cap_degree(graph.degree(graph.with_inverse(graph.stored(s, d).by_subject)), MAX_LINKS)
 
 
 @query("SELECT url, 'u' || dense_rank() OVER (ORDER BY url) AS code FROM (SELECT DISTINCT url FROM client6380 WHERE url IS NOT NULL)")
@@ -232,7 +232,7 @@ domain AS (SELECT node FROM gate WHERE k % 3 <> 1 OR node IN ('c0', 's1')), clas
 
 
 def _gates(s, d) -> tuple[DataFrame, DataFrame]:
-    nodes = graph.edges(s, d).select(F.explode(F.array("s", "o")).alias("node")).distinct()
+    nodes = graph.stored(s, d).by_subject.select(F.explode(F.array("s", "o")).alias("node")).distinct()
     k = F.regexp_extract("node", "[0-9]+", 0).cast("long")
     return nodes.where((k % 3 != 1) | F.col("node").isin("c0", "s1")), nodes.where(k % 5 != 2)
 
@@ -351,7 +351,7 @@ node AS (SELECT DISTINCT unnest(nodes) AS x FROM paths)"""
 def _members(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = _flag(s, d)
     e = paths.path_edges(p)
-    return graph.triples(s, d), paths.objects(p), e.select(*paths.stored(F.col("s"), F.col("p"), F.col("o"))).distinct()
+    return graph.stored(s, d).by_subject, paths.objects(p), e.select(*paths.stored(F.col("s"), F.col("p"), F.col("o"))).distinct()
 
 
 @query(_KEYS + " SELECT x AS key, (SELECT count(*) FROM triples t WHERE t.s = x) AS n FROM node")
@@ -387,13 +387,13 @@ def stats_po(s, d):
 @query(f"""WITH {TRIPLES} SELECT 's' AS kind, s AS key, count(*) AS n FROM triples GROUP BY 2 UNION ALL SELECT 'p', p, count(*) FROM triples GROUP BY 2 UNION ALL SELECT 'o', o, count(*) FROM triples GROUP BY 2
     UNION ALL SELECT 'sp', s || ' ' || p, count(*) FROM triples GROUP BY 2 UNION ALL SELECT 'po', p || ' ' || o, count(*) FROM triples GROUP BY 2""")
 def stats_grouping_sets(s, d):
-    return stats.grouping_sets(graph.triples(s, d))
+    return stats.grouping_sets(graph.stored(s, d).by_subject)
 
 
 @query(f"WITH {ADJ} SELECT a.p || ',' || b.p AS key, count(*) AS n FROM adj a JOIN adj b ON a.o = b.s WHERE (a.p, b.p) IN (('P3@', 'P4'), ('P1', 'P1@'), ('P3', 'P1'), ('P2@', 'P1@'), ('P2', 'P2@')) GROUP BY 1")
 def property_pair_count(s, d):
     pairs = s.createDataFrame([("P3@", "P4"), ("P1", "P1@"), ("P3", "P1"), ("P2@", "P1@"), ("P2", "P2@")], "p1 string, p2 string")
-    return stats.property_pair_counts(graph.adjacency(s, d), pairs).select(F.concat_ws(",", "p1", "p2").alias("key"), "n")
+    return stats.property_pair_counts(graph.with_inverse(graph.stored(s, d).by_subject), pairs).select(F.concat_ws(",", "p1", "p2").alias("key"), "n")
 
 
 # Patterns -----------------------------------------------------------------------------------------------------------
@@ -513,13 +513,13 @@ _RANK = ", ".join(_PR)
 
 @query(f"WITH {_RANK} SELECT node, round(score + 1e-9, 4) AS score FROM r3")
 def pagerank_3(s, d):
-    return graph.pagerank(graph.triples(s, d)).select("node", F.round(F.col("score") + 1e-9, 4).alias("score"))
+    return graph.pagerank(graph.stored(s, d).by_subject).select("node", F.round(F.col("score") + 1e-9, 4).alias("score"))
 
 
 @query(f"WITH {_RANK}, adj AS (SELECT s, p, o FROM triples UNION ALL SELECT o, p || '@', s FROM triples), {walk('l', 'c0', 2, 's1')}, {walk('b', 's1', 2, 'c0')}, m AS (SELECT DISTINCT node FROM l WHERE node IN (SELECT node FROM b)) SELECT node, round(score + 1e-9, 4) AS score, row_number() OVER (ORDER BY round(score + 1e-9, 4) DESC, node) AS rank FROM m JOIN r3 USING (node) QUALIFY rank <= {TOP}")
 def meet_nodes_ranked(s, d):
     met = search.meet_nodes(_side(s, d, "L", 2), _side(s, d, "R", 2)).select("node")
-    best = met.join(graph.pagerank(graph.triples(s, d)), "node").select("node", F.round(F.col("score") + 1e-9, 4).alias("score")).orderBy(F.desc("score"), "node").limit(TOP)
+    best = met.join(graph.pagerank(graph.stored(s, d).by_subject), "node").select("node", F.round(F.col("score") + 1e-9, 4).alias("score")).orderBy(F.desc("score"), "node").limit(TOP)
     return best.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "node")))
 
 

@@ -108,7 +108,7 @@ SQL = {
     "p3_wobject_keys": "SELECT sequence, count(*) AS n_rows, count(DISTINCT node) AS n_nodes FROM l_wobject_extend WHERE sequence IS NOT NULL GROUP BY 1",
     "p3_client_keys": "SELECT size, count(*) AS n_rows, count(DISTINCT code) AS n_codes FROM client6380 WHERE size IS NOT NULL GROUP BY 1",
     "p4_found": "WITH " + SPLIT + """
-        SELECT line_id, CASE WHEN blank THEN 'column_count' WHEN NOT splits THEN 'quoting' WHEN len(names) <> len(vals) THEN 'column_count' ELSE 'invalid_value' END AS reason
+        SELECT line_id, CASE WHEN texto IS NULL OR header IS NULL THEN 'column_count' WHEN NOT splits THEN 'quoting' WHEN blank OR len(names) <> len(vals) THEN 'column_count' ELSE 'invalid_value' END AS reason
         FROM u WHERE blank OR NOT splits OR len(names) <> len(vals) OR line_id IN (SELECT line_id FROM bad)""",
     "p4_good": "WITH " + SPLIT + " SELECT DISTINCT line_id, variable, value FROM e WHERE line_id NOT IN (SELECT line_id FROM bad)",
 }
