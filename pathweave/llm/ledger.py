@@ -32,13 +32,15 @@ from ..session import drop_path, scratch
 
 #: Ids of a block of arrivals; generations of a level that are merged.
 BLOCK, FAN = 65_536, 6
+# White space and separators, as ranges (a class of properties is several times slower).
+WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 GENERATION = "key string, id long, seen boolean"
 RANKED = "id long, key string, block long, r int, batch int"
 
 
 def text_key(scope: str, text: str) -> Column:
     """Key of ``text`` within ``scope``: white space trimmed and inner runs taken as one space; null if text is null or blank."""
-    t = F.regexp_replace(F.regexp_replace(F.col(text), r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+", " "), "^ | $", "")
+    t = F.btrim(F.regexp_replace(F.col(text), WHITE, " "), F.lit(" "))
     return F.when(t != "", F.concat(F.coalesce(F.col(scope).cast("string"), F.lit("")), F.lit("\x1f"), t))
 
 

@@ -59,8 +59,8 @@ def _once(df: DataFrame, origin: str) -> DataFrame:
     return df.where(F.size("seq") > 0).dropDuplicates(["id"]).select(F.lit(origin).alias("origin"), "seq")
 
 
-BLOCKS = "origin string, item int, flat binary, lens binary, w binary"
-COUNTS = "origin string, prefix string, kind string, i int, item int, n long"
+BLOCKS = "origin int, item int, flat binary, lens binary, w binary"
+COUNTS = "origin int, prefix string, kind string, i int, item int, n long"
 
 
 def pack(seqs: list[bytes], w: list[int]) -> tuple[bytes, bytes, bytes]:
@@ -132,20 +132,34 @@ def closed_patterns(seqs: DataFrame, min_share: float, min_count: int) -> DataFr
         often[r["origin"]].append((r["item"], r["n"]))
     if not often:
         return spark.createDataFrame([], schema)
-    # by origin: item -> (code, parts of its partition)
-    number = spark.sparkContext.broadcast({o: {x: (k, -(-n // PART_ROWS)) for k, (x, n) in enumerate(xs)} for o, xs in often.items()})
-    name = spark.sparkContext.broadcast({o: [x for x, _ in xs] for o, xs in often.items()})
+    # origins by number; of each: item -> code, and by code the parts of its partition
+    origins = sorted(often)
+    at_least = F.element_at(F.array(*[F.lit(least[o]) for o in origins]), F.col("origin") + 1)
+    number = spark.sparkContext.broadcast([{x: k for k, (x, _) in enumerate(often[o])} for o in origins])
+    split = [[-(-n // PART_ROWS) for _, n in often[o]] for o in origins]
+    name = spark.sparkContext.broadcast([[x for x, _ in often[o]] for o in origins])
+    index = {o: k for k, o in enumerate(origins)}
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = number.value
-        for f in frames:
-            seen = Counter((o, tuple(k for x in q if (k := code[o].get(x)))) for o, q in zip(f["origin"], f["seq"]) if o in code)
+        code, seen = number.value, Counter()
+
+        def rows() -> pd.DataFrame:
             out = []
             for (o, q), n in seen.items():
-                b = np.array([k for k, _ in q], "<i4").tobytes()
+                b = np.array(q, "<i4").tobytes()
                 h = zlib.crc32(b)
-                out += [(o, k, h % parts, len(b), b, n) for k, parts in set(q)]
-            yield pd.DataFrame(out, columns=["origin", "item", "part", "size", "seq", "w"])
+                out += [(o, k, h % split[o][k], len(b), b, n) for k in set(q)]
+            seen.clear()
+            return pd.DataFrame(out, columns=["origin", "item", "part", "size", "seq", "w"])
+
+        for f in frames:
+            for o, q in zip(f["origin"].map(index), f["seq"]):
+                if o == o:  # origins without frequent items have no number
+                    get = code[int(o)].get
+                    seen[int(o), tuple(k for x in q if (k := get(x)) is not None)] += 1
+            if len(seen) > flush // 4:
+                yield rows()
+        yield rows()
 
     def blocks_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code, at, seen, wide = number.value, None, Counter(), 0
@@ -182,11 +196,11 @@ def closed_patterns(seqs: DataFrame, min_share: float, min_count: int) -> DataFr
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"origin": f["origin"], "pattern": [[name.value[o][int(k)] for k in p.split()] for o, p in zip(f["origin"], f["prefix"])], "support": f["sup"]})
+            yield pd.DataFrame({"origin": [origins[o] for o in f["origin"]], "pattern": [[name.value[o][int(k)] for k in p.split()] for o, p in zip(f["origin"], f["prefix"])], "support": f["sup"]})
 
-    coded = seqs.mapInPandas(encode, "origin string, item int, part int, size int, seq binary, w long")
+    coded = seqs.mapInPandas(encode, "origin int, item int, part int, size int, seq binary, w long")
     blocks = cut(coded.repartition("origin", "item", "part").sortWithinPartitions("origin", "item", "size").mapInPandas(blocks_of, BLOCKS))
-    level = spark.createDataFrame([(o, str(k)) for o, xs in often.items() for k in range(len(xs))], "origin string, prefix string")
+    level = spark.createDataFrame([(index[o], str(k)) for o, xs in often.items() for k in range(len(xs))], "origin int, prefix string")
     n, found = sum(map(len, often.values())), []
     while n:
         first = F.split_part("prefix", F.lit(" "), F.lit(1)).cast("int")
@@ -195,7 +209,7 @@ def closed_patterns(seqs: DataFrame, min_share: float, min_count: int) -> DataFr
         top = lambda *kinds: F.coalesce(F.max(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
         judged = counts.groupBy("origin", "prefix").agg(top("P").alias("sup"), top("F", "M").alias("wider"), top("S").alias("back"))
         found.append(judged.where("wider < sup").select("origin", "prefix", "sup"))
-        grown = counts.where((F.col("kind") == "F") & (F.col("n") >= floor)).join(judged.where("back < sup").select("origin", "prefix"), ["origin", "prefix"], "left_semi")
+        grown = counts.where((F.col("kind") == "F") & (F.col("n") >= at_least)).join(judged.where("back < sup").select("origin", "prefix"), ["origin", "prefix"], "left_semi")
         level = cut(grown.select("origin", F.concat_ws(" ", "prefix", F.col("item").cast("string")).alias("prefix")))
         n = level.count()
     return reduce(DataFrame.unionByName, found).mapInPandas(decode, schema)
