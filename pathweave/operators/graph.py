@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DBPEDIA, KnowledgeBase
-from ..session import bucketed, cut, exists, scratch
+from ..session import bucketed, cut, exists, scratch, together
 from ..sources.tables import changed, small, table
 
 
@@ -78,9 +78,12 @@ class Stored:
 
 def save(tr: DataFrame, path: str) -> None:
     """Writes distinct triples as a ``Stored`` graph. Ranges go by all three columns, so that a hub lies in many files."""
-    for name, order in (("subject", ("p", "s", "o")), ("object", ("p", "o", "s"))):
+
+    def write(name: str, *order: str) -> None:
         tr.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("p").mode("overwrite").parquet(f"{path}/{name}")
 
+    together(lambda: write("subject", "p", "s", "o"), lambda: write("object", "p", "o", "s"))
+
 
 def load(spark: SparkSession, path: str) -> Stored:
     one = lambda name: spark.read.schema("s string, o string, p string").parquet(f"{path}/{name}").select("s", "p", "o")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
-from ..session import cut
+from ..session import cut, together
 from ..sources.tables import small
 from .graph import Stored, degree, toggle, with_inverse
 
@@ -96,8 +96,7 @@ def find_paths(pairs: DataFrame, edges: DataFrame | Stored, cfg: SearchConfig =
 
     ``domain``: nodes that may be entered; ``classed``: nodes that have a class, needed at both ends of every edge taken.
     """
-    left = one_side(pairs, edges, "L", cfg.left, cfg, domain, classed)
-    right = one_side(pairs, edges, "R", cfg.right, cfg, domain, classed)
+    left, right = together(*[lambda side=side, n=n: one_side(pairs, edges, side, n, cfg, domain, classed) for side, n in (("L", cfg.left), ("R", cfg.right))])
     r = right.select("pair_id", "node", F.col("path").alias("rpath"), F.col("nodes").alias("rnodes"), F.col("depth").alias("rdepth"))
     met = left.join(r, ["pair_id", "node"]).where((F.size(F.array_intersect("nodes", "rnodes")) == 1) & (F.col("depth") + F.col("rdepth")).between(1, cfg.length))
     return met.select("pair_id", F.expr("concat(path, slice(rpath, 2, size(rpath)))").alias("path"), (F.col("depth") + F.col("rdepth")).alias("len")).distinct()
@@ -114,7 +113,7 @@ def last_round(pairs: DataFrame, edges: DataFrame | Stored, cfg: SearchConfig =
 
     Paths through nodes of round 2 are longer than ``cfg.length``, so ``find_paths`` has no more paths for it.
     """
-    deep = {side: one_side(pairs, edges, side, n + 1, cfg, domain) for side, n in (("L", cfg.left), ("R", cfg.right))}
+    deep = dict(zip("LR", together(*[lambda side=side, n=n: one_side(pairs, edges, side, n + 1, cfg, domain) for side, n in (("L", cfg.left), ("R", cfg.right))])))
     met = [meet_nodes(*[deep[s].where(F.col("depth") <= n + k) for s, n in (("L", cfg.left), ("R", cfg.right))]) for k in (-1, 0, 1)]
     return new_nodes(met[1], met[0]).withColumn("round", F.lit(1)).unionByName(new_nodes(met[2], met[1]).withColumn("round", F.lit(2)))
 

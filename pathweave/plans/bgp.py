@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NAMESPACES
 from ..operators.graph import Stored
-from ..session import cut
+from ..session import cut, together
 from ..sources.tables import small
 
 
@@ -333,8 +333,9 @@ def chains(ends: list[str], longest: dict[str, int], triples: DataFrame | Stored
     """(direction, k) -> (end, p1, n1 ... pk, nk): walks of k edges that go out from an end (``out``) or into it (``in``), each
     length made from the one before by one join and written once. Nodes in ``stop`` are not passed through."""
     t = triples if isinstance(triples, Stored) else Stored(triples, triples)
-    made = {}
-    for way, table, a, b in (("out", t.by_subject, "s", "o"), ("in", t.by_object, "o", "s")):
+
+    def walk(way: str, table: DataFrame, a: str, b: str) -> dict[tuple[str, int], DataFrame]:
+        made: dict[tuple[str, int], DataFrame] = {}
         for k in range(1, longest.get(way, 0) + 1):
             if k == 1:
                 new = table.where(F.col(a).isin(ends)).select(F.col(a).alias("end"), F.col("p").alias("p1"), F.col(b).alias("n1"))
@@ -344,7 +345,10 @@ def chains(ends: list[str], longest: dict[str, int], triples: DataFrame | Stored
                     last = last.where(~F.col(f"n{k - 1}").isin(*stop))
                 new = table.select(F.col(a).alias(f"n{k - 1}"), F.col("p").alias(f"p{k}"), F.col(b).alias(f"n{k}")).join(small(last), f"n{k - 1}")
             made[way, k] = cut(new.select("end", *[f"{c}{i}" for i in range(1, k + 1) for c in "pn"]).distinct())
-    return made
+        return made
+
+    out, back = together(lambda: walk("out", t.by_subject, "s", "o"), lambda: walk("in", t.by_object, "o", "s"))
+    return out | back
 
 
 def relate(queries: list[Bgp], triples: DataFrame | Stored) -> DataFrame:

@@ -7,7 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
@@ -51,6 +53,13 @@ def bucketed(df: DataFrame, *by: str) -> DataFrame:
     return spark.table(name)
 
 
+def together(*steps):
+    """The results of steps that do not depend on one another; their jobs run side by side, so that small ones fill the cluster."""
+    own = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(own(step)) for step in steps]]
+
+
 def clean(spark: SparkSession) -> None:
     """Removes the tables that this process has written below the shared folder; frames built on them can no longer be read."""
     while _TABLES:
