@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.skew import running
 from ..session import cut
 
 #: Path of the tokenizer's vocabulary (ranks of byte pairs) and, fixed with it, its pattern of pieces.
@@ -138,17 +139,6 @@ def offsets(sized: DataFrame, n_docs: int, seed: int = 0) -> DataFrame:
     return rows.withColumn("inside", inside).join(before, ["source", "bucket"]).select("source", "id", "n_tokens", (F.col("base") + F.col("inside")).alias("start"))
 
 
-def running(rows: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``value`` up to and with the row, in the order of the unique integer ``order``
-    (within ``by``), in two steps over buckets of ``BUCKET_ROWS`` consecutive numbers."""
-    r = rows.withColumn("__bucket", F.floor(F.col(order) / BUCKET_ROWS))
-    sums = r.groupBy(*by, "__bucket").agg(F.sum(value).alias("__m"))
-    one = [F.lit(1)] if not by else by
-    before = sums.select(*by, "__bucket", F.coalesce(F.sum("__m").over(W.partitionBy(*one).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    inside = F.sum(value).over(W.partitionBy(*by, "__bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return r.withColumn("__inside", inside).join(before, [*by, "__bucket"]).withColumn(name, F.col("__base") + F.col("__inside")).drop("__bucket", "__base", "__inside")
-
-
 def token_lag(mixture: DataFrame, share: DataFrame, last: int) -> DataFrame:
     """(source, lag): the largest distance, in tokens, between what a source has given and its share of all tokens, at any slot up
     to ``last``. ``share``: source, w. It is met where a source is about to give a block or has just given it."""

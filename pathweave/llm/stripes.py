@@ -25,7 +25,7 @@ from ..session import cut
 from ..sources.tables import clean_code, small
 
 #: Entries of all stripes a task keeps before it sends them on, and expected entries of a slice at most.
-FLUSH, SLICE = 1_000_000, 4096
+FLUSH, SLICE = 500_000, 4096
 STRIPE = "item string, slice int, who array<string>, many array<long>"
 
 

@@ -1,8 +1,8 @@
 """Closed frequent subsequences (gaps allowed) by prefix growth with bidirectional extension checks and backscan pruning.
 
 Work is partitioned by first item: the sequences that hold an item go, once, to that item's partition, in parts of about
-``PART_ROWS`` so that no task gets all of a hot item's, and are packed there into blocks of one first item (a row each, of at
-most ``CELLS`` cells). The blocks stay as they are for all levels. A pseudo-projection is a pair of arrays within a
+``PART_ROWS`` so that no task gets all of a hot item's, packed in blocks of one first item (a row each, of at most ``CELLS`` cells
+where a single sequence is not longer). The blocks stay as they are for all levels. A pseudo-projection is a pair of arrays within a
 block's task: the numbers of the sequences that hold the prefix and the ends of its matches; nothing is copied into
 suffixes and nothing of it is written or moved. For each prefix of a level the items of three kinds of stretches are
 counted over whole blocks at once: ``F`` after the first match (forward extensions), ``M`` the i-th maximum period and
@@ -59,13 +59,13 @@ def _once(df: DataFrame, origin: str) -> DataFrame:
     return df.where(F.size("seq") > 0).dropDuplicates(["id"]).select(F.lit(origin).alias("origin"), "seq")
 
 
-BLOCKS = "origin int, item int, flat binary, lens binary, w binary"
+BLOCKS = "origin int, item int, part int, flat binary, lens binary, w binary"
 COUNTS = "origin int, prefix string, kind string, i int, item int, n long"
 
 
-def pack(seqs: list[bytes], w: list[int]) -> tuple[bytes, bytes, bytes]:
+def pack(own: list[tuple[bytes, int]]) -> tuple[bytes, bytes, bytes]:
     """Sequences of 32-bit codes, their lengths and weights, one after the other."""
-    return b"".join(seqs), np.array([len(q) // 4 for q in seqs], "<i4").tobytes(), np.array(w, "<i8").tobytes()
+    return b"".join([q for q, _ in own]), np.array([len(q) // 4 for q, _ in own], "<i4").tobytes(), np.array([n for _, n in own], "<i8").tobytes()
 
 
 def block_counts(flat: bytes, lens: bytes, w: bytes, n_items: int, prefixes: list[tuple[int, ...]]) -> Iterator[tuple]:
@@ -144,13 +144,21 @@ def closed_patterns(seqs: DataFrame, min_share: float, min_count: int) -> DataFr
         code, seen = number.value, Counter()
 
         def rows() -> pd.DataFrame:
-            out = []
-            for (o, q), n in seen.items():
+            groups: defaultdict[tuple[int, int, int], list] = defaultdict(list)
+            for (o, q), n in sorted(seen.items(), key=lambda x: len(x[0][1])):  # sequences of a block are about as long
                 b = np.array(q, "<i4").tobytes()
                 h = zlib.crc32(b)
-                out += [(o, k, h % split[o][k], len(b), b, n) for k in set(q)]
+                for k in set(q):
+                    groups[o, k, h % split[o][k]].append((b, n))
             seen.clear()
-            return pd.DataFrame(out, columns=["origin", "item", "part", "size", "seq", "w"])
+            out = []
+            for (o, k, part), own in groups.items():
+                at = 0
+                for to in range(1, len(own) + 1):
+                    if to == len(own) or (to + 1 - at) * (len(own[to][0]) // 4 + 1) * len(code[o]) > cells:
+                        out.append((o, k, part, *pack(own[at:to])))
+                        at = to
+            return pd.DataFrame(out, columns=["origin", "item", "part", "flat", "lens", "w"])
 
         for f in frames:
             for o, q in zip(f["origin"].map(index), f["seq"]):
@@ -161,23 +169,6 @@ def closed_patterns(seqs: DataFrame, min_share: float, min_count: int) -> DataFr
                 yield rows()
         yield rows()
 
-    def blocks_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, at, seen, wide = number.value, None, Counter(), 0
-
-        def rows() -> list:
-            return [(*at, *pack(list(seen), list(seen.values())))] if seen else []
-
-        for f in frames:
-            out = []
-            for o, item, size, q, w in zip(f["origin"], f["item"], f["size"], f["seq"], f["w"]):
-                wide = max(wide, size // 4 + 1)
-                if (o, item) != at or (len(seen) + 1) * wide * len(code[o]) > cells:
-                    out += rows()
-                    at, seen, wide = (o, item), Counter(), size // 4 + 1
-                seen[q] += w
-            yield pd.DataFrame(out, columns=["origin", "item", "flat", "lens", "w"])
-        yield pd.DataFrame(rows(), columns=["origin", "item", "flat", "lens", "w"])
-
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code, seen = number.value, Counter()
 
@@ -198,8 +189,7 @@ def closed_patterns(seqs: DataFrame, min_share: float, min_count: int) -> DataFr
         for f in frames:
             yield pd.DataFrame({"origin": [origins[o] for o in f["origin"]], "pattern": [[name.value[o][int(k)] for k in p.split()] for o, p in zip(f["origin"], f["prefix"])], "support": f["sup"]})
 
-    coded = seqs.mapInPandas(encode, "origin int, item int, part int, size int, seq binary, w long")
-    blocks = cut(coded.repartition("origin", "item", "part").sortWithinPartitions("origin", "item", "size").mapInPandas(blocks_of, BLOCKS))
+    blocks = cut(seqs.mapInPandas(encode, BLOCKS).repartition("origin", "item", "part"))
     level = spark.createDataFrame([(index[o], str(k)) for o, xs in often.items() for k in range(len(xs))], "origin int, prefix string")
     n, found = sum(map(len, often.values())), []
     while n:

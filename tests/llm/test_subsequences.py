@@ -62,7 +62,7 @@ def test_block_against_definition():
         seqs = [[r.randrange(n_items) for _ in range(r.randint(1, 7))] for _ in range(r.randint(1, 5))]
         w = [r.randint(1, 3) for _ in seqs]
         prefixes = {c for s in seqs for n in (1, 2, 3) for c in combinations(s, n)} | {(0, 0, 0, 0)}
-        got = set(q.block_counts(*q.pack([np.array(s, "<i4").tobytes() for s in seqs], w), n_items, sorted(prefixes)))
+        got = set(q.block_counts(*q.pack([(np.array(s, "<i4").tobytes(), n) for s, n in zip(seqs, w)]), n_items, sorted(prefixes)))
         want = set()
         for p in prefixes:
             mine = [(s, k) for s, k in zip(seqs, w) if holds(s, p)]
