@@ -12,7 +12,7 @@ from ..operators import classes, graph, nested
 from ..plans import bgp
 from ..sources import badrows, csvtext, html, rdfxml
 from ..sources.tables import table
-from .problems import SPLIT
+from .problems import NESTED, SPLIT
 from .sqltext import TRIPLES
 
 Q: dict = {}
@@ -254,10 +254,10 @@ def bgp_extract(s, d):
 
 
 def _pages(s, d) -> DataFrame:
-    """A page per nation with a link to its region, its suppliers' list and its name; HTML that is not well formed."""
-    n = table(s, d, "nation")
-    body = F.concat(F.lit('<html><body><p><ul><li><a href="/region/'), F.col("n_regionkey").cast("string"), F.lit('">region</a><li><a href="/suppliers/'), F.col("n_nationkey").cast("string"), F.lit('">s</a></ul><b>'), "n_name", F.lit("</body></html>"))
-    return n.select(F.concat(F.lit("http://kb.example/page/n"), F.col("n_nationkey").cast("string")).alias("page"), body.alias("html"))
+    """A page per customer with a link to its nation, a list and its name; HTML that is not well formed."""
+    n = table(s, d, "customer")
+    body = F.concat(F.lit('<html><body><p><ul><li><a href="/region/'), F.col("c_nationkey").cast("string"), F.lit('">region</a><li><a href="/suppliers/'), F.col("c_custkey").cast("string"), F.lit('">s</a></ul><b>'), "c_name", F.lit("</body></html>"))
+    return n.select(F.concat(F.lit("http://kb.example/page/n"), F.col("c_custkey").cast("string")).alias("page"), body.alias("html"))
 
 
 @query(r"""SELECT doc_id, regexp_extract(speaker, '([A-Za-z]+)', 1) AS word, trim(regexp_replace(speaker, '\s+', ' ', 'g')) AS tidy, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(agenda_item, '\s+'), lambda w: w <> ''))), '|') AS words FROM documents""")
@@ -297,7 +297,7 @@ def article_titles(s, d):
     return c.select("entity_name", X.wiki_title(page).alias("title"))
 
 
-@query("SELECT 'http://kb.example/page/n' || n_nationkey AS page, unnest(['/region/' || n_regionkey, '/suppliers/' || n_nationkey]) AS href FROM nation")
+@query("SELECT 'http://kb.example/page/n' || c_custkey AS page, unnest(['/region/' || c_nationkey, '/suppliers/' || c_custkey]) AS href FROM customer")
 def page_links(s, d):
     return html.links(_pages(s, d), "page", "html")
 
@@ -307,7 +307,7 @@ def split_lines(s, d):
     return table(s, d, "documents").select("doc_id", F.explode(X.lines(F.col("text"))).alias("line"))
 
 
-@query("SELECT 'http://kb.example/page/n' || n_nationkey AS page, 'http://kb.example/data/n' || n_nationkey || '.rdf' AS data_url, 'http://kb.example/resource/n' || n_nationkey AS resource_url FROM nation")
+@query("SELECT 'http://kb.example/page/n' || c_custkey AS page, 'http://kb.example/data/n' || c_custkey || '.rdf' AS data_url, 'http://kb.example/resource/n' || c_custkey AS resource_url FROM customer")
 def url_rewrite(s, d):
     return _pages(s, d).select("page", X.data_url(F.col("page")).alias("data_url"), X.resource_url(F.col("page")).alias("resource_url"))
 
@@ -320,19 +320,11 @@ def ns_expand(s, d):
     return rdfxml.expand_names(named, "name", ns).select("c_custkey", "uri")
 
 
-EXAMPLE = '{"P31": {"name": "instance of", "list_statement": [{"url": "Q5", "value": "human", "list": [["P580", "start", "2001"], ["P642", "of", "Q1", "label"]]}]}}'
-
-
-@query("SELECT * FROM (VALUES ('p:P31/ps:P31', 'Q5', 'human'), ('p:P31/pq:P580', NULL, '2001'), ('p:P31/pq:P642', 'Q1', 'label')) AS v(flat_prop, url, value)")
+@query(f"""WITH {NESTED} SELECT DISTINCT record_id, 'p:' || p || '/ps:' || p AS flat_prop, stmt_no, 0 AS qual_no, st ->> 'url' AS url, st ->> 'value' AS value FROM st WHERE p <> '' AND (coalesce(st ->> 'url', '') <> '' OR coalesce(st ->> 'value', '') <> '')
+    UNION ALL SELECT DISTINCT record_id, 'p:' || p || '/pq:' || upper(trim(code)), stmt_no, qual_no, url, value FROM q3 WHERE p <> '' AND coalesce(trim(code), '') <> '' AND (coalesce(url, '') <> '' OR coalesce(value, '') <> '')""")
 def wikidata_flatten(s, d):
-    docs = s.createDataFrame([(1, EXAMPLE)], "id long, doc string")
-    return nested.flat_statements(nested.dewey_nodes(docs, "id", "doc"), "id").select("flat_prop", "url", "value")
-
-
-@query("SELECT query_id, sum(line_no) AS n FROM (SELECT DISTINCT query_id, line_no FROM sparql) GROUP BY 1")
-def sparql_lines(s, d):
-    """Sum of the record numbers of each query's result, repeated records once."""
-    return table(s, d, "sparql").select("query_id", "line_no").distinct().groupBy("query_id").agg(F.sum("line_no").alias("n"))
+    """Statements and qualifiers of all documents with their values."""
+    return nested.flat_statements(nested.dewey_nodes(table(s, d, "xmlparser"), "record_id", "property"), "record_id").distinct()
 
 
 @query("SELECT DISTINCT description, replace(replace(description || '\\\"', '\\', '\\\\'), '\"', '\\\"') AS escaped FROM client6380 WHERE description IS NOT NULL")
@@ -384,47 +376,47 @@ def csv_rows(s, d):
     return badrows.load_records(r, domains={}).select("query_id", "line_id", "reason", F.explode_outer("fields").alias("variable", "value")).distinct()
 
 
-@query("SELECT query_id, count(*) - 1 AS n FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(t, '[\\r\\n]+'), lambda x: x <> '')) AS l FROM (SELECT query_id, 'head' || chr(10) || string_agg(texto, chr(10) ORDER BY line_id) AS t FROM (SELECT DISTINCT line_id, query_id, texto FROM sparql) WHERE texto IS NOT NULL GROUP BY 1)) GROUP BY 1")
+@query("SELECT query_id, count(*) AS n FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(texto, '[\\r\\n]+'), lambda x: x <> '')) AS l FROM (SELECT DISTINCT line_id, query_id, texto FROM sparql) WHERE texto IS NOT NULL) GROUP BY 1")
 def csv_chunks(s, d):
-    """Results that come in chunks of any cut: records per query after the header."""
-    one = table(s, d, "sparql").where("texto is not null").select("line_id", "query_id", "texto").distinct()
-    whole = one.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "texto"))), lambda c: c["texto"]), "\n").alias("t"))
-    text = F.concat(F.lit("head\n"), "t")
-    half = F.floor(F.length(text) / 2).cast("int")
-    chunks = whole.select("query_id", F.explode(F.array(F.struct(F.lit(1).alias("k"), F.substring(text, F.lit(1), half).alias("c")), F.struct(F.lit(2).alias("k"), F.substring(text, half + 1, F.length(text)).alias("c")))).alias("e"))
-    recs = csvtext.records(chunks.select("query_id", "e.k", "e.c"), "query_id", "k", "c")
-    return recs.groupBy("query_id").agg((F.count(F.lit(1)) - 1).alias("n"))
+    """Results that come in chunks cut in the middle of records: records per query after the header."""
+    one = table(s, d, "sparql").where("texto is not null").select("line_id", "query_id", F.concat("texto", F.lit("\n")).alias("t")).distinct()
+    half = F.floor(F.length("t") / 2).cast("int")
+    at = lambda k, x: F.struct((2 * F.col("line_id") + k).alias("k"), x.alias("c"))
+    parts = one.select("query_id", F.explode(F.array(at(1, F.substring("t", F.lit(1), half)), at(2, F.substring("t", half + 1, F.length("t"))))).alias("e")).select("query_id", "e.k", "e.c")
+    heads = one.select("query_id").distinct().select("query_id", F.lit(-1).cast("long").alias("k"), F.lit("head\n").alias("c"))
+    recs = csvtext.records(parts.unionByName(heads), "query_id", "k", "c")
+    return recs.groupBy("query_id").agg((F.count(F.lit(1)) - 1).alias("n")).where("n > 0")
 
 
-@query("SELECT 'q' || n_regionkey AS query, n_nationkey AS k, 'http://kb.example/n' || n_nationkey AS s, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS name FROM nation")
+@query("SELECT 'q' || c_nationkey AS query, c_custkey AS k, 'http://kb.example/n' || c_custkey AS s, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name FROM customer")
 def sparql_xml_rows(s, d):
     """XML results bound by variable name; unbound variables are null."""
-    n = table(s, d, "nation")
-    k = F.col("n_nationkey").cast("string")
-    xml = F.concat(F.lit('<sparql xmlns="http://www.w3.org/2005/sparql-results#"><head><variable name="s"/><variable name="name"/></head><results><result><binding name="s"><uri>http://kb.example/n'), k, F.lit("</uri></binding>"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('<binding name="name"><literal>'), "n_name", F.lit("</literal></binding>"))).otherwise(""), F.lit("</result></results></sparql>"))
-    docs = n.select(F.concat(F.lit("q"), F.col("n_regionkey").cast("string"), F.lit(" "), k).alias("id"), xml.alias("x"))
+    n = table(s, d, "customer")
+    k = F.col("c_custkey").cast("string")
+    xml = F.concat(F.lit('<sparql xmlns="http://www.w3.org/2005/sparql-results#"><head><variable name="s"/><variable name="name"/></head><results><result><binding name="s"><uri>http://kb.example/n'), k, F.lit("</uri></binding>"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('<binding name="name"><literal>'), "c_name", F.lit("</literal></binding>"))).otherwise(""), F.lit("</result></results></sparql>"))
+    docs = n.select(F.concat(F.lit("q"), F.col("c_nationkey").cast("string"), F.lit(" "), k).alias("id"), xml.alias("x"))
     rows = rdfxml.sparql_results(docs, "id", "x", ["s", "name"])
-    return rows.select(F.split_part("id", F.lit(" "), F.lit(1)).alias("query"), F.split_part("id", F.lit(" "), F.lit(2)).cast("int").alias("k"), "s", "name")
+    return rows.select(F.split_part("id", F.lit(" "), F.lit(1)).alias("query"), F.split_part("id", F.lit(" "), F.lit(2)).cast("long").alias("k"), "s", "name")
 
 
-@query("SELECT 'n' || n_nationkey AS entity, 'http://kb.example/P2' AS p, 1 AS ntype, unnest(['http://dbpedia.org/resource/r' || n_regionkey, n_name]) AS value FROM nation")
+@query("SELECT 'n' || c_custkey AS entity, 'http://kb.example/P2' AS p, 1 AS ntype, unnest(['http://dbpedia.org/resource/r' || c_nationkey, c_name]) AS value FROM customer")
 def html_table_extract(s, d):
-    n = table(s, d, "nation")
-    page = F.concat(F.lit('<table><tr><td><a class="uri" href="http://kb.example/P2">region</a></td><td><ul><li><a class="uri" href="http://dbpedia.org/resource/r'), F.col("n_regionkey").cast("string"), F.lit('">r</a><li><span property="name" xml:lang="en">'), "n_name", F.lit("</span></ul></td></tr></table>"))
-    return html.parse_pages(n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("e"), page.alias("h")), "e", "h")
+    n = table(s, d, "customer")
+    page = F.concat(F.lit('<table><tr><td><a class="uri" href="http://kb.example/P2">region</a></td><td><ul><li><a class="uri" href="http://dbpedia.org/resource/r'), F.col("c_nationkey").cast("string"), F.lit('">r</a><li><span property="name" xml:lang="en">'), "c_name", F.lit("</span></ul></td></tr></table>"))
+    return html.parse_pages(n.select(F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("e"), page.alias("h")), "e", "h")
 
 
-@query("SELECT 'http://kb.example/n' || n_nationkey AS entity, unnest(['http://kb.example/region', 'http://kb.example/name', 'http://kb.example/inNation']) AS p, unnest([1, 1, 4]) AS ntype, unnest(['http://kb.example/r' || n_regionkey, n_name, 'http://kb.example/c' || n_nationkey]) AS value FROM nation")
+@query("SELECT 'http://kb.example/n' || c_custkey AS entity, unnest(['http://kb.example/region', 'http://kb.example/name', 'http://kb.example/inNation']) AS p, unnest([1, 1, 4]) AS ntype, unnest(['http://kb.example/r' || c_nationkey, c_name, 'http://kb.example/c' || c_custkey]) AS value FROM customer")
 def rdfxml_triples(s, d):
-    n = table(s, d, "nation")
-    k = F.col("n_nationkey").cast("string")
-    xml = F.concat(F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:k="http://kb.example/"><rdf:Description rdf:about="http://kb.example/n'), k, F.lit('"><k:region rdf:resource="http://kb.example/r'), F.col("n_regionkey").cast("string"), F.lit('"/><k:name>'), "n_name", F.lit('</k:name></rdf:Description><rdf:Description rdf:about="http://kb.example/c'), k, F.lit('"><k:inNation rdf:resource="http://kb.example/n'), k, F.lit('"/></rdf:Description></rdf:RDF>'))
+    n = table(s, d, "customer")
+    k = F.col("c_custkey").cast("string")
+    xml = F.concat(F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:k="http://kb.example/"><rdf:Description rdf:about="http://kb.example/n'), k, F.lit('"><k:region rdf:resource="http://kb.example/r'), F.col("c_nationkey").cast("string"), F.lit('"/><k:name>'), "c_name", F.lit('</k:name></rdf:Description><rdf:Description rdf:about="http://kb.example/c'), k, F.lit('"><k:inNation rdf:resource="http://kb.example/n'), k, F.lit('"/></rdf:Description></rdf:RDF>'))
     return rdfxml.parse_rdfxml(n.select(F.concat(F.lit("http://kb.example/n"), k).alias("entity"), xml.alias("x")), "entity", "x")
 
 
-@query("SELECT 'Q' || n_nationkey AS entity, unnest(['p:P361/ps:P361', 'p:P361/pq:P580']) AS flat_prop, unnest(['Q9' || n_regionkey, NULL]) AS url, unnest(['region', '2001']) AS value FROM nation")
+@query("SELECT 'Q' || c_custkey AS entity, unnest(['p:P361/ps:P361', 'p:P361/pq:P580']) AS flat_prop, unnest(['Q9' || c_nationkey, NULL]) AS url, unnest(['region', '2001']) AS value FROM customer")
 def wikidata_page(s, d):
-    n = table(s, d, "nation").select(F.concat(F.lit("Q"), F.col("n_nationkey").cast("string")).alias("e"), F.format_string(STATEMENT_PAGE, "n_name", F.col("n_regionkey").cast("string")).alias("h"))
+    n = table(s, d, "customer").select(F.concat(F.lit("Q"), F.col("c_custkey").cast("string")).alias("e"), F.format_string(STATEMENT_PAGE, "c_name", F.col("c_nationkey").cast("string")).alias("h"))
     docs = html.parse_statement_pages(n, "e", "h")
     return nested.flat_statements(nested.dewey_nodes(docs, "entity", "document"), "entity").select("entity", "flat_prop", "url", "value")
 

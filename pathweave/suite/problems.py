@@ -80,7 +80,7 @@ bad AS (SELECT DISTINCT line_id FROM e WHERE NOT CASE
 """
 
 #: Nested documents by JSON functions: entries, statements and qualifiers with their ordinals, every shape made a list first.
-_NESTED = """
+NESTED = """
 d AS (SELECT DISTINCT record_id, property::JSON AS j FROM xmlparser WHERE property IS NOT NULL AND json_valid(property)),
 e AS (SELECT record_id, k, json_extract(j, '$."' || k || '"') AS b, n FROM (SELECT record_id, j, unnest(json_keys(j)) AS k, generate_subscripts(json_keys(j), 1) AS n FROM d WHERE json_type(j) = 'OBJECT')
   UNION ALL SELECT record_id, b ->> 'property', b, n FROM (SELECT record_id, unnest(j::JSON[]) AS b, generate_subscripts(j::JSON[], 1) AS n FROM d WHERE json_type(j) = 'ARRAY')),
@@ -95,12 +95,12 @@ q3 AS (SELECT record_id, p, n, stmt_no, qual_no, arr, len, q, CASE WHEN arr THEN
 """
 
 SQL = {
-    "p2_found": "WITH " + _NESTED + """
+    "p2_found": "WITH " + NESTED + """
         SELECT DISTINCT record_id, 'p:' || p || '/ps:' || p AS flat_prop, stmt_no, 0 AS qual_no FROM st WHERE p <> '' AND (coalesce(st ->> 'url', '') <> '' OR coalesce(st ->> 'value', '') <> '')
         UNION SELECT record_id, 'p:' || p || '/pq:' || upper(trim(code)), stmt_no, qual_no FROM q3 WHERE p <> '' AND coalesce(trim(code), '') <> '' AND (coalesce(url, '') <> '' OR coalesce(value, '') <> '')""",
-    "p2_properties": "WITH " + _NESTED + " SELECT DISTINCT record_id, n::varchar AS dewey, NULL::varchar AS parent_dewey, n AS ordinal, k AS property, b ->> 'name' AS name, b ->> 'ntype' AS ntype FROM e",
-    "p2_statements": "WITH " + _NESTED + " SELECT DISTINCT record_id, n || '.' || stmt_no AS dewey, n::varchar AS parent_dewey, stmt_no AS ordinal, st ->> 'url' AS url, st ->> 'value' AS value, st ->> 'rank' AS rank FROM st",
-    "p2_qualifiers": "WITH " + _NESTED + " SELECT DISTINCT record_id, n || '.' || stmt_no || '.' || qual_no AS dewey, n || '.' || stmt_no AS parent_dewey, qual_no AS ordinal, code AS property, name, url, value FROM q3",
+    "p2_properties": "WITH " + NESTED + " SELECT DISTINCT record_id, n::varchar AS dewey, NULL::varchar AS parent_dewey, n AS ordinal, k AS property, b ->> 'name' AS name, b ->> 'ntype' AS ntype FROM e",
+    "p2_statements": "WITH " + NESTED + " SELECT DISTINCT record_id, n || '.' || stmt_no AS dewey, n::varchar AS parent_dewey, stmt_no AS ordinal, st ->> 'url' AS url, st ->> 'value' AS value, st ->> 'rank' AS rank FROM st",
+    "p2_qualifiers": "WITH " + NESTED + " SELECT DISTINCT record_id, n || '.' || stmt_no || '.' || qual_no AS dewey, n || '.' || stmt_no AS parent_dewey, qual_no AS ordinal, code AS property, name, url, value FROM q3",
     "p3_found": """
         WITH k AS (SELECT 'client6380.size' AS field, size::varchar AS key_value, count(*) AS n FROM client6380 WHERE size IS NOT NULL GROUP BY 2
           UNION ALL SELECT 'l_wobject_extend.sequence', sequence::varchar, count(*) FROM l_wobject_extend WHERE sequence IS NOT NULL GROUP BY 2)

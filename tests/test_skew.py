@@ -49,3 +49,15 @@ def test_any_number_of_expected_chunks(spark):
     for chunks in (1, 5, 40, 5000):
         got = skew.tree_aggregate(df, ["key"], {"n": (F.lit(1), "sum")}, fan_in=3, chunks=chunks)
         assert {r.key: r.n for r in got.collect()} == Counter(k % 7 for k in range(1000))
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BUCKET_ROWS", 7)
+    df = spark.createDataFrame([(k * 3, "ab"[k % 3 == 0], k % 5) for k in range(100)], "slot long, source string, m long")
+    for by in ([], ["source"]):
+        got = {r.slot: r.s for r in skew.running(df, by, "slot", "m", "s").collect()}
+        sums: dict = {}
+        for r in sorted(df.collect()):
+            key = r.source if by else ""
+            sums[key] = sums.get(key, 0) + r.m
+            assert got[r.slot] == sums[key]
