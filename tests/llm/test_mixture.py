@@ -75,18 +75,6 @@ def test_mix(spark):
     assert m.mix(df.where("false"), target)[0].count() == 0
 
 
-def test_running_sums(spark, monkeypatch):
-    monkeypatch.setattr(m, "BUCKET_ROWS", 7)
-    df = spark.createDataFrame([(k * 3, "ab"[k % 3 == 0], k % 5) for k in range(100)], "slot long, source string, m long")
-    for by in ([], ["source"]):
-        got = {r.slot: r.s for r in m.running(df, by, "slot", "m", "s").collect()}
-        sums: dict = {}
-        for r in sorted(df.collect()):
-            key = r.source if by else ""
-            sums[key] = sums.get(key, 0) + r.m
-            assert got[r.slot] == sums[key]
-
-
 def test_the_schedule_repeats_and_capped_sources_run_out(spark):
     docs = spark.createDataFrame([(i, s, "word " * 50) for i, s in enumerate(["a"] * 2000 + ["b"] * 40 + ["c"] * 800)], "doc_id long, source string, text string")
     target = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 2), ("c", 0.25, 2)], "source string, target_share double, max_repeat int")
