@@ -71,8 +71,13 @@ def one_space(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
+def words(x: Column) -> Column:
+    """The words between white space, in order."""
+    return F.filter(F.split(x, r"\s+"), lambda w: w != "")
+
+
 def distinct_words(x: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    return F.array_distinct(words(x))
 
 
 def lines(x: Column) -> Column:

@@ -95,14 +95,18 @@ _STORED: dict[tuple, str] = {}
 TABLES = ("customer", "supplier", "nation", "orders", "lineitem")
 
 
-def stored(spark: SparkSession, d: str) -> Stored:
-    """The graph of the warehouse tables, written to the shared folder the first time it is asked for."""
+def stored_path(spark: SparkSession, d: str) -> str:
+    """Folder of the graph of the warehouse tables, written to the shared folder the first time it is asked for."""
     key = (spark.sparkContext.applicationId, d, *[changed(spark, f"{d}/{name}.parquet") for name in TABLES])
     if key not in _STORED or not exists(spark, _STORED[key]):
         path = scratch(spark, "graph")
         save(cut(triples(spark, d)), path)
         _STORED[key] = path
-    return load(spark, _STORED[key])
+    return _STORED[key]
+
+
+def stored(spark: SparkSession, d: str) -> Stored:
+    return load(spark, stored_path(spark, d))
 
 
 def degree(adj: DataFrame) -> DataFrame:

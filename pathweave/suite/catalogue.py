@@ -260,11 +260,12 @@ def _pages(s, d) -> DataFrame:
     return n.select(F.concat(F.lit("http://kb.example/page/n"), F.col("c_custkey").cast("string")).alias("page"), body.alias("html"))
 
 
-@query(r"""SELECT doc_id, regexp_extract(speaker, '([A-Za-z]+)', 1) AS word, trim(regexp_replace(speaker, '\s+', ' ', 'g')) AS tidy, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(agenda_item, '\s+'), lambda w: w <> ''))), '|') AS words FROM documents""")
+@query(r"""SELECT doc_id, regexp_extract(speaker, '([A-Za-z]+)', 1) AS word, trim(regexp_replace(speaker, '\s+', ' ', 'g')) AS tidy, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(agenda_item, '\s+'), lambda w: w <> ''))), '|') AS words,
+    len(list_filter(regexp_split_to_array(agenda_item, '\s+'), lambda w: w <> ''))::int AS n_words FROM documents""")
 def words_of_documents(s, d):
     """First word of the speaker, the speaker with single blanks, the distinct words of the agenda item."""
     t = table(s, d, "documents")
-    return t.select("doc_id", X.first_word(F.col("speaker")).alias("word"), X.one_space(F.col("speaker")).alias("tidy"), F.array_join(F.array_sort(X.distinct_words(F.col("agenda_item"))), "|").alias("words"))
+    return t.select("doc_id", X.first_word(F.col("speaker")).alias("word"), X.one_space(F.col("speaker")).alias("tidy"), F.array_join(F.array_sort(X.distinct_words(F.col("agenda_item"))), "|").alias("words"), F.when(F.col("agenda_item").isNotNull(), F.size(X.words(F.col("agenda_item")))).alias("n_words"))
 
 
 @query("SELECT DISTINCT code, url, CASE WHEN starts_with(url, 'http://kb.example/resource/') THEN substr(url, 28) ELSE url END AS rest, array_to_string(list_filter(string_split(immediate_class, ','), lambda w: w <> ''), ';') AS items FROM client6380 WHERE code IS NOT NULL")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..operators import canonical, graph, patterns, paths, search, stats
+from ..session import scratch
 from ..sources.tables import table
+from ..streaming import incremental
 from .sqltext import ADJ, ARROWS, DEGREE, PATTERNS, TRIPLES, found, walk
 
 FLAG = [("c0", "s1")]
@@ -390,6 +392,16 @@ def stats_grouping_sets(s, d):
     return stats.grouping_sets(graph.stored(s, d).by_subject)
 
 
+@query(f"""WITH {TRIPLES} SELECT 's' AS kind, s AS key, count(*) AS n FROM triples GROUP BY 2 UNION ALL SELECT 'p', p, count(*) FROM triples GROUP BY 2 UNION ALL SELECT 'o', o, count(*) FROM triples GROUP BY 2
+    UNION ALL SELECT 'sp', s || ' ' || p, count(*) FROM triples GROUP BY 2 UNION ALL SELECT 'po', p || ' ' || o, count(*) FROM triples GROUP BY 2""")
+def streamed_counts(s, d):
+    """The same counts kept up to date by a stream that has read all triples."""
+    out = scratch(s, "streamed")
+    source = s.readStream.schema("s string, o string, p string").parquet(graph.stored_path(s, d) + "/subject")
+    incremental.start(source.select("s", "p", "o"), out, scratch(s, "progress")).awaitTermination()
+    return incremental.current(s, out)
+
+
 @query(f"WITH {ADJ} SELECT a.p || ',' || b.p AS key, count(*) AS n FROM adj a JOIN adj b ON a.o = b.s WHERE (a.p, b.p) IN (('P3@', 'P4'), ('P1', 'P1@'), ('P3', 'P1'), ('P2@', 'P1@'), ('P2', 'P2@')) GROUP BY 1")
 def property_pair_count(s, d):
     pairs = s.createDataFrame([("P3@", "P4"), ("P1", "P1@"), ("P3", "P1"), ("P2@", "P1@"), ("P2", "P2@")], "p1 string, p2 string")
@@ -488,19 +500,32 @@ def _canonical(s, d, what):
     return what(e.select("pair_id", "s", "p", "o"), search.pairs_of(s, PAIRS))
 
 
-@query()
+#: Depth first from the start: the first arrow waiting is taken; arrows of a node met for the first time are put before those that wait. Nodes are numbered as they are met.
+_DFS = """WITH RECURSIVE """ + _MINED.removeprefix("WITH ") + ARROWS + """, e AS MATERIALIZED (SELECT DISTINCT pair_id, s, p, o FROM arrows),
+most AS (SELECT pair_id, count(DISTINCT s) AS m FROM e GROUP BY 1),
+lv AS (SELECT DISTINCT pair_id, o AS root, 0 AS depth, o AS node FROM e UNION ALL SELECT DISTINCT lv.pair_id, root, depth + 1, e.o FROM lv JOIN e ON e.pair_id = lv.pair_id AND e.s = node JOIN most ON most.pair_id = lv.pair_id WHERE depth < m),
+walks AS (SELECT pair_id, root, list(labels ORDER BY depth) AS w FROM (SELECT lv.pair_id, root, depth, list(p ORDER BY p) AS labels FROM lv JOIN e ON e.pair_id = lv.pair_id AND e.s = node GROUP BY 1, 2, 3) GROUP BY 1, 2),
+out_of AS MATERIALIZED (SELECT e.pair_id, s AS node, list({{'s': s, 'p': p, 'o': o}} ORDER BY {}) AS arrows FROM e LEFT JOIN walks ON walks.pair_id = e.pair_id AND root = o GROUP BY 1, 2),
+dfs AS (SELECT pair_id, arrows AS waiting, [node] AS seen, arrows[1 : 0] AS done FROM out_of WHERE node = split_part(pair_id, '-', 1)
+  UNION ALL SELECT d.pair_id, CASE WHEN list_contains(seen, waiting[1].o) OR a.arrows IS NULL THEN waiting[2 :] ELSE list_concat(a.arrows, waiting[2 :]) END,
+    CASE WHEN list_contains(seen, waiting[1].o) THEN seen ELSE list_append(seen, waiting[1].o) END, list_append(done, waiting[1]) FROM dfs d LEFT JOIN out_of a ON a.pair_id = d.pair_id AND a.node = d.waiting[1].o WHERE len(waiting) > 0)"""
+
+
+@query(_DFS.format("p, o") + " SELECT pair_id, array_to_string(list_transform(done, lambda x: x.s || ',' || x.p || ',' || x.o || ','), '') AS graph FROM dfs WHERE len(waiting) = 0")
 def graph_canonical(s, d):
     return _canonical(s, d, canonical.canonical).select("pair_id", "graph")
 
 
-@query()
+@query(_DFS.format("p, coalesce(w, []), o") + """ SELECT pair_id, array_to_string(list_transform(done, lambda x: list_position(seen, x.s) || ',' || x.p || ',' || list_position(seen, x.o) || ','), '')
+    || '@' || coalesce(list_position(seen, split_part(pair_id, '-', 2)), 0) AS pattern FROM dfs WHERE len(waiting) = 0""")
 def pattern_canonical(s, d):
     return _canonical(s, d, canonical.canonical).select("pair_id", "pattern")
 
 
-@query(_MINED + " SELECT DISTINCT pair_id, unnest(nodes) AS node FROM paths")
+@query(_DFS.format("p, coalesce(w, []), o") + " SELECT pair_id, unnest(range(1, len(seen) + 1)) AS variable, unnest(seen) AS node FROM dfs WHERE len(waiting) = 0")
 def pattern_variables(s, d):
-    return _canonical(s, d, canonical.variables).select("pair_id", "node")
+    """The node that each variable of the canonical pattern stands for."""
+    return _canonical(s, d, canonical.variables).select("pair_id", F.col("variable").cast("long").alias("variable"), "node")
 
 
 # Ranking ------------------------------------------------------------------------------------------------------------
