@@ -35,7 +35,7 @@ BLOCK, FAN = 65_536, 6
 # White space and separators, as ranges (a class of properties is several times slower).
 WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 GENERATION = "key string, id long, seen boolean"
-RANKED = "id long, key string, block long, r int, batch int"
+RANKED = "id long, key string, block long, batch int, head boolean"
 
 
 def text_key(scope: str, text: str) -> Column:
@@ -45,15 +45,13 @@ def text_key(scope: str, text: str) -> Column:
 
 
 def arrivals(rows: DataFrame, batch: Column) -> DataFrame:
-    """(id, key, block, r, batch), written once: ``r`` is the rank of a row among those of its batch, key and block, by id.
-
-    The key is kept only where r is 1, the rest needs no more than its id.
-    """
+    """(id, key, block, batch, head), written once, heads and others apart: ``head`` tells whether the row is the first, by
+    id, among those of its batch, key and block. Only heads keep their key, the rest needs no more than its id."""
     src = rows.where("id is not null and key is not null").select(F.col("id").cast("long").alias("id"), "key", batch.cast("int").alias("batch"), F.floor(F.col("id") / BLOCK).alias("block"))
     w = W.partitionBy("batch", "key", "block").orderBy("id")
-    ranked = src.withColumn("r", F.row_number().over(w)).withColumn("last", F.lag("id").over(w)).where("last is null or last <> id")
+    ranked = src.withColumn("head", F.row_number().over(w) == 1).withColumn("last", F.lag("id").over(w)).where("last is null or last <> id")
     path = scratch(rows.sparkSession, "arrivals")
-    ranked.select("id", F.when(F.col("r") == 1, F.col("key")).alias("key"), "block", "r", "batch").write.partitionBy("batch").parquet(path)
+    ranked.select("id", F.when(F.col("head"), F.col("key")).alias("key"), "block", "batch", "head").write.partitionBy("batch", "head").parquet(path)
     return rows.sparkSession.read.schema(RANKED).parquet(path)
 
 
@@ -119,7 +117,7 @@ class Ledger:
         if batch in self.state["batches"]:
             return self._answers(batch)
         folder, rest = f"generation-{uuid.uuid4().hex}", f"repeats-{uuid.uuid4().hex}"
-        heads = ranked.where("r = 1").select("key", "id", "block").withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("block")))
+        heads = ranked.where("head").select("key", "id", "block").withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("block")))
         known = self._tables()
         new = Observation()
         order = self.spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering")
@@ -133,7 +131,7 @@ class Ledger:
             self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", order)
             for name in known:
                 self.spark.sql(f"DROP TABLE {name}")
-        ranked.where("r > 1").select("id").write.parquet(f"{self.path}/{rest}")
+        ranked.where("not head").select("id").write.parquet(f"{self.path}/{rest}")
         generation = {"folder": folder, "rows": new.get["n"], "level": 0}
         self._commit(self.state | {"generations": [*self.state["generations"], generation], "batches": self.state["batches"] | {batch: [folder, rest]}})
         self._merge()

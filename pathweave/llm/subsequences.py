@@ -190,7 +190,7 @@ def closed_patterns(seqs: DataFrame, min_share: float, min_count: int) -> DataFr
             yield pd.DataFrame({"origin": [origins[o] for o in f["origin"]], "pattern": [[name.value[o][int(k)] for k in p.split()] for o, p in zip(f["origin"], f["prefix"])], "support": f["sup"]})
 
     blocks = cut(seqs.mapInPandas(encode, BLOCKS).repartition("origin", "item", "part"))
-    level = spark.createDataFrame([(index[o], str(k)) for o, xs in often.items() for k in range(len(xs))], "origin int, prefix string")
+    level = cut(spark.createDataFrame([(index[o], str(k)) for o, xs in often.items() for k in range(len(xs))], "origin int, prefix string"))  # written, so that its size is known
     n, found = sum(map(len, often.values())), []
     while n:
         first = F.split_part("prefix", F.lit(" "), F.lit(1)).cast("int")
